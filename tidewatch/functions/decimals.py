@@ -38,6 +38,11 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     ).cast(RATIO)
 
 
+def price_ratio(numerator: Column, denominator: Column) -> Column:
+    """Quotient of two prices kept at 12 decimals; 14 decimals in the result."""
+    return F.try_divide(numerator.try_cast("decimal(24,12)"), denominator.try_cast("decimal(24,12)")).cast(RATIO)
+
+
 def relative_change(current: Column, baseline: Column) -> Column:
     return ratio(current - baseline, baseline)
 

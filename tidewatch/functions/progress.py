@@ -127,4 +127,4 @@ def passed_count(states: list[Column]) -> Column:
 
 def percent_text(value: Column) -> Column:
     """Percent with three decimals, a dash when missing."""
-    return F.coalesce(F.format_string("%.3f%%", value * 100), F.lit("—"))
+    return F.coalesce(F.format_string("%.3f%%", (value * 100).cast("double")), F.lit("—"))

@@ -219,37 +219,39 @@ def news_gate(items: DataFrame, at: Column, window_ms: int, occurred: str = "occ
         .when((at - src > window_ms) | (at - rec > window_ms), "FAIL")
         .otherwise("PASS")
     )
-    detail = dict(zip(CHECKS, (relevance, direction, severity, window), strict=True))
+    graded = items.withColumns(
+        {f"__{c}": state for c, state in zip(CHECKS, (relevance, direction, severity, window), strict=True)}
+    )
 
-    def shown(state: Column) -> Column:
+    def shown(check: str) -> Column:
+        state = F.col(f"__{check}")
         return F.when(state.isin("NO_TIME", "FUTURE"), "REVIEW_REQUIRED").otherwise(state)
 
-    def reason(check: str) -> Column:
+    def reason(check: str, only: Sequence[str] | None = None) -> Column:
         chain = None
         for (name, state), sentence in REASONS.items():
-            if name == check:
-                hit = detail[check] == state
+            if name == check and (only is None or state in only):
+                hit = F.col(f"__{check}") == state
                 chain = F.when(hit, sentence) if chain is None else chain.when(hit, sentence)
-        return chain
-
-    checks = F.array(
-        *[F.struct(F.lit(c).alias("id"), shown(detail[c]).alias("state"), reason(c).alias("reason")) for c in CHECKS]
-    )
-    judged = items.withColumn("checks", checks)
-    failed = F.try_element_at(F.filter("checks", lambda c: c["state"] == "FAIL"), F.lit(1))
-    review = F.try_element_at(F.filter("checks", lambda c: c["state"] == "REVIEW_REQUIRED"), F.lit(1))
-    return (
-        judged.withColumn(
-            "outcome",
-            F.when(failed.isNotNull(), "NOT_TRIGGERED")
-            .when(review.isNotNull(), "REVIEW_REQUIRED")
-            .otherwise("ENTERED_RISK_OBSERVATION"),
-        )
-        .withColumn("summary", F.coalesce(failed["reason"], review["reason"], F.lit(ENTERED_SUMMARY)))
-        .withColumn("judged_ms", at)
-        .withColumn(
-            "window_ends_ms", F.when(relevant & src.isNotNull(), F.least(src, rec) + F.lit(window_ms))
-        )
+        return chain if chain is not None else F.lit(None).cast("string")
+
+    failed, review = F.lit(False), F.lit(False)
+    for check in CHECKS:
+        failed = failed | (F.col(f"__{check}") == "FAIL")
+        review = review | F.col(f"__{check}").isin("REVIEW_REQUIRED", "NO_TIME", "FUTURE")
+    return graded.select(
+        *items.columns,
+        F.array(
+            *[F.struct(F.lit(c).alias("id"), shown(c).alias("state"), reason(c).alias("reason")) for c in CHECKS]
+        ).alias("checks"),
+        F.when(failed, "NOT_TRIGGERED").when(review, "REVIEW_REQUIRED").otherwise("ENTERED_RISK_OBSERVATION").alias("outcome"),
+        F.coalesce(
+            *[reason(c, ("FAIL",)) for c in CHECKS],
+            *[reason(c, ("REVIEW_REQUIRED", "NO_TIME", "FUTURE")) for c in CHECKS],
+            F.lit(ENTERED_SUMMARY),
+        ).alias("summary"),
+        at.alias("judged_ms"),
+        F.when(relevant & src.isNotNull(), F.least(src, rec) + F.lit(window_ms)).alias("window_ends_ms"),
     )
 
 

@@ -106,7 +106,7 @@ def latched_context(df: DataFrame, keys: Sequence[str], order: Sequence[str], re
     ``recorded`` marks rows at which a user recorded the fact.
     """
     at = order[0]
-    measures = {"__ready": Measure("min", F.when(ready, F.col(at)))}
+    measures = {"__first_ready": Measure("min", F.when(ready, F.col(at)))}
     if recorded is not None:
         measures["__recorded"] = Measure("min", F.when(recorded, F.col(at)))
     found = running(df, keys, order, measures, segment=segment)
@@ -114,10 +114,10 @@ def latched_context(df: DataFrame, keys: Sequence[str], order: Sequence[str], re
     return found.select(
         *df.columns,
         F.when(by_user.isNotNull(), "USER_RECORDED")
-        .when(F.col("__ready").isNotNull(), "SHADOW_REFERENCE")
+        .when(F.col("__first_ready").isNotNull(), "SHADOW_REFERENCE")
         .otherwise("NONE")
         .alias("context"),
-        F.coalesce(by_user, F.col("__ready")).alias("context_ms"),
+        F.coalesce(by_user, F.col("__first_ready")).alias("context_ms"),
     )
 
 

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.decimals import AMOUNT, RATIO, ratio, round_down
+from tidewatch.functions.decimals import RATIO, price_ratio, ratio, round_down
 from tidewatch.functions.hashing import sha256
 
 BPS = 10_000
@@ -83,7 +83,7 @@ def relative_size_impact(quotes: DataFrame, start: str = "first_amount") -> Data
     """
     w = Window.partitionBy("snapshot_id", "provider_kind")
     base = F.max(F.when(F.col("amount_in") == F.col(start), F.col("effective_price"))).over(w)
-    drop = ratio((base - F.col("effective_price")).cast(AMOUNT), base.cast(AMOUNT))
+    drop = price_ratio(base - F.col("effective_price"), base)
     return quotes.withColumn(
         "size_impact_bps",
         F.when(base.isNotNull(), F.greatest(F.lit(0).cast(RATIO), (drop * BPS).cast(RATIO))),
@@ -94,8 +94,9 @@ def cross_check(pairs: DataFrame, limit_bps: Decimal) -> DataFrame:
     """Deviation of the two prices and PASS, FAIL, STALE or UNKNOWN."""
     a, c = F.col("aggregator"), F.col("pool")
     both = a.isNotNull() & c.isNotNull()
-    gap = F.abs(a["effective_price"] - c["effective_price"]).cast(AMOUNT)
-    deviation = F.when(both, (ratio(gap, c["effective_price"].cast(AMOUNT)) * BPS).cast(RATIO))
+    # both sides quote the same amount, so the outputs differ by the same share as the prices
+    gap = F.abs(a["expected_out"] - c["expected_out"])
+    deviation = F.when(both, (ratio(gap, c["expected_out"]) * BPS).cast(RATIO))
     return pairs.select(
         "*",
         deviation.alias("deviation_bps"),

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from tidewatch.functions.decimals import AMOUNT, mid_price, notional, taker_side
 
 TRADE_SCHEMA = "a long, p string, q string, T long, m boolean"
-# Message layouts of the trade and best-quote streams and their envelope.
-TRADE_MESSAGE = "e string, E long, s string, a long, p string, q string, f long, l long, T long, m boolean, M boolean"
-QUOTE_MESSAGE = "e string, E long, u long, s string, b string, B string, a string, A string"
-ENVELOPE = "stream string, data string"
 DERIVATIVE_SCHEMA = (
     "symbol string, sumOpenInterest string, sumOpenInterestValue string, buySellRatio string, sellVol string, "
     "buyVol string, longAccount string, longShortRatio string, shortAccount string, timestamp long"
@@ -91,23 +87,25 @@ def parse_stream_messages(messages: DataFrame, assets: dict[str, str], text: str
     body = F.coalesce(F.get_json_object(text, "$.data"), F.col(text))
     parsed = (
         messages.withColumn("__body", body)
-        .withColumn("__kind", F.get_json_object("__body", "$.e"))
-        .withColumn("__t", F.from_json("__body", TRADE_MESSAGE))
-        .withColumn("__q", F.from_json("__body", QUOTE_MESSAGE))
+        # keys differ only by case (a/A, m/M), so they are read as a map, not as struct fields
+        .withColumn("__m", F.from_json("__body", "map<string,string>"))
+        .withColumn("__kind", F.col("__m")["e"])
     )
+    field = F.col("__m")
     trade = F.coalesce(F.col("__kind") == "aggTrade", F.lit(False))
-    t, q = F.col("__t"), F.col("__q")
-    symbol = F.when(trade, t["s"]).otherwise(q["s"])
-    sequence = F.when(trade, t["a"]).otherwise(q["u"])
+    symbol = field["s"]
+    sequence = F.when(trade, field["a"].try_cast("long")).otherwise(field["u"].try_cast("long"))
     asset = F.lit(None).cast("string")
     for name, value in assets.items():
         asset = F.when(symbol == name, value).otherwise(asset)
     kind = F.when(trade, "aggTrade").otherwise("bookTicker")
-    price, quantity = t["p"].try_cast(AMOUNT), t["q"].try_cast(AMOUNT)
-    bid, ask = q["b"].try_cast(AMOUNT), q["a"].try_cast(AMOUNT)
+    price, quantity = field["p"].try_cast(AMOUNT), field["q"].try_cast(AMOUNT)
+    bid, ask = field["b"].try_cast(AMOUNT), field["a"].try_cast(AMOUNT)
+    traded_ms, quoted_ms = field["T"].try_cast("long"), field["E"].try_cast("long")
+    maker = field["m"].try_cast("boolean")
     short = F.when(trade, "agg").otherwise("book")
     needed = F.when(
-        trade, price.isNotNull() & quantity.isNotNull() & t["T"].isNotNull() & t["m"].isNotNull()
+        trade, price.isNotNull() & quantity.isNotNull() & traded_ms.isNotNull() & maker.isNotNull()
     ).otherwise(bid.isNotNull() & ask.isNotNull())
     usable = F.coalesce(asset.isNotNull() & (sequence >= 0) & needed, F.lit(False))
 
@@ -127,12 +125,12 @@ def parse_stream_messages(messages: DataFrame, assets: dict[str, str], text: str
         only(trade, price).alias("price"),
         only(trade, quantity).alias("quantity"),
         only(trade, notional(price, quantity)).alias("quote_notional"),
-        only(trade, taker_side(t["m"])).alias("side"),
+        only(trade, taker_side(maker)).alias("side"),
         only(~trade, bid).alias("bid_price"),
         only(~trade, ask).alias("ask_price"),
         only(~trade, mid_price(bid, ask)).alias("mid_price"),
-        F.when(trade, t["T"]).otherwise(F.coalesce(q["E"], F.col("received_ms"))).alias("event_ms"),
-        (trade | q["E"].isNotNull()).alias("latency_measurable"),
+        F.when(trade, traded_ms).otherwise(F.coalesce(quoted_ms, F.col("received_ms"))).alias("event_ms"),
+        (trade | quoted_ms.isNotNull()).alias("latency_measurable"),
         F.when(~(usable & known_kind), "INVALID_MESSAGE").alias("tick_error"),
     )
 

@@ -234,7 +234,7 @@ def sequence_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "append_idempotent",
     """WITH stored AS (SELECT o_orderkey AS record_id, max(o_custkey) AS record_hash FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL),
-batch AS (SELECT l_orderkey AS record_id, CASE WHEN l_returnflag = 'A' THEN o_custkey ELSE l_suppkey END AS record_hash, l_linenumber * 1000000000000 + l_partkey * 1000000 + CAST(l_extendedprice AS BIGINT) AS ord
+batch AS (SELECT l_orderkey AS record_id, CASE WHEN l_returnflag = 'A' THEN o_custkey ELSE l_suppkey END AS record_hash, l_linenumber * 1000000000000 + l_partkey * 1000000 + CAST(floor(l_extendedprice) AS BIGINT) AS ord
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 f AS (SELECT record_id, min(ord) AS first_ord, arg_min(record_hash, (ord, record_hash)) AS first_hash FROM batch GROUP BY ALL)
 SELECT b.record_id, b.record_hash, b.ord, CASE WHEN b.record_hash <> coalesce(s.record_hash, first_hash) THEN 'CONFLICT' WHEN s.record_hash IS NULL AND b.ord = first_ord THEN 'APPEND' ELSE 'NO_OP' END AS append_state
@@ -247,7 +247,7 @@ def append_idempotent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = li.select(
         F.col("l_orderkey").alias("record_id"),
         F.when(F.col("l_returnflag") == "A", F.col("o_custkey")).otherwise(F.col("l_suppkey")).alias("record_hash"),
-        (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * 1_000_000 + F.round("l_extendedprice").cast("long")).alias("ord"),
+        (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * 1_000_000 + F.floor("l_extendedprice")).alias("ord"),
     )
     return journals.label_appends(stored, batch, "record_id", "record_hash", "ord")
 
@@ -286,7 +286,7 @@ def append_quote_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journals.append_quote_records(stored, o.filter("o_orderstatus <> 'F'").drop("o_orderstatus"), "snapshot_id", "recorded_ms")
 
 
-@query("prune_by_age", f"SELECT o_orderkey, epoch_us(o_orderdate) // 1000 AS judged_ms FROM orders WHERE epoch_us(o_orderdate) // 1000 >= 996537600000 - 180 * {DAY}")
+@query("prune_by_age", f"SELECT o_orderkey, epoch_us(o_orderdate) // 1000 AS judged_ms FROM orders WHERE epoch_us(o_orderdate) // 1000 >= {996537600000 - 180 * DAY}")
 def prune_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", to_ms(F.col("o_orderdate")).alias("judged_ms"))
     return journals.prune_by_age(o, "judged_ms", 996537600000, 180)
