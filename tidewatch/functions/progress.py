@@ -7,7 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewatch.functions.decimals import RATIO, ratio
+from tidewatch.functions.decimals import RATIO
+from tidewatch.functions.decimals import price_ratio as ratio
 
 EPSILON = Decimal("0.000000000001")
 

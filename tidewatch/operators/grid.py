@@ -28,6 +28,9 @@ from tidewatch.functions.times import int_div
 from tidewatch.operators.running import Measure, running
 
 
+SEGMENT_POINTS = 4096
+
+
 @dataclass(frozen=True)
 class Grid:
     """Regular evaluation instants from ``start_ms`` to ``end_ms`` (both included)."""
@@ -37,9 +40,19 @@ class Grid:
     step_ms: int
     bucket_ms: int | None = None
 
+    @property
+    def points(self) -> int:
+        return max(0, (self.end_ms - self.start_ms) // self.step_ms + 1)
+
+    def segment(self, at: str = "as_of_ms") -> Column | None:
+        """Segments of 4,096 instants; none when the whole grid is that short."""
+        if self.points <= SEGMENT_POINTS:
+            return None
+        return int_div(F.col(at) - F.lit(self.start_ms), SEGMENT_POINTS * self.step_ms)
+
     def bucket(self, lookback_ms: int, resolution_ms: int) -> int:
         """Bucket width in resolution steps: at least the look-back and 4,096 grid steps."""
-        width = self.bucket_ms or max(lookback_ms, 4096 * self.step_ms)
+        width = self.bucket_ms or max(lookback_ms, SEGMENT_POINTS * self.step_ms)
         return max(1, math.ceil(max(width, lookback_ms) / resolution_ms))
 
     def instants(self, spark: SparkSession) -> DataFrame:
@@ -172,14 +185,17 @@ def asof_any_age(
         merged = cells.unionByName(rows, allowMissingColumns=True).withColumn(
             "__grid", F.when(F.col("as_of_ms").isNull(), 0).otherwise(1)
         )
-        steps = grid.bucket(0, grid.step_ms)
+        # earlier cells all fall into the first segment, later ones follow the grid
+        segment = None
+        if grid.points > SEGMENT_POINTS:
+            segment = F.greatest(F.lit(0).cast("long"), int_div(int_div(F.col("cell"), 2), SEGMENT_POINTS))
         result = (
             running(
                 merged.withColumnRenamed(name, "__row"),
                 keys,
                 ["cell", "__grid"],
                 {name: Measure("max", F.col("__row"))},
-                segment=int_div(int_div(F.col("cell"), 2), steps),
+                segment=segment,
             )
             .filter("__grid = 1")
             .select(*keys, "as_of_ms", name)

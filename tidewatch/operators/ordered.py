@@ -18,7 +18,7 @@ from tidewatch.operators.running import SEGMENT, Measure, running
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
-                  segment: Column) -> DataFrame:
+                  segment: Column | None) -> DataFrame:
     """Newest earlier non-null value per key, as new columns."""
     return running(
         df, keys, order, {n: Measure("last", v) for n, v in values.items()}, inclusive=False, segment=segment
@@ -26,7 +26,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
 
 def persistence(df: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column,
-                segment: Column, name: str = "held") -> DataFrame:
+                segment: Column | None, name: str = "held") -> DataFrame:
     """``<name>_since`` and whole ``<name>_seconds`` of the current streak of true.
 
     Anything but true (false, null) ends the streak; the first true instant counts 0 seconds.
@@ -47,7 +47,7 @@ def persistence(df: DataFrame, keys: Sequence[str], order: Sequence[str], condit
     )
 
 
-def running_low(df: DataFrame, keys: Sequence[str], order: Sequence[str], price: Column, segment: Column,
+def running_low(df: DataFrame, keys: Sequence[str], order: Sequence[str], price: Column, segment: Column | None,
                 started_ms: Column | None = None) -> DataFrame:
     """Lowest price so far, when it was first reached, and whole seconds since.
 
@@ -76,14 +76,14 @@ def shared_low_clock(lows: DataFrame, at: str) -> DataFrame:
     )
 
 
-def stage_changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], stage: str, segment: Column) -> DataFrame:
+def stage_changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], stage: str, segment: Column | None) -> DataFrame:
     """Rows whose stage differs from the row before (the first row changes from null)."""
     return with_previous(df, keys, order, {"from_stage": F.col(stage)}, segment).filter(
         F.col("from_stage").isNull() | (F.col("from_stage") != F.col(stage))
     )
 
 
-def stage_entered(df: DataFrame, keys: Sequence[str], order: Sequence[str], stage: str, segment: Column) -> DataFrame:
+def stage_entered(df: DataFrame, keys: Sequence[str], order: Sequence[str], stage: str, segment: Column | None) -> DataFrame:
     """First instant (``order[0]``) of the current run of equal stages."""
     at = order[0]
     before = with_previous(df, keys, order, {"__from": F.col(stage)}, segment)
@@ -99,7 +99,7 @@ def first_hits(df: DataFrame, keys: Sequence[str], at: str, conditions: dict[str
     return df.groupBy(*keys).agg(*[F.min(F.when(c, F.col(at))).alias(n) for n, c in conditions.items()])
 
 
-def latched_context(df: DataFrame, keys: Sequence[str], order: Sequence[str], ready: Column, segment: Column,
+def latched_context(df: DataFrame, keys: Sequence[str], order: Sequence[str], ready: Column, segment: Column | None,
                     recorded: Column | None = None) -> DataFrame:
     """Context that stays set from the first ready instant, or from a user-recorded one.
 
@@ -121,7 +121,7 @@ def latched_context(df: DataFrame, keys: Sequence[str], order: Sequence[str], re
     )
 
 
-def contiguous_observed(samples: DataFrame, keys: Sequence[str], at: str, limit_ms: int, segment: Column) -> DataFrame:
+def contiguous_observed(samples: DataFrame, keys: Sequence[str], at: str, limit_ms: int, segment: Column | None) -> DataFrame:
     """Sum of the gaps between neighbouring samples that are at most ``limit_ms``."""
     gaps = with_previous(samples, keys, [at], {"__previous": F.col(at)}, segment)
     gap = F.col(at) - F.col("__previous")

@@ -68,9 +68,12 @@ def running(
     """Add running aggregates per key in ``order``; ``inclusive=False`` leaves the row out.
 
     ``df`` holds ``__segment`` (see :func:`with_segments`) or ``segment`` is given; segments
-    must not decrease along ``order``.  ``order`` should end in a unique id.
+    must not decrease along ``order``.  ``order`` should end in a unique id.  Without either the
+    caller states that a key is bounded (a short grid) and one plain window does the work.
     """
     keys = list(keys)
+    if segment is None and SEGMENT not in df.columns:
+        return _bounded(df, keys, order, measures, inclusive)
     work = df if segment is None else df.withColumn(SEGMENT, segment)
     by = [*keys, SEGMENT]
     ordered = F.struct(*order)
@@ -125,6 +128,25 @@ def running(
     return joined.select(*columns)
 
 
+def _bounded(
+    df: DataFrame, keys: list[str], order: Sequence[str], measures: dict[str, Measure], inclusive: bool
+) -> DataFrame:
+    window = (
+        Window.partitionBy(*(keys or [F.lit(0)]))
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    )
+    columns = []
+    for name, m in measures.items():
+        if m.kind == "last":
+            row = F.when(m.value.isNotNull(), F.struct(F.struct(*order).alias("o"), m.value.alias("v")))
+            columns.append(F.max(row).over(window)["v"].alias(name))
+        else:
+            function = {"max": F.max, "min": F.min, "sum": F.sum}[m.kind]
+            columns.append(function(m.value).over(window).alias(name))
+    return df.select("*", *columns)
+
+
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_number",
     segment: Column | None = None,

@@ -10,23 +10,19 @@ from pyspark.sql import functions as F
 from tidewatch.config import PanelRules
 from tidewatch.functions.decimals import RATIO
 from tidewatch.functions.progress import gap_for, panel_progress, passes
-from tidewatch.functions.times import int_div, whole_seconds
+from tidewatch.functions.times import whole_seconds
 from tidewatch.operators.features import asset_state, order_flow_received
 from tidewatch.operators.grid import Grid
 from tidewatch.operators.lookups import latest_qualifying
 from tidewatch.operators.news import timeless_gate
 from tidewatch.operators.ordered import latched_context, running_low
 from tidewatch.operators.running import Measure, running
+from tidewatch.session import checkpointed
 
 SELL_CONDITIONS = ("S1", "S2", "S3", "S4")
 REBUY_CONDITIONS = ("B1", "B2", "B3", "B4")
 
 
-def grid_segment(grid: Grid, at: str = "as_of_ms") -> Column:
-    """Segments of a fixed number of grid instants."""
-    return int_div(F.col(at) - F.lit(grid.start_ms), 4096 * grid.step_ms)
-
-
 def grid_timers(df: DataFrame, keys: Sequence[str], grid: Grid, conditions: dict[str, Column]) -> DataFrame:
     """Whole seconds each condition has been true without a break, 0 when it is not.
 
@@ -37,7 +33,7 @@ def grid_timers(df: DataFrame, keys: Sequence[str], grid: Grid, conditions: dict
     measures = {
         f"__broken_{n}": Measure("max", F.when(~F.coalesce(c, F.lit(False)), at)) for n, c in conditions.items()
     }
-    found = running(df, keys, ["as_of_ms"], measures, segment=grid_segment(grid))
+    found = running(df, keys, ["as_of_ms"], measures, segment=grid.segment())
     columns = []
     for name in conditions:
         broken = F.col(f"__broken_{name}")
@@ -58,7 +54,7 @@ def market_frame(
         rules.freshness_ms, rules.return_window_ms, rules.retention_ms,
     )
     fresh = F.col("freshness") == "FRESH"
-    lows = running_low(states, [key], ["as_of_ms"], F.when(fresh, F.col("price")), grid_segment(grid))
+    lows = running_low(states, [key], ["as_of_ms"], F.when(fresh, F.col("price")), grid.segment())
     columns = []
     for i, asset in enumerate(assets):
         mine = F.col(key) == asset
@@ -234,7 +230,7 @@ def panels(judged: DataFrame, grid: Grid, recorded: Column | None = None) -> Dat
     """
     ready = (_passed(SELL_CONDITIONS) == 4).alias("ready")
     latched = latched_context(
-        judged.withColumn("__ready", ready), [], ["as_of_ms"], F.col("__ready"), grid_segment(grid), recorded
+        judged.withColumn("__ready", ready), [], ["as_of_ms"], F.col("__ready"), grid.segment(), recorded
     )
     market = ("S2", "S3", "S4")
     stressed = _passed(market) == 3
@@ -285,6 +281,8 @@ def evaluate(
     """The whole pipeline from ticks and classified news to panels.
 
     ``health``: ``as_of_ms``, ``news_status``, ``market_status``; both HEALTHY when not given.
+    The frame (one row per instant) is checkpointed before the timers and the latch, which
+    each read it twice, so the work over the ticks is done once.
     """
     frame = market_frame(quotes, trades, gaps, key, grid, references, target, rules)
     instants = grid.instants(quotes.sparkSession)
@@ -299,7 +297,7 @@ def evaluate(
         joined = joined.join(health, "as_of_ms", "left").fillna(
             "WARMING_UP", ["news_status", "market_status"]
         )
-    return panels(conditions(joined, grid, references, rules), grid)
+    return panels(conditions(checkpointed(joined), grid, references, rules), grid)
 
 
 def long_conditions(evaluated: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from tidewatch.config import DEFAULT, PANEL_TRANSITIONS
 from tidewatch.operators import features, lookups, news as news_ops
 from tidewatch.operators.ordered import first_hits, persistence
 from tidewatch.plans import panels, reports, staged
+from tidewatch.session import checkpointed
 from tidewatch.workload.market import (
     FLOW_WINDOW_SQL, GAPS_SQL, RECEIVED_FLOW_SQL, ONE_PER_TIME, EVENT_ASOF_SQL, gaps_of, tick_grid,
 )
@@ -93,7 +94,7 @@ cond AS (SELECT *, CASE WHEN NOT usable THEN 'STALE' WHEN item_ms IS NULL THEN '
   CASE WHEN flow_state = 'STALE' THEN 'STALE' WHEN flow_state <> 'KNOWN' THEN 'UNKNOWN' WHEN (only_buys OR coalesce(ratio >= 1.1, false)) AND normal_seconds >= 7200 THEN 'PASS' ELSE 'FAIL' END AS B4 FROM timed),
 progress AS (SELECT *, CASE WHEN usable THEN CASE WHEN item_ms IS NULL THEN 0.0 ELSE 1.0 END END AS S1_progress,
   CASE WHEN r0 IS NOT NULL AND r1 IS NOT NULL AND r2 IS NOT NULL THEN least(1.0, ((r0 <= -0.1)::INT + (r1 <= -0.2)::INT + (r2 <= -0.3)::INT) / 2.0) END AS S2_progress,
-  CASE WHEN excess <= -0.25 THEN 1.0 WHEN excess >= 0 THEN 0.0 ELSE least(1.0, abs(excess) / 0.25) END AS S3_progress,
+  CASE WHEN excess IS NULL THEN NULL WHEN excess <= -0.25 THEN 1.0 WHEN excess >= 0 THEN 0.0 ELSE least(1.0, abs(excess) / 0.25) END AS S3_progress,
   CASE WHEN ratio IS NOT NULL THEN least(1.0, CASE WHEN ratio <= 0.8 THEN 1.0 ELSE 0.0 END, pressure_seconds / 3600.0) END AS S4_progress,
   CASE WHEN usable THEN CASE WHEN item_ms IS NULL THEN 1.0 ELSE least(1.0, item_age / 14400.0) END END AS B1_progress,
   CASE WHEN fresh_assets = 4 THEN least(1.0, low_seconds / 86400.0) END AS B2_progress,
@@ -218,7 +219,7 @@ def snapshot_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots with timers, news context and quote outcome."""
     hour = F.floor(F.col("as_of_ms") / HOUR)
-    s = snapshots(spark, sf_dir)
+    s = checkpointed(snapshots(spark, sf_dir))
     ratio = F.col("buy_sell_ratio")
     timed = panels.grid_timers(
         s, [], tick_grid(ticks(spark, sf_dir)),
