@@ -141,8 +141,12 @@ def streak_seconds(stream: DataFrame, key: str, at: str, condition: str) -> Data
     )
 
 
-def poll_revisions(stream: DataFrame, item: str, order: str, content_hash: str, keep_ms: int = 30 * 86_400_000) -> DataFrame:
-    """Revision number and duplicate flag per item; an item silent for ``keep_ms`` is forgotten."""
+def poll_revisions(stream: DataFrame, item: str, order: str, content_hash: str, keep_ms: int | None = None) -> DataFrame:
+    """Revision number and duplicate flag per item.
+
+    With ``keep_ms`` an item silent for that long is forgotten.  That needs a continuous trigger:
+    an available-now run would wait for the timeouts.
+    """
     def revise(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -156,13 +160,15 @@ def poll_revisions(stream: DataFrame, item: str, order: str, content_hash: str,
                 known, revision = value, revision + 1
             numbers.append(revision)
         state.update((known, revision))
-        state.setTimeoutDuration(keep_ms)
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame({item: group[0], order: rows[order], "revision": numbers, "is_duplicate": repeats})
 
     types = {f.name: f.dataType.simpleString() for f in stream.schema}
     return stream.groupBy(item).applyInPandasWithState(
         revise, f"{item} {types[item]}, {order} {types[order]}, revision long, is_duplicate boolean",
-        "hash string, revision long", "append", GroupStateTimeout.ProcessingTimeTimeout,
+        "hash string, revision long", "append",
+        GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
