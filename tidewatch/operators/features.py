@@ -6,6 +6,7 @@ and, for trades, ``quantity`` (null when not KNOWN) and ``side`` (BUY, SELL, UNK
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -136,7 +137,8 @@ def max_drawdown(
     cell; a grid row folds at most ``window / step`` cells.  A cell with rows received after
     its end keeps its milliseconds apart, because later instants see more of it.
     """
-    res = resolution(grid, window_ms)
+    # cells of at most a minute, so that a cell folds at most 60,000 distinct milliseconds
+    res = math.gcd(resolution(grid, window_ms), 60_000)
     start = F.lit(grid.start_ms).cast("long")
     seen = F.greatest(F.col("event_ms"), F.col("received_ms"))
     seen_point = int_div(seen - start + (res - 1), res)
@@ -512,17 +514,16 @@ def data_health(
 
 
 def evidence_union(df: DataFrame, keys: Sequence[str], row_id: str, evidence: str) -> DataFrame:
-    """Distinct ids of the rows and of their evidence, sorted.
+    """Distinct ids of the rows and of their evidence, one row per key and id.
 
-    Exploded and de-duplicated before gathering, so copies of one id cost one row.
+    Long form on purpose: a key may own a third of all ids, which must not become one array.
     """
-    ids = df.select(
-        *keys,
-        F.explode(
-            F.array_append(F.coalesce(F.col(evidence), F.array().cast("array<string>")), F.col(row_id))
-        ).alias("evidence_id"),
-    ).distinct()
-    return ids.groupBy(*keys).agg(
-        F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"),
-        F.count(F.lit(1)).alias("evidence_count"),
-    )
+    none = F.array().cast("array<string>")
+    listed = F.array_append(F.coalesce(F.col(evidence), none), F.col(row_id))
+    return df.select(*keys, F.explode(listed).alias("evidence_id")).distinct()
+
+
+def evidence_array(left: Column, right: Column) -> Column:
+    """Distinct ids of two bounded evidence lists of one row."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(left, none), F.coalesce(right, none)))

@@ -16,24 +16,24 @@ from tidewatch.operators.running import Measure, running, with_segments
 
 def asof_join(
     probes: DataFrame, series: DataFrame, keys: Sequence[str], at: str, series_ms: str, fields: Sequence[str],
-    name: str = "found", segments: int | None = None,
+    name: str = "found", segments: int | None = None, by_time: bool = True,
 ) -> DataFrame:
     """For each probe the newest series row of its key at or before ``at`` (an exact hit counts).
 
     Both sides are reduced to one row per key and millisecond, put in one order and scanned in
     segments, so neither a hot key nor repeated probes gather in one task.  ``fields`` order
-    rows of equal time.
+    rows of equal time; with ``by_time=False`` they alone decide which of the rows seen so far wins.
     """
     keys = list(keys)
-    latest = series.groupBy(*keys, F.col(series_ms).alias("__ms")).agg(
-        F.max(F.struct(F.col(series_ms), *fields)).alias("__row")
-    )
+    held = F.struct(F.col(series_ms), *fields) if by_time else F.struct(*fields)
+    latest = series.groupBy(*keys, F.col(series_ms).alias("__ms")).agg(F.max(held).alias("__row"))
     wanted = probes.select(*keys, F.col(at).alias("__ms")).distinct()
     merged = latest.withColumn("__probe", F.lit(0)).unionByName(
         wanted.withColumn("__probe", F.lit(1)), allowMissingColumns=True
     )
+    sample = series.select(F.col(series_ms).alias("__ms"))
     scanned = running(
-        with_segments(merged, "__ms", segments), keys, ["__ms", "__probe"],
+        with_segments(merged, "__ms", segments, sample), keys, ["__ms", "__probe"],
         {name: Measure("max", F.col("__row"))},
     )
     answers = scanned.filter("__probe = 1").select(*keys, F.col("__ms").alias(at), name)
@@ -69,8 +69,9 @@ def flow_at(
     merged = per_ms.withColumn("__order", F.lit(0)).unionByName(
         edges.withColumn("__order", F.lit(1)), allowMissingColumns=True
     )
+    sample = trades.select(F.col(trade_ms).alias("__ms"))
     scanned = running(
-        with_segments(merged, "__ms", segments), keys, ["__ms", "__order"],
+        with_segments(merged, "__ms", segments, sample), keys, ["__ms", "__order"],
         {f"__{c}": Measure("sum", F.col(c)) for c in ("buy", "sell", "n")},
     )
     zero = F.lit(0).cast(AMOUNT)
@@ -114,19 +115,23 @@ def return_at(
 
 def freeze_baseline(
     events: DataFrame, series: DataFrame, keys: Sequence[str], armed_ms: str, tolerance_ms: int,
-    value: str = "value", row_id: str = "id",
+    value: str = "value", row_id: str = "id", segments: int | None = None,
 ) -> DataFrame:
     """Newest KNOWN series row observed within the tolerance before arming and received by then.
 
-    ``series``: keys, ``observed_ms``, ``received_ms``, value (null when not KNOWN), id.  A row
-    is eligible for arming instants from the later of its two times to observed + tolerance.
+    ``series``: keys, ``observed_ms``, ``received_ms``, value (null when not KNOWN), id.  A row is seen
+    from the later of its two times.  The newest observation seen so far is the only candidate:
+    if it is too old, so are all others.
     """
-    eligible = series.filter(F.col(value).isNotNull())
-    low = F.greatest(F.col("observed_ms"), F.col("received_ms"))
-    high = F.col("observed_ms") + F.lit(tolerance_ms)
-    held = F.struct(F.col("observed_ms"), F.col(row_id).alias("id"), F.col(value).alias("value"))
-    found = stabbing_max(events, eligible, keys, armed_ms, low, high, held, tolerance_ms, "__base")
-    return found.select(
+    eligible = series.filter(F.col(value).isNotNull()).select(
+        *keys, "observed_ms", F.col(row_id).alias("id"), F.col(value).alias("value"),
+        F.greatest("observed_ms", "received_ms").alias("__seen"),
+    )
+    found = asof_join(
+        events, eligible, keys, armed_ms, "__seen", ["observed_ms", "id", "value"], "__base", segments, by_time=False
+    )
+    base = F.when(F.col(armed_ms) - F.col("__base.observed_ms") <= tolerance_ms, F.col("__base"))
+    return found.withColumn("__base", base).select(
         *events.columns,
         F.col("__base.value").alias("baseline"),
         F.col("__base.observed_ms").alias("baseline_ms"),

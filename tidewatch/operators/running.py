@@ -33,18 +33,22 @@ def fixed_segments(column: Column, width: int) -> Column:
     return ((column - F.pmod(column, w)) / w).cast("long")
 
 
-def with_segments(df: DataFrame, order_ms: str, segments: int | None = None) -> DataFrame:
+def with_segments(
+    df: DataFrame, order_ms: str, segments: int | None = None, sample: DataFrame | None = None
+) -> DataFrame:
     """Add ``__segment`` from quantiles of the order column, so bursts spread evenly.
 
-    Like Spark's own range sort this samples the order column first (one pruned scan);
-    the bounds are a short list of numbers, one per segment, whatever the data size.
+    Like Spark's own range sort this looks at the order column first; the bounds are a short
+    list of numbers, one per segment, whatever the data size.  ``sample`` names a cheaper
+    DataFrame with the same column (a plain scan instead of a derived result).
     """
     if segments is None:
         segments = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     if segments <= 1:
         return df.withColumn(SEGMENT, F.lit(0).cast("long"))
     quantiles = [i / segments for i in range(1, segments)]
-    bounds = df.select(F.col(order_ms).cast("double").alias("o")).approxQuantile(
+    source = df if sample is None else sample
+    bounds = source.select(F.col(order_ms).cast("double").alias("o")).approxQuantile(
         "o", quantiles, 1 / (4 * segments)
     )
     bounds = sorted(set(bounds))

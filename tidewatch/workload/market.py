@@ -391,7 +391,7 @@ def data_health_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "evidence_union",
     f"""WITH {TICKS_SQL}, ids AS (SELECT DISTINCT asset, unnest([CAST(id AS VARCHAR), 'side:' || side, 'lot:' || coalesce(CAST(CAST(quantity AS BIGINT) AS VARCHAR), 'none')]) AS v FROM ticks)
-SELECT asset, count(*) AS evidence_count, sha256(string_agg(v, ',' ORDER BY v)) AS evidence_hash FROM ids GROUP BY ALL""",
+SELECT asset, v AS evidence_id FROM ids""",
 )
 def evidence_union_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir).select(
@@ -401,8 +401,7 @@ def evidence_union_query(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("lot:"), F.coalesce(F.col("quantity").cast("long").cast("string"), F.lit("none"))),
         ).alias("evidence"),
     )
-    found = features.evidence_union(t, ["asset"], "id", "evidence")
-    return found.select("asset", "evidence_count", F.sha2(F.array_join("evidence_ids", ","), 256).alias("evidence_hash"))
+    return features.evidence_union(t, ["asset"], "id", "evidence")
 
 
 @query(
