@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import ordered
 from tidewatch.operators.arrivals import classify_arrivals, coverage_summary
 from tidewatch.operators.grid import stabbing_max
-from tidewatch.operators.running import Measure, fixed_segments, newest_rows, numbered, running, with_segments
+from tidewatch.operators.running import Measure, fixed_segments, newest_rows, numbered, running, segmented, with_segments
 
 
 def rows(seed=1, n=400, keys=3):
@@ -62,6 +62,18 @@ def test_numbered_and_newest(spark):
         assert {r["id"] for r in kept if r["k"] == k} == {d[2] for d in want}
 
 
+def test_one_crowded_instant_is_cut_by_the_tie(spark):
+    """Most rows share one instant: still several segments, in order, and right numbers."""
+    r = random.Random(6)
+    data = [(("k", 50 if r.random() < 0.7 else r.randrange(0, 100), i)) for i in range(2000)]
+    df = segmented(spark.createDataFrame(data, "k string, t long, id long").repartition(4), ["t", "id"], 8)
+    cut = df.groupBy("__segment").agg(F.count("*").alias("n"), F.min(F.struct("t", "id")).alias("lo"), F.max(F.struct("t", "id")).alias("hi")).orderBy("__segment").collect()
+    assert max(x["n"] for x in cut) < 600
+    assert all(a["hi"] < b["lo"] for a, b in zip(cut, cut[1:]))
+    got = {x["id"]: x["n"] for x in numbered(df, ["k"], ["t", "id"], "n").collect()}
+    assert all(got[d[2]] == n for n, d in enumerate(sorted(data, key=lambda x: (x[1], x[2])), 1))
+
+
 def test_arrivals_known_case(spark):
     df = spark.createDataFrame([("T", i, s) for i, s in enumerate([10, 10, 9, 13])], "symbol string, t long, seq long")
     got = classify_arrivals(df, ["symbol"], ["t"], "seq", F.lit(True), 3).orderBy("t").collect()

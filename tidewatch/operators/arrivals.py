@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.knowledge import freshness
 from tidewatch.functions.times import age_ms
-from tidewatch.operators.running import Measure, newest_rows, running, with_segments
+from tidewatch.operators.running import Measure, newest_rows, running, segmented
 
 
 def classify_arrivals(
@@ -29,7 +29,7 @@ def classify_arrivals(
     keys = list(keys)
     staged = arrivals.select("*", F.col(sequence).alias("__seq"))
     scanned = running(
-        with_segments(staged, order[0], segments),
+        segmented(staged, order, segments),
         keys,
         order,
         {"previous_sequence": Measure("max", F.col("__seq"))},
@@ -178,7 +178,7 @@ def coverage_summary(trades: DataFrame, keys: Sequence[str], order: Sequence[str
                      segments: int | None = None) -> DataFrame:
     """Records, gap events and missing ids between neighbours in time order."""
     scanned = running(
-        with_segments(trades, order[0], segments),
+        segmented(trades, order, segments),
         keys,
         order,
         {"previous": Measure("last", F.col(sequence))},

@@ -9,12 +9,14 @@ segment is a bounded piece of work; the carry table has one row per key and segm
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 SEGMENT = "__segment"
 
@@ -34,31 +36,58 @@ def fixed_segments(column: Column, width: int) -> Column:
 
 
 def with_segments(
-    df: DataFrame, order_ms: str, segments: int | None = None, sample: DataFrame | None = None
+    df: DataFrame, order_ms: str, segments: int | None = None, sample: DataFrame | None = None, tie: str | None = None
 ) -> DataFrame:
     """Add ``__segment`` from quantiles of the order column, so bursts spread evenly.
 
     Like Spark's own range sort this looks at the order column first; the bounds are a short
     list of numbers, one per segment, whatever the data size.  ``sample`` names a cheaper
-    DataFrame with the same column (a plain scan instead of a derived result).
+    DataFrame with the same columns (a plain scan instead of a derived result).  A single
+    instant that fills several segments is cut further by ``tie``, the next order column, when
+    that is a number.
     """
     if segments is None:
         segments = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    source = df if sample is None else sample
     if segments <= 1:
         return df.withColumn(SEGMENT, F.lit(0).cast("long"))
     quantiles = [i / segments for i in range(1, segments)]
-    source = df if sample is None else sample
-    bounds = source.select(F.col(order_ms).cast("double").alias("o")).approxQuantile(
-        "o", quantiles, 1 / (4 * segments)
-    )
-    bounds = sorted(set(bounds))
+    found = source.select(F.col(order_ms).cast("double").alias("o")).approxQuantile("o", quantiles, 1 / (4 * segments))
+    bounds = sorted(set(found))
     if not bounds:
         return df.withColumn(SEGMENT, F.lit(0).cast("long"))
     splits = [float("-inf"), *bounds, float("inf")]
     marked = Bucketizer(splits=splits, inputCol="__segment_order", outputCol="__segment_bucket").transform(
         df.withColumn("__segment_order", F.col(order_ms).cast("double"))
     )
-    return marked.withColumn(SEGMENT, F.col("__segment_bucket").cast("long")).drop("__segment_order", "__segment_bucket")
+    segment = F.col("__segment_bucket").cast("long")
+    crowded = [v for v in bounds if found.count(v) > 1]
+    if crowded and tie is not None and isinstance(df.schema[tie].dataType, (LongType, IntegerType)):
+        segment = segment * (segments + 2) + _within_instant(source, order_ms, tie, crowded, segments)
+    return marked.withColumn(SEGMENT, segment).drop("__segment_order", "__segment_bucket")
+
+
+def _within_instant(source: DataFrame, order_ms: str, tie: str, crowded: list[float], segments: int) -> Column:
+    """Position inside the bucket that starts with a crowded instant.
+
+    Rows of the instant come first, cut by quantiles of ``tie``; later rows of the bucket follow.
+    """
+    order = F.col(order_ms).cast("double")
+    cuts = (
+        source.filter(order.isin(crowded))
+        .groupBy(order.alias("o"))
+        .agg(F.percentile_approx(tie, [i / segments for i in range(1, segments)], 10 * segments).alias("cuts"))
+        .collect()
+    )
+    position = F.lit(0)
+    for row in cuts:
+        inside = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(row["cuts"]))]), lambda c: c <= F.col(tie)))
+        start = bisect_right(crowded_bounds := sorted(crowded), row["o"])
+        after = crowded_bounds[start] if start < len(crowded_bounds) else float("inf")
+        position = F.when(order == row["o"], inside).when(
+            (order > row["o"]) & (order < after), segments + 1
+        ).otherwise(position)
+    return position
 
 
 def running(
@@ -151,6 +180,11 @@ def _bounded(
     return df.select("*", *columns)
 
 
+def segmented(df: DataFrame, order: Sequence[str], segments: int | None = None) -> DataFrame:
+    """:func:`with_segments` for an order of columns: the first, and the next as the tie-break."""
+    return with_segments(df, order[0], segments, tie=order[1] if len(order) > 1 else None)
+
+
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_number",
     segment: Column | None = None,

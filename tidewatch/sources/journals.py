@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.hashing import prefixed, sha256, sorted_json
 from tidewatch.functions.times import to_text
-from tidewatch.operators.running import numbered, with_segments
+from tidewatch.operators.running import numbered, segmented
 
 BAD_LINE = "_corrupt_record"
 
@@ -65,7 +65,7 @@ def append_sequenced(
     The record id hashes (sequence, kind, time, payload digest).
     """
     keys = list(keys)
-    ranked = numbered(with_segments(batch, order[0], segments), keys, order, "__n").drop("__segment")
+    ranked = numbered(segmented(batch, order, segments), keys, order, "__n").drop("__segment")
     if last_sequences is not None:
         ranked = ranked.join(last_sequences.select(*keys, F.col("sequence").alias("__last")), keys, "left")
     else:
@@ -113,7 +113,7 @@ def to_replay_events(
     """Order by (received, id), number from 1 per run and wrap the payload."""
     rest = sorted(observations.columns)
     ranked = numbered(
-        with_segments(observations, received_ms, segments), keys, [received_ms, row_id], "ingestion_sequence"
+        segmented(observations, [received_ms, row_id], segments), keys, [received_ms, row_id], "ingestion_sequence"
     ).drop("__segment")
     return ranked.select(
         *keys, F.col(row_id).alias("event_id"), F.col(received_ms).alias("received_ms"), "ingestion_sequence",
@@ -139,7 +139,7 @@ def replay_step(events: DataFrame, keys: Sequence[str], n: int, after_ms: int |
         raise ValueError("step count must be positive")
     pending = events if after_ms is None else events.filter(F.col("received_ms") > after_ms)
     return numbered(
-        with_segments(pending, "received_ms", segments), keys, list(REPLAY_ORDER), "position"
+        segmented(pending, REPLAY_ORDER, segments), keys, list(REPLAY_ORDER), "position"
     ).drop("__segment").filter(F.col("position") <= n)
 
 
@@ -168,7 +168,7 @@ def replay_manifest(
     keys = list(keys)
     row_hash = sha256(F.concat_ws("|", *[F.col(c) for c in ("received_ms", "ingestion_sequence", "event_id", "kind", "payload")]))
     ranked = numbered(
-        with_segments(events, "received_ms", segments), keys, list(REPLAY_ORDER), "__n"
+        segmented(events, REPLAY_ORDER, segments), keys, list(REPLAY_ORDER), "__n"
     ).select(*keys, (F.col("__n") - 1).alias("__n"), row_hash.alias("__h"), "received_ms")
     level = ranked.groupBy(*keys, F.floor(F.col("__n") / fan_in).cast("long").alias("__c")).agg(
         F.array_sort(F.collect_list(F.struct("__n", "__h"))).alias("__l"),
