@@ -47,6 +47,13 @@ def test_baseline_boundaries(spark):
     assert got == {150: 4, 151: 2, 190: 2, 200: 2, 201: None, 89: 1}
 
 
+def test_flow_without_a_known_quantity_is_unknown(spark):
+    rows = [("x", 1, 1000, Decimal(2), None, "SELL"), ("x", 2, 9000, Decimal(2), Decimal(3), "BUY"), ("x", 3, 9500, Decimal(2), None, "SELL")]
+    trades = spark.createDataFrame(rows, "asset string, id long, at long, price decimal(20,8), quantity decimal(20,8), side string")
+    got = {r["id"]: (r["buy_notional"], r["sell_notional"], r["records"]) for r in lookups.flow_at(trades.select("asset", "id", "at"), trades, ["asset"], "at", "at", 2000).collect()}
+    assert got == {1: (None, None, 1), 2: (6, 0, 1), 3: (6, 0, 2)}
+
+
 def test_quote_states(spark):
     rows = [
         ("s1", "AGGREGATOR", "1", "100", 5), ("s1", "CANONICAL_POOL", "1", "101", 5), ("s2", "AGGREGATOR", "1", "100", 5), ("s2", "CANONICAL_POOL", "1", "102", 5),

@@ -46,6 +46,7 @@ def flow_at(
 ) -> DataFrame:
     """Buy, sell and record sums in ``[t - window, t]`` at chosen instants.
 
+    Amounts are UNKNOWN (null), not zero, when no trade of the window has a known quantity and side.
     The window sum is the running sum at *t* minus the running sum just before the window, so
     each trade is read once whatever the number and overlap of the probes.
     """
@@ -54,8 +55,10 @@ def flow_at(
     per_ms = trades.groupBy(*keys, F.col(trade_ms).alias("__ms")).agg(
         F.sum(F.when(F.col("side") == "BUY", value)).alias("buy"),
         F.sum(F.when(F.col("side") == "SELL", value)).alias("sell"),
+        F.count_if(F.col("quantity").isNotNull() & F.col("side").isin("BUY", "SELL")).alias("eligible"),
         F.count(F.lit(1)).alias("n"),
     )
+    sums = ("buy", "sell", "eligible", "n")
     instants = probes.select(*keys, at).distinct()
     edges = instants.select(
         *keys, at,
@@ -72,7 +75,7 @@ def flow_at(
     sample = trades.select(F.col(trade_ms).alias("__ms"))
     scanned = running(
         with_segments(merged, "__ms", segments, sample), keys, ["__ms", "__order"],
-        {f"__{c}": Measure("sum", F.col(c)) for c in ("buy", "sell", "n")},
+        {f"__{c}": Measure("sum", F.col(c)) for c in sums},
     )
     zero = F.lit(0).cast(AMOUNT)
     summed = (
@@ -81,13 +84,13 @@ def flow_at(
         .agg(
             *[
                 F.sum(F.coalesce(F.col(f"__{c}"), F.lit(0)) * F.col("__sign")).alias(f"__{c}")
-                for c in ("buy", "sell", "n")
+                for c in sums
             ]
         )
         .select(
             *keys, at,
-            F.col("__buy").cast(AMOUNT).alias("buy_notional"),
-            F.col("__sell").cast(AMOUNT).alias("sell_notional"),
+            F.when(F.col("__eligible") > 0, F.col("__buy").cast(AMOUNT)).alias("buy_notional"),
+            F.when(F.col("__eligible") > 0, F.col("__sell").cast(AMOUNT)).alias("sell_notional"),
             F.col("__n").cast("long").alias("records"),
         )
         .withColumn(

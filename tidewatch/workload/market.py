@@ -148,8 +148,8 @@ def exact_or_previous_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     "metrics_at_instants",
     f"""WITH {TICKS_SQL}, {CLOSES_SQL},
 cum AS (SELECT asset, event_ms,
-    sum(CASE WHEN side = 'BUY' THEN CAST(price * quantity AS DECIMAL(20,8)) ELSE 0 END) OVER w AS buy,
-    sum(CASE WHEN side = 'SELL' THEN CAST(price * quantity AS DECIMAL(20,8)) ELSE 0 END) OVER w AS sell,
+    CASE WHEN count(CASE WHEN quantity IS NOT NULL AND side <> 'UNKNOWN' THEN 1 END) OVER w > 0 THEN coalesce(sum(CASE WHEN side = 'BUY' THEN CAST(price * quantity AS DECIMAL(20,8)) END) OVER w, 0) END AS buy,
+    CASE WHEN count(CASE WHEN quantity IS NOT NULL AND side <> 'UNKNOWN' THEN 1 END) OVER w > 0 THEN coalesce(sum(CASE WHEN side = 'SELL' THEN CAST(price * quantity AS DECIMAL(20,8)) END) OVER w, 0) END AS sell,
     count(*) OVER w AS records, id
   FROM ticks WINDOW w AS (PARTITION BY asset ORDER BY event_ms RANGE BETWEEN {WINDOW} PRECEDING AND CURRENT ROW))
 SELECT t.asset, t.id, t.event_ms, round(CAST(t.buy AS DOUBLE), 6) AS buy_notional, round(CAST(t.sell AS DOUBLE), 6) AS sell_notional,
