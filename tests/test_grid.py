@@ -122,6 +122,13 @@ def test_received_flow_states(spark):
     assert got[9000]["flow_state"] == "GAP" and got[16_000]["flow_state"] == "GAP" and got[17_000]["flow_state"] == "NO_TRADES"
 
 
+def test_received_flow_ignores_trades_without_quantity(spark):
+    df = spark.createDataFrame([("x", 1, START, START, Decimal(2), None, "SELL"), ("x", 2, START, START, Decimal(2), Decimal(1), "UNKNOWN")], SCHEMA)
+    grid = Grid(START, START, STEP)
+    got = features.order_flow_received(df, None, grid.rows(spark, "asset", ["x"]), "asset", grid, WINDOW, 5_000).first()
+    assert (got["flow_state"], got["buy_notional"], got["sell_notional"]) == ("NO_TRADES", None, None)
+
+
 def test_return_boundaries(spark):
     """Two-point market: a fresh price now and one exactly a window ago."""
     points = {"r1": ("100", "99.8"), "r2": ("100", "99.7"), "r3": ("100", "99"), "t": ("1", "0.99")}

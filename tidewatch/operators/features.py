@@ -27,6 +27,7 @@ from tidewatch.operators.grid import (
     summarise,
     visible_sums,
 )
+from tidewatch.operators.validation import known_flow_rows
 
 
 # --- prices and returns -------------------------------------------------------------------
@@ -270,6 +271,7 @@ def order_flow_received(
 ) -> DataFrame:
     """Receive-time flow.  State: GAP > NO_TRADES > STALE > KNOWN; amounts only when KNOWN.
 
+    Only trades with a known quantity and side count, so a KNOWN amount is never a stand-in zero.
     ``gaps`` holds the key and ``received_ms`` of each detected sequence gap.
     """
     res = resolution(grid, window_ms)
@@ -280,7 +282,8 @@ def order_flow_received(
         "first_ms": F.min("received_ms"),
         "last_ms": F.max("received_ms"),
     }
-    cells = summarise(trades, [key], F.col("received_ms"), grid, res, measures)
+    usable = known_flow_rows(trades)
+    cells = summarise(usable, [key], F.col("received_ms"), grid, res, measures)
     if gaps is not None:
         gap_cells = summarise(
             gaps, [key], F.col("received_ms"), grid, res, {"gap_ms": F.max("received_ms")}

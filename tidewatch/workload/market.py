@@ -217,7 +217,7 @@ RECEIVED_FLOW_SQL = f"""received_flow AS (
   SELECT g.asset, g.as_of_ms, count(t.id) AS n, min(t.received_ms) AS first_ms, max(t.received_ms) AS last_ms,
     coalesce(sum(CASE WHEN t.side = 'BUY' THEN CAST(t.price * t.quantity AS DECIMAL(20,8)) END), 0) AS buy,
     coalesce(sum(CASE WHEN t.side = 'SELL' THEN CAST(t.price * t.quantity AS DECIMAL(20,8)) END), 0) AS sell
-  FROM grid g LEFT JOIN ticks t ON t.asset = g.asset AND t.received_ms BETWEEN g.as_of_ms - {WINDOW} AND g.as_of_ms GROUP BY ALL),
+  FROM grid g LEFT JOIN ticks t ON t.asset = g.asset AND t.quantity IS NOT NULL AND t.side <> 'UNKNOWN' AND t.received_ms BETWEEN g.as_of_ms - {WINDOW} AND g.as_of_ms GROUP BY ALL),
 last_gap AS (SELECT g.asset, g.as_of_ms, x.received_ms AS gap_ms FROM grid g
   ASOF LEFT JOIN (SELECT asset, received_ms FROM gaps GROUP BY ALL) x ON x.asset = g.asset AND g.as_of_ms >= x.received_ms),
 stated AS (SELECT f.*, CASE WHEN gap_ms >= as_of_ms - {WINDOW} THEN 'GAP' WHEN n = 0 THEN 'NO_TRADES'
