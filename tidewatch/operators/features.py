@@ -138,8 +138,10 @@ def max_drawdown(
     cell; a grid row folds at most ``window / step`` cells.  A cell with rows received after
     its end keeps its milliseconds apart, because later instants see more of it.
     """
-    # cells of at most a minute, so that a cell folds at most 60,000 distinct milliseconds
-    res = math.gcd(resolution(grid, window_ms), 60_000)
+    # cells of a minute, or about 64 to a window if that is longer: both a cell (its distinct
+    # milliseconds) and a window (its cells) stay short to fold
+    widest = 60_000 * max(1, window_ms // (64 * 60_000))
+    res = math.gcd(resolution(grid, window_ms), widest)
     start = F.lit(grid.start_ms).cast("long")
     seen = F.greatest(F.col("event_ms"), F.col("received_ms"))
     seen_point = int_div(seen - start + (res - 1), res)
