@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,22 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the Python workers, once a context; they then need no installed copy."""
+    context = spark.sparkContext
+    if not any("tidewatch-package" in name for name in context._python_includes):
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="tidewatch-ship-"), "tidewatch-package.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(package):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(package)))
+        context.addPyFile(archive)
+    return spark
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder the cluster names; a local one only where none is set."""
     spark = df.sparkSession

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import ship
+
 # Both sides add this before rounding, so that exact ties go the same way in both engines.
 TIE = "1e-12"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +21,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = function
+
+        @wraps(function)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return function(ship(spark), sf_dir)
+
+        QUERIES[name] = shipped
         if sql is not None:
             ORACLES[name] = tie_safe(sql)
         return function
