@@ -21,64 +21,30 @@ from tidewatch.llm.common import map_rows, stored, text_of
 
 CAPACITY = 2048
 SLICE_ROWS = 200_000
-CACHED_CHUNKS = 500_000
-JOINED_CHUNKS = 1_000
-_TOKENIZERS: dict[str, "ChunkTokenizer"] = {}
+_TOKENIZERS: dict[str, "FileTokenizer"] = {}
 
 
-class ChunkTokenizer:
-    """Ids of a ``tokenizers`` byte-level BPE file, a text cut at single spaces so that equal chunks are encoded once.
+class FileTokenizer:
+    """Ids of a ``tokenizers`` byte-level BPE file, without special tokens.
 
-    Byte-level BPE takes a single space into the pre-token that follows it, so the ids of ``a b`` are those of ``a``
-    and of `` b``.  A text with white space beside a space is encoded whole.  The file and its vocabulary are read by
-    ``tokenizers``; new chunks go through ``tiktoken`` with that vocabulary, which gives the same ids several times
-    faster (every token of such a file is reached by its merges, so its lowest-rank merges are the same).
+    The file is read by ``tokenizers``; texts are encoded by ``tiktoken`` with that vocabulary, which gives the same
+    ids several times faster (every token of such a file is reached by its merges, so its lowest-rank merges are the
+    same).
     """
 
     def __init__(self, path: str, pattern: str) -> None:
-        import re
-
         import tiktoken
         from tokenizers import Tokenizer
 
         tool = Tokenizer.from_file(path)
         special = {t.content for t in tool.get_added_tokens_decoder().values()}
-        tokens = {t: i for t, i in tool.get_vocab().items() if t not in special}
         byte_of = _bytes_of_letters()
-        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in tokens.items()}
-        self.tool = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.beside = re.compile(r"\s | \s")
-        self.chunks: dict[str, bytes] = {}
-        self.spaced = np.zeros(max(tokens.values()) + 1, bool)
-        self.spaced[[i for token, i in ranks.items() if token[0] == 32]] = True
-
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(self.tool.encode_ordinary(t), "<u4") for t in texts]
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode chunks joined by their spaces: every chunk begins where a token begins with a space."""
-        groups = [new[i : i + JOINED_CHUNKS] for i in range(0, len(new), JOINED_CHUNKS)]
-        for group, ids in zip(groups, self._encoded([" " + " ".join(g) for g in groups])):
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(group):
-                raise AssertionError("a chunk does not begin with one space token")
-            for chunk, part in zip(group, np.split(ids, starts[1:])):
-                self.chunks[chunk] = part.tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.chunks) >= CACHED_CHUNKS:
-            self.chunks.clear()
-        chunks = self.chunks
-        parts = [None if self.beside.search(t) else t.split(" ") for t in texts]
-        new = {c for p in parts if p for c in p[1:]}.difference(chunks)
-        if "" in new:  # a space that ends its text
-            new.remove("")
-            chunks[""] = self._encoded([" "])[0].tobytes()
-        if new:
-            self._learn(sorted(new))
-        firsts = [x.tobytes() for x in self._encoded([t if p is None else p[0] for t, p in zip(texts, parts)])]
-        return [f if p is None else f + b"".join(map(chunks.__getitem__, p[1:])) for f, p in zip(firsts, parts)]
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in tool.get_vocab().items() if t not in special}
+        self.tool = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        return np.array(self.tool.encode_ordinary(text), "<u4").tobytes()
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -88,9 +54,10 @@ def _bytes_of_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def chunk_tokenizer(path: str, pattern: str) -> ChunkTokenizer:
+def file_tokenizer(path: str, pattern: str) -> FileTokenizer:
+    """One per worker process."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path, pattern)
+        _TOKENIZERS[path] = FileTokenizer(path, pattern)
     return _TOKENIZERS[path]
 
 
@@ -103,8 +70,9 @@ def pieces_of(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for key, ids in zip(batch["doc_id"], chunk_tokenizer(path, pattern).encode(batch["text"])):
-            ids += end
+        tool = file_tokenizer(path, pattern)
+        for key, text in zip(batch["doc_id"], batch["text"]):
+            ids = tool.encode(text) + end
             total = len(ids) // 4
             start, piece = 0, 0
             while start < total:
