@@ -5,11 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import byte_bpe, packing
-from tidewatch.llm.common import table
+from tidewatch.llm import byte_bpe, packing, warc
+from tidewatch.llm.common import table, work_folder
 from tidewatch.workload.registry import query
 
 
+@query("op1_warc_captures")
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a capture, read back and assembled; payloads are checked where they are read and left there."""
+    folder = work_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder, "page_id", "url", "html", min_revisit_bytes=0)
+    return warc.page_captures(warc.assemble(warc.read_archives(spark, folder, with_payload=False), hops=0)).drop("target_uri")
+
+
 @query("op5_byte_bpe")
 def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text by the rank file, and what they decode to."""
