@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.session import ship
 
@@ -55,11 +57,12 @@ def text_of(column: str = "text") -> Column:
 def map_rows(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """``mapInArrow`` over columns as Python lists, batch by batch; the function returns columns in schema order."""
     names = list(df.columns)
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 out = function({n: batch.column(i).to_pylist() for i, n in enumerate(names)})
-                yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     return df.mapInArrow(run, schema)

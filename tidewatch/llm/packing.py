@@ -84,16 +84,7 @@ def pieces_of(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY
 
     pruned = docs.select("doc_id", text_of().alias("text"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long"
-    return map_rows(pruned, as_int32(rows, "piece"), schema)
-
-
-def as_int32(rows, name):
-    def run(batch):
-        out = rows(batch)
-        out[name] = np.array(out[name], np.int32)
-        return out
-
-    return run
+    return map_rows(pruned, rows, schema)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -186,7 +177,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     kind = dict(pieces.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return map_rows(ranked, as_int32(place, "piece"), schema)
+    return map_rows(ranked, place, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:

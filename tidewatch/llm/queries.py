@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import byte_bpe, packing, warc
+from tidewatch.llm import byte_bpe, packing, toxicity, warc
 from tidewatch.llm.common import table, work_folder
 from tidewatch.workload.registry import query
 
@@ -30,3 +30,9 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few sequences of 2048 tokens as the method finds."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op10_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text, learned from the labelled rows that are not held out."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
