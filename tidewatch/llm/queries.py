@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import byte_bpe, packing, toxicity, warc
+from tidewatch.llm import byte_bpe, cotraining, packing, toxicity, warc
 from tidewatch.llm.common import table, work_folder
 from tidewatch.workload.registry import query
 
@@ -36,3 +36,9 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every whole text, learned from the labelled rows that are not held out."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_cotrained_quality")
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text by both views, learned from the labelled rows that are not held out."""
+    return cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
