@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import byte_bpe, cotraining, packing, toxicity, warc
+from tidewatch.llm import byte_bpe, chat, cotraining, packing, rules, toxicity, warc
 from tidewatch.llm.common import table, work_folder
 from tidewatch.workload.registry import query
 
@@ -42,3 +42,17 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every whole text by both views, learned from the labelled rows that are not held out."""
     return cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_event_sourced_chat")
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings: logged, folded, rendered and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    log = chat.logged(rows.unionByName(chat.control_conversation(spark)))
+    return chat.digests(chat.read_back(chat.render(chat.fold_events(log))))
+
+
+@query("op6_decision_list_rules")
+def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every whole text, the base rules and the learned list."""
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
