@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import byte_bpe, chat, cotraining, packing, rules, toxicity, warc
+from tidewatch.llm import byte_bpe, chat, cotraining, fingerprints, packing, rules, toxicity, warc
 from tidewatch.llm.common import table, work_folder
 from tidewatch.workload.registry import query
 
@@ -56,3 +56,9 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every whole text, the base rules and the learned list."""
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_multiset_fingerprints")
+def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and its edited text."""
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
