@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import byte_bpe, chat, cotraining, fingerprints, packing, rules, toxicity, warc
-from tidewatch.llm.common import table, work_folder
+from tidewatch.llm.common import stored, table, work_folder
 from tidewatch.workload.registry import query
 
 
@@ -15,7 +15,8 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a capture, read back and assembled; payloads are checked where they are read and left there."""
     folder = work_folder(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), folder, "page_id", "url", "html", min_revisit_bytes=0)
-    return warc.page_captures(warc.assemble(warc.read_archives(spark, folder, with_payload=False), hops=0)).drop("target_uri")
+    records = stored(warc.read_archives(spark, folder, with_payload=False))
+    return warc.page_captures(stored(warc.assemble(records, hops=0))).drop("target_uri")
 
 
 @query("op5_byte_bpe")

@@ -218,7 +218,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
 
 
 def assemble(records: DataFrame, hops: int = 1) -> DataFrame:
-    """One nested row a capture: the response or revisit with arrays of its requests, metadata and other records.
+    """One nested row a capture; ``records`` is read twice and should be stored first.  A capture is the response or revisit with arrays of its requests, metadata and other records.
 
     Records find their response through ``concurrent_to``.  With ``hops`` above 0 a record may also be named by its
     response, or name another request or metadata record that is so many links from it.  Records without a
