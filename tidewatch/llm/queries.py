@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import byte_bpe, chat, cotraining, fingerprints, packing, rules, toxicity, warc
+from tidewatch.llm import byte_bpe, chat, cotraining, fingerprints, minhash, packing, rules, toxicity, warc
 from tidewatch.llm.common import stored, table, work_folder
 from tidewatch.workload.registry import query
 
@@ -63,3 +63,9 @@ def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and its edited text."""
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op2_circulant_minhash")
+def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked at 85 percent of five-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
