@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import byte_bpe, chat, cotraining, fingerprints, minhash, packing, rules, toxicity, warc
+from tidewatch.llm import byte_bpe, chat, cotraining, fingerprints, minhash, packing, rules, suffix, toxicity, warc
 from tidewatch.llm.common import stored, table, work_folder
 from tidewatch.workload.registry import query
 
@@ -69,3 +69,9 @@ def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at 85 percent of five-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_run_length_index")
+def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text that a string of 100 bytes repeats from earlier."""
+    return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents")))
