@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,15 +54,26 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def map_rows(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """``mapInArrow`` over columns as Python lists, batch by batch; the function returns columns in schema order."""
-    names = list(df.columns)
+def map_rows(
+    df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str, carry: Sequence[str] = ()
+) -> DataFrame:
+    """``mapInArrow`` over columns as Python lists, batch by batch; the function returns columns in schema order.
+
+    Columns to carry are not turned into Python objects; they follow the others unchanged.  With them the function
+    must return as many rows as it gets.
+    """
+    names = [c for c in df.columns if c not in carry]
+    carried = [f for f in df.schema.fields if f.name in carry]
+    out_schema = T.StructType([*T.StructType.fromDDL(schema).fields, *carried])
     kinds = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = function({n: batch.column(i).to_pylist() for i, n in enumerate(names)})
-                yield pa.RecordBatch.from_pydict(out, schema=kinds)
+                own = pa.RecordBatch.from_pydict(function({n: batch.column(n).to_pylist() for n in names}), schema=kinds)
+                if carried:
+                    columns = [*own.columns, *(batch.column(f.name) for f in carried)]
+                    own = pa.RecordBatch.from_arrays(columns, names=[*own.schema.names, *(f.name for f in carried)])
+                yield own
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, out_schema)

@@ -159,14 +159,15 @@ def _collected(sample: DataFrame) -> tuple[dict[str, np.ndarray], list[np.ndarra
     return {c: rows.column(c).to_numpy() for c in rows.column_names if c not in ("content", "metadata")}, both
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """``(doc_id, held_out, content_score, metadata_score, score, predicted, kept)`` of all rows.
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, held_out, content_score, metadata_score, score, predicted, kept)`` and carried columns of all rows.
 
     Labels of held-out rows are not used.  A text without words scores 0.  With one class or none among the labels
     every text with words has that class's share (1.0 without any).  A null language or source is a value of its
     own; a repeated row gets its own score; further columns are not read.
     """
     prepared(docs.sparkSession)
+    docs = docs.select("doc_id", "text", "lang", "source", *carry)
     train = fold() != 0
     sample = labelled_docs(docs, labels, label, LABELLED_ROWS, train, seed=3)
     columns, labelled = _collected(views(sample.select("doc_id", "text", "lang", "source", "label", fold().alias("fold")), "label", "fold"))
@@ -204,9 +205,9 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFra
         return out
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, content_score double, metadata_score double, score double"
-    scored = map_rows(docs.select("doc_id", text_of().alias("text"), "lang", "source"), rows, schema)
+    scored = map_rows(docs.select("doc_id", text_of().alias("text"), "lang", "source", *carry), rows, schema, carry)
     good = F.col("score") >= 0.5
-    return scored.select("doc_id", (fold() == 0).alias("held_out"), "content_score", "metadata_score", "score", good.cast("int").alias("predicted"), good.alias("kept"))
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "content_score", "metadata_score", "score", good.cast("int").alias("predicted"), good.alias("kept"), *carry)
 
 
 def _sigmoid(x: float) -> float:

@@ -437,8 +437,9 @@ def _merged(text: bytes, blobs: list[bytes] | None) -> tuple[list[tuple[int, int
     return list(zip(low, high)), b"".join(left)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, spans array<struct<start,end>>, kept binary)``, spans in bytes, end beyond the last.
+def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, spans array<struct<start,end>>, kept binary, kept_text)``, spans in bytes, end
+    beyond the last.  ``kept_text``, if asked for, leaves out letters of which only a part is kept.
 
     Order is that of ids, then of places; null texts are empty.  Rows that repeat an id are one document, that with
     the smallest text; a null id comes after all others.  Texts shorter than 100 bytes stay whole.
@@ -453,14 +454,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     joined = texts.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left").select("doc_id", F.col("text").cast("binary").alias("text"), "blobs")
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": [None if i == last else i for i in batch["doc_id"]], "n_bytes": [], "n_removed": [], "spans": [], "kept": []}
+        out: dict[str, list] = {"doc_id": [None if i == last else i for i in batch["doc_id"]], "n_bytes": [], "n_removed": [], "spans": [], "kept": [], "kept_text": []}
         for text, blobs in zip(batch["text"], batch["blobs"]):
             spans, kept = _merged(text, blobs)
-            for name, value in (("n_bytes", len(text)), ("n_removed", len(text) - len(kept)), ("spans", [{"start": a, "end": b} for a, b in spans]), ("kept", kept)):
+            for name, value in (
+                ("n_bytes", len(text)), ("n_removed", len(text) - len(kept)), ("spans", [{"start": a, "end": b} for a, b in spans]),
+                ("kept", kept), ("kept_text", kept.decode("utf-8", "ignore") if as_text else None),
+            ):
                 out[name].append(value)
         return out
 
-    return map_rows(joined, run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return map_rows(joined, run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_text string")
 
 
 def digests(removed: DataFrame) -> DataFrame:

@@ -103,8 +103,8 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 
 
-def features(docs: DataFrame, lexicon: list[str], second_person: tuple[str, ...] = SECOND_PERSON, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and one double a feature, for every whole text; a null or empty text has zeros."""
+def features(docs: DataFrame, lexicon: list[str], second_person: tuple[str, ...] = SECOND_PERSON, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The id, the carried columns and one double a feature, for every whole text; a null or empty text has zeros."""
     terms, second = frozenset(lexicon), frozenset(second_person)
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
@@ -112,11 +112,10 @@ def features(docs: DataFrame, lexicon: list[str], second_person: tuple[str, ...]
         if key not in _WORDS:
             _WORDS[key] = WordCodes(terms, second)
         found = [_features(t, _WORDS[key]) for t in batch.pop("text")]
-        return batch | {n: [row[k] for row in found] for k, n in enumerate(FEATURES)}
+        return {"doc_id": batch["doc_id"]} | {n: [row[k] for row in found] for k, n in enumerate(FEATURES)}
 
-    types = dict(docs.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keep), *(f"{n} double" for n in FEATURES)])
-    return map_rows(docs.select(*keep, text_of().alias("text")), rows, schema)
+    schema = ", ".join([f"doc_id {dict(docs.dtypes)['doc_id']}", *(f"{n} double" for n in FEATURES)])
+    return map_rows(docs.select("doc_id", text_of().alias("text"), *carry), rows, schema, carry)
 
 
 def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS, least: int = LEXICON_LEAST) -> list[str]:
@@ -134,26 +133,27 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS, least: int = LEX
     return [r.term for r in picked.collect()]
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of all rows.
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` and the carried columns of all rows.
 
     Only labels of rows that are not held out are used; a fifth of those calibrates.  With one class or none among
     the labels every score is that class's share (0.5 without any).  Labels, language, source and id are no features.
     A repeated row gets its own score; further columns are not read.
     """
     prepared(docs.sparkSession)
+    docs = docs.select("doc_id", "text", *carry)
     train = fold() != 0
     toxic = labelled_docs(docs, labels.where(F.col(label) == 1), label, LEXICON_ROWS // 2, train, seed=1)
     clean = labelled_docs(docs, labels.where(F.col(label) == 0), label, LEXICON_ROWS // 2, train, seed=1)
     lexicon = learn_lexicon(toxic.select("text", "label").unionByName(clean.select("text", "label")))
     sample = labelled_docs(docs, labels, label, TRAINING_ROWS, train).select("doc_id", "text", "label")
-    ready = stored(features(sample, lexicon, keep=("doc_id", "label"))).coalesce(2)
+    ready = stored(features(sample, lexicon, carry=("label",))).coalesce(2)
     counts = {r.label: r.n for r in ready.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    result = features(docs, lexicon)
+    result = features(docs, lexicon, carry=carry)
     held_out = (fold() == 0).alias("held_out")
     if len(counts) < 2:
         constant = float(next(iter(counts), 0.5))
-        return docs.select("doc_id", held_out, F.lit(constant).alias("score"), F.lit(int(constant >= 0.5)).alias("predicted"))
+        return docs.select("doc_id", held_out, F.lit(constant).alias("score"), F.lit(int(constant >= 0.5)).alias("predicted"), *carry)
     pack = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
     calibrates = fold() == 1
     part = ready.withColumn("calibrates", calibrates)
@@ -164,8 +164,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
     raw = vector_to_array("probability")[1].alias("raw")
     on_fold = trees.transform(pack.transform(part.where("calibrates"))).select(raw, F.col("label").cast("double").alias("label"))
     model = IsotonicRegression(featuresCol="raw", labelCol="label").fit(on_fold) if on_fold.select("label").distinct().count() == 2 else None
-    scored = trees.transform(pack.transform(result)).select("doc_id", raw)
-    return scored.select("doc_id", held_out, calibrated(model)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = trees.transform(pack.transform(result)).select("doc_id", raw, *carry)
+    return scored.select("doc_id", held_out, calibrated(model), *carry).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def calibrated(model) -> Column:
