@@ -1,8 +1,9 @@
 """Exact decimal expressions.
 
 Inputs are held as ``decimal(20,8)``; a quotient of two such values is ``decimal(38,18)``.
-Wider operands would silently lose scale (``decimal(38,18)/decimal(38,18)`` is
-``decimal(38,6)``), so :func:`ratio` narrows its operands first.
+Wider operands lose scale (``decimal(38,8)/decimal(38,8)`` is ``decimal(38,6)``), so
+:func:`ratio` narrows its operands first and keeps the wide quotient for those that do not fit.
+Sums over many amounts are ``decimal(38,8)``.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 AMOUNT = "decimal(20,8)"
 RATIO = "decimal(38,18)"
+TOTAL = "decimal(38,8)"
 # Fixed value: canonical decimal text.
 CANONICAL_PATTERN = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]*[1-9])?$"
 
@@ -31,11 +33,13 @@ def canonical(value: Column) -> Column:
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
-    """Exact quotient at 18 decimals; null (UNKNOWN) for a zero or missing denominator."""
-    return F.try_divide(
-        numerator.try_cast(AMOUNT),
-        denominator.try_cast(AMOUNT),
-    ).cast(RATIO)
+    """Exact quotient at 18 decimals, at 6 where an operand has 13 or more digits before the point.
+
+    Null (UNKNOWN) for a zero or missing denominator.
+    """
+    narrow = F.try_divide(numerator.try_cast(AMOUNT), denominator.try_cast(AMOUNT)).cast(RATIO)
+    wide = F.try_divide(numerator.try_cast(TOTAL), denominator.try_cast(TOTAL)).try_cast(RATIO)
+    return F.coalesce(narrow, wide)
 
 
 def price_ratio(numerator: Column, denominator: Column) -> Column:

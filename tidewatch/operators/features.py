@@ -13,7 +13,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.decimals import AMOUNT, RATIO, notional, ratio, relative_change
+from tidewatch.functions.decimals import AMOUNT, RATIO, TOTAL, notional, ratio, relative_change
 from tidewatch.functions.knowledge import freshness, state_of
 from tidewatch.functions.progress import EPSILON
 from tidewatch.functions.times import age_ms, int_div
@@ -243,12 +243,13 @@ def order_flow(
     )
     n, e = F.coalesce("n", F.lit(0)), F.coalesce("n_eligible", F.lit(0))
     zero = F.lit(0).cast(AMOUNT)
-    buy = F.when(e > 0, F.col("buy").cast(AMOUNT))
-    sell = F.when(e > 0, F.col("sell").cast(AMOUNT))
+    buy = F.when(e > 0, F.col("buy").cast(TOTAL))
+    sell = F.when(e > 0, F.col("sell").cast(TOTAL))
+    # decimal(38,10) holds a buy side of up to 10^16 over 1e-12; beyond that the ratio is UNKNOWN, not an error.
     value = F.when(
         (e > 0) & (sell == zero) & (buy > zero),
-        (buy.cast("decimal(26,8)") * F.lit(10**12).cast("decimal(13,0)")).cast(RATIO),
-    ).when((e > 0) & (sell != zero), ratio(buy, sell))
+        F.try_multiply(buy.try_cast("decimal(25,8)"), F.lit(10**12).cast("decimal(13,0)")).try_cast("decimal(38,10)"),
+    ).when((e > 0) & (sell != zero), ratio(buy, sell).try_cast("decimal(38,10)"))
     return summed.select(
         key,
         "as_of_ms",
@@ -256,7 +257,7 @@ def order_flow(
         e.alias("eligible"),
         buy.alias("buy_notional"),
         sell.alias("sell_notional"),
-        (buy - sell).cast(AMOUNT).alias("net_flow"),
+        (buy - sell).cast(TOTAL).alias("net_flow"),
         value.alias("buy_sell_ratio"),
         F.when(n > 0, ratio(e, n)).alias("coverage"),
         F.when(n == 0, "NO_TRADES")
@@ -313,7 +314,7 @@ def order_flow_received(
         .otherwise("KNOWN")
     )
     zero = F.lit(0).cast(AMOUNT)
-    buy, sell = F.coalesce(F.col("buy").cast(AMOUNT), zero), F.coalesce(F.col("sell").cast(AMOUNT), zero)
+    buy, sell = F.coalesce(F.col("buy").cast(TOTAL), zero), F.coalesce(F.col("sell").cast(TOTAL), zero)
     return raw.select(
         key,
         "as_of_ms",

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.decimals import AMOUNT, notional, ratio, relative_change
+from tidewatch.functions.decimals import AMOUNT, TOTAL, notional, ratio, relative_change
 from tidewatch.functions.knowledge import state_of
 from tidewatch.operators.grid import stabbing_max
 from tidewatch.operators.running import Measure, running, with_segments
@@ -89,8 +89,8 @@ def flow_at(
         )
         .select(
             *keys, at,
-            F.when(F.col("__eligible") > 0, F.col("__buy").cast(AMOUNT)).alias("buy_notional"),
-            F.when(F.col("__eligible") > 0, F.col("__sell").cast(AMOUNT)).alias("sell_notional"),
+            F.when(F.col("__eligible") > 0, F.col("__buy").cast(TOTAL)).alias("buy_notional"),
+            F.when(F.col("__eligible") > 0, F.col("__sell").cast(TOTAL)).alias("sell_notional"),
             F.col("__n").cast("long").alias("records"),
         )
         .withColumn(
@@ -267,7 +267,7 @@ def counterfactual_baseline(
     """
     legal = freeze_baseline(events, series, keys, armed_ms, tolerance_ms)
     late = freeze_baseline(
-        events.select(*keys, armed_ms, later_ms), series, keys, later_ms, tolerance_ms
+        events.select(*keys, armed_ms, later_ms).distinct(), series, keys, later_ms, tolerance_ms
     ).select(
         *keys, armed_ms, later_ms,
         F.col("baseline").alias("illegal_baseline"), F.col("baseline_ms").alias("illegal_baseline_ms"),

@@ -101,14 +101,14 @@ def first_hits(df: DataFrame, keys: Sequence[str], at: str, conditions: dict[str
 
 def latched_context(df: DataFrame, keys: Sequence[str], order: Sequence[str], ready: Column, segment: Column | None,
                     recorded: Column | None = None) -> DataFrame:
-    """Context that stays set from the first ready instant, or from a user-recorded one.
+    """Context that stays set from the first ready instant, or from the latest user-recorded one.
 
-    ``recorded`` marks rows at which a user recorded the fact.
+    ``recorded`` marks rows at which a user recorded the fact; a later record replaces an earlier one.
     """
     at = order[0]
     measures = {"__first_ready": Measure("min", F.when(ready, F.col(at)))}
     if recorded is not None:
-        measures["__recorded"] = Measure("min", F.when(recorded, F.col(at)))
+        measures["__recorded"] = Measure("max", F.when(recorded, F.col(at)))
     found = running(df, keys, order, measures, segment=segment)
     by_user = F.col("__recorded") if recorded is not None else F.lit(None).cast("long")
     return found.select(

@@ -142,7 +142,10 @@ def running(
             for n, m in measures.items()
         ],
     )
-    joined = local.join(carry, by, "left")
+    # Null keys are a key of their own, as in the windows.
+    renamed = carry.withColumnsRenamed({k: f"__of_{k}" for k in by})
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in by]
+    joined = local.join(renamed, same, "left").drop(*(f"__of_{k}" for k in by))
     columns = [F.col(c) for c in df.columns if c != SEGMENT]
     for name, m in measures.items():
         here, before = F.col(f"__local_{name}"), F.col(f"__carry_{name}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.hashing import prefixed, sha256, sorted_json
@@ -30,16 +30,17 @@ def prune_by_age(records: DataFrame, judged_ms: str, now_ms: int, days: int) ->
 def label_appends(journal: DataFrame, batch: DataFrame, record_id: str, record_hash: str, order: str) -> DataFrame:
     """Batch rows with ``append_state``.
 
-    A new id is APPEND (its first row in the batch), the same id with the same hash is NO_OP, with
-    another hash CONFLICT.
+    A new id is APPEND (its first row in the batch; of identical first rows one), the same id with the
+    same hash is NO_OP, with another hash CONFLICT.
     """
+    same = Window.partitionBy(record_id, record_hash, order).orderBy(F.lit(0))
     first = batch.groupBy(record_id).agg(F.min(F.struct(order, record_hash)).alias("__first"))
     stored = journal.groupBy(record_id).agg(F.max(record_hash).alias("__stored"))
-    joined = batch.join(first, record_id).join(stored, record_id, "left")
+    joined = batch.withColumn("__copy", F.row_number().over(same)).join(first, record_id).join(stored, record_id, "left")
     basis = F.coalesce("__stored", F.col(f"__first.{record_hash}"))
     state = (
         F.when(F.col(record_hash) != basis, "CONFLICT")
-        .when(F.col("__stored").isNull() & (F.col(order) == F.col(f"__first.{order}")), "APPEND")
+        .when(F.col("__stored").isNull() & (F.col(order) == F.col(f"__first.{order}")) & (F.col("__copy") == 1), "APPEND")
         .otherwise("NO_OP")
     )
     return joined.select(*batch.columns, state.alias("append_state"))
@@ -87,15 +88,18 @@ def quote_record_id(snapshot_id: Column, recorded_ms: Column) -> Column:
 
 
 def append_quote_records(journal: DataFrame, batch: DataFrame, snapshot: str, recorded_ms: str) -> DataFrame:
-    """New quote records; an id that is already stored, or repeats in the batch, is rejected."""
+    """New quote records; an id that is stored already, or came earlier in the batch, is rejected.
+
+    Of the rows of an id the first in the order of all columns is the new record.
+    """
     named = batch.withColumn("record_id", quote_record_id(F.col(snapshot), F.col(recorded_ms)))
-    copies = named.groupBy("record_id").agg(F.count(F.lit(1)).alias("__copies"))
+    of_id = Window.partitionBy("record_id").orderBy(*batch.columns)
     stored = journal.select("record_id", F.lit(True).alias("__stored")).distinct()
     return (
-        named.join(copies, "record_id")
+        named.withColumn("__n", F.row_number().over(of_id))
         .join(stored, "record_id", "left")
-        .withColumn("is_duplicate", F.coalesce("__stored", F.lit(False)) | (F.col("__copies") > 1))
-        .drop("__copies", "__stored")
+        .withColumn("is_duplicate", F.coalesce("__stored", F.lit(False)) | (F.col("__n") > 1))
+        .drop("__n", "__stored")
     )
 
 
@@ -163,9 +167,13 @@ def replay_manifest(
     """Count, first and last receipt and an ordered content hash per run.
 
     Row hashes are combined in order, ``fan_in`` at a time, level by level, so no task joins a
-    whole run's hashes.  It is a hash tree: stable for equal input, not the hash of one text.
+    whole run's hashes.  It is a hash tree: stable for equal input, not the hash of one text.  There are
+    ``levels`` levels, or as many more as the longest run needs to end in one row.
     """
     keys = list(keys)
+    longest = events.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    while fan_in**levels < longest:
+        levels += 1
     row_hash = sha256(F.concat_ws("|", *[F.col(c) for c in ("received_ms", "ingestion_sequence", "event_id", "kind", "payload")]))
     ranked = numbered(
         segmented(events, REPLAY_ORDER, segments), keys, list(REPLAY_ORDER), "__n"

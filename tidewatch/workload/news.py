@@ -125,11 +125,11 @@ def public_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "news_revisions",
-    """WITH a AS (SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b, role FROM conversations)
-SELECT conv_id, turn, CAST(sum(CASE WHEN b <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS revision, coalesce(b = role, false) AS is_duplicate FROM a""",
+    """WITH a AS (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b, text FROM conversations)
+SELECT conv_id, turn, CAST(sum(CASE WHEN b <> text THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS revision, coalesce(b = text, false) AS is_duplicate FROM a""",
 )
 def revisions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", sha256(F.col("role")).alias("content_hash"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", sha256(F.col("text")).alias("content_hash"))
     found = ops.revisions(c, "conv_id", ["turn"], "content_hash", fixed_segments(F.col("turn"), 1_000_000))
     return found.select("conv_id", "turn", "revision", "is_duplicate")
 

@@ -128,7 +128,7 @@ def first_hit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "latched_context",
     """WITH a AS (SELECT o_custkey, o_orderkey, min(CASE WHEN o_totalprice >= 400000 THEN o_orderkey END) OVER w AS ready,
-    min(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN o_orderkey END) OVER w AS rec
+    max(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN o_orderkey END) OVER w AS rec
   FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING))
 SELECT o_custkey, o_orderkey, CASE WHEN rec IS NOT NULL THEN 'USER_RECORDED' WHEN ready IS NOT NULL THEN 'SHADOW_REFERENCE' ELSE 'NONE' END AS context, coalesce(rec, ready) AS context_ms FROM a""",
 )
@@ -236,9 +236,11 @@ def sequence_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH stored AS (SELECT o_orderkey AS record_id, max(o_custkey) AS record_hash FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL),
 batch AS (SELECT l_orderkey AS record_id, CASE WHEN l_returnflag = 'A' THEN o_custkey ELSE l_suppkey END AS record_hash, l_linenumber * 1000000000000 + l_partkey * 1000000 + CAST(floor(l_extendedprice) AS BIGINT) AS ord
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+twice AS (SELECT * FROM batch UNION ALL SELECT * FROM batch WHERE record_id % 5 = 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY record_id, record_hash, ord) AS copy FROM twice),
 f AS (SELECT record_id, min(ord) AS first_ord, arg_min(record_hash, (ord, record_hash)) AS first_hash FROM batch GROUP BY ALL)
-SELECT b.record_id, b.record_hash, b.ord, CASE WHEN b.record_hash <> coalesce(s.record_hash, first_hash) THEN 'CONFLICT' WHEN s.record_hash IS NULL AND b.ord = first_ord THEN 'APPEND' ELSE 'NO_OP' END AS append_state
-FROM batch b JOIN f USING (record_id) LEFT JOIN stored s USING (record_id)""",
+SELECT b.record_id, b.record_hash, b.ord, CASE WHEN b.record_hash <> coalesce(s.record_hash, first_hash) THEN 'CONFLICT' WHEN s.record_hash IS NULL AND b.ord = first_ord AND copy = 1 THEN 'APPEND' ELSE 'NO_OP' END AS append_state
+FROM numbered b JOIN f USING (record_id) LEFT JOIN stored s USING (record_id)""",
 )
 def append_idempotent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
@@ -249,7 +251,8 @@ def append_idempotent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", F.col("o_custkey")).otherwise(F.col("l_suppkey")).alias("record_hash"),
         (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * 1_000_000 + F.floor("l_extendedprice")).alias("ord"),
     )
-    return journals.label_appends(stored, batch, "record_id", "record_hash", "ord")
+    twice = batch.unionByName(batch.filter(F.col("record_id") % 5 == 0))  # a source that repeats some of its rows
+    return journals.label_appends(stored, twice, "record_id", "record_hash", "ord")
 
 
 @query(
@@ -276,7 +279,7 @@ def append_sequenced_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     "append_quote_records",
     """WITH b AS (SELECT 'snap-' || o_custkey AS snapshot_id, epoch_us(o_orderdate) // 1000 AS recorded_ms, 'quote-record-' || substr(sha256('snap-' || o_custkey || ':' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'), 1, 24) AS record_id, o_orderstatus FROM orders),
 s AS (SELECT DISTINCT record_id FROM b WHERE o_orderstatus = 'F'), n AS (SELECT * FROM b WHERE o_orderstatus <> 'F')
-SELECT n.snapshot_id, n.recorded_ms, n.record_id, s.record_id IS NOT NULL OR count(*) OVER (PARTITION BY n.record_id) > 1 AS is_duplicate FROM n LEFT JOIN s USING (record_id)""",
+SELECT n.snapshot_id, n.recorded_ms, n.record_id, s.record_id IS NOT NULL OR row_number() OVER (PARTITION BY n.record_id ORDER BY n.snapshot_id, n.recorded_ms) > 1 AS is_duplicate FROM n LEFT JOIN s USING (record_id)""",
 )
 def append_quote_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(

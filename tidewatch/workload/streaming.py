@@ -64,11 +64,11 @@ def rolling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_poll_revisions",
-    """WITH a AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)
-SELECT conv_id, turn, CAST(sum(CASE WHEN b <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS revision, coalesce(b = role, false) AS is_duplicate FROM a""",
+    """WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)
+SELECT conv_id, turn, CAST(sum(CASE WHEN b <> text THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS revision, coalesce(b = text, false) AS is_duplicate FROM a""",
 )
 def revisions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = streams.read_table_stream(spark, sf_dir, "conversations.parquet").select("conv_id", "turn", F.sha2("role", 256).alias("content_hash"))
+    c = streams.read_table_stream(spark, sf_dir, "conversations.parquet").select("conv_id", "turn", F.sha2("text", 256).alias("content_hash"))
     return streams.run_to_table(streams.poll_revisions(c, "conv_id", "turn", "content_hash"))
 
 
