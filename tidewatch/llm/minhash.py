@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """``(doc_id, n_shingles, component_id, kept)`` of all rows.
 
     Texts without words are linked with nothing.  An id that is repeated with other texts is one node with the links
-    of all of them.  A null id is linked with nothing and kept.  Further columns are not read.
+    of all of them.  A null id is no node: its row has the component of equal texts and is kept.  Further columns are not read.
     """
     prepared(docs.sparkSession)
     sketches = stored(sketch(docs, words, bands, rows))
