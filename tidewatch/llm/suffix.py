@@ -34,8 +34,9 @@ REACH = LENGTH - GRAM  # bytes beyond an anchor that a string over it can reach,
 PART_BYTES = 1 << 20
 FLUSH_ANCHORS = 500_000
 BUCKET_BYTES = 16 << 20  # text whose anchors make a bucket
-INDEX_BYTES = 2 << 20
-LARGE_BYTES = 24 << 20
+INDEX_BYTES = 1 << 20  # contexts that an index should hold
+LARGE_BYTES = 3 << 19
+PASS_STRINGS = 2_000_000
 _RNG = np.random.default_rng(20_240_229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -264,7 +265,7 @@ class RunLengthIndex:
         n = len(data)
         padded = np.zeros(n + 8, np.uint16)
         padded[:n] = data
-        stop = ends[np.searchsorted(ends, np.arange(n))]
+        stop = np.repeat(ends, np.diff(ends, prepend=-1)).astype(np.int32)
         key = np.zeros(n, np.uint64)
         for k in range(7):  # seven letters of nine bits
             letter = padded[k : k + n].astype(np.uint64)
@@ -278,9 +279,10 @@ class RunLengthIndex:
             self.levels.append((size, rank))
             if rank.max(initial=0) == n - 1 or size > int((stop - np.arange(n)).max(initial=0)):
                 break
-            beyond = np.arange(n) + size
-            second = np.where(beyond <= stop, rank[np.minimum(beyond, n - 1)].astype(np.int64) + 1, 0)
-            key = rank.astype(np.int64) * (n + 1) + second
+            beyond = np.arange(n, dtype=np.int32) + np.int32(size)
+            key = rank.astype(np.int64) * (n + 1)
+            inside = beyond <= stop
+            key[inside] += rank[beyond[inside]].astype(np.int64) + 1
             order = np.argsort(key, kind="stable")
             rank = self._ranked(order, key[order])
             size *= 2
@@ -298,10 +300,10 @@ class RunLengthIndex:
 
     @staticmethod
     def _ranked(order: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        rank = np.empty(len(order), np.int64)
-        step = np.zeros(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
+        step = np.zeros(len(order), np.int32)
         step[1:] = keys[1:] != keys[:-1]
-        rank[order] = np.cumsum(step)
+        rank[order] = np.cumsum(step, dtype=np.int32)
         return rank
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -373,30 +375,46 @@ def _joined(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def hashed_repeats(places: np.ndarray, data: bytes) -> np.ndarray:
-    """As ``index_repeats``, for more contexts than an index should hold: strings are compared by two 64-bit hashes,
-    one offset from the end of the contexts at a time, so memory stays at the contexts themselves."""
-    raw = np.frombuffer(data, np.uint8)
+    """As ``index_repeats``, for more contexts than an index should hold: strings are compared by 64-bit mixes of two
+    hashes, in passes over a share of the hash values each, so memory stays at the contexts and one pass."""
     sizes = (places["end"] - places["start"]).astype(np.int64)
     begins = np.cumsum(sizes) - sizes
     docs, rank = np.unique(places["doc"], return_inverse=True)
+    passes = max(1, -(-int(np.maximum(0, sizes - LENGTH + 1).sum()) // PASS_STRINGS))
+    found = [np.empty(0, np.int64)]
+    for number in range(passes):
+        keys, whens = [], []
+        low = 0
+        while low < len(sizes):
+            high = max(low + 1, int(np.searchsorted(begins, begins[low] + PART_BYTES)))
+            raw = np.frombuffer(data, np.uint8, int(sizes[low:high].sum()), int(begins[low]))
+            key, at = _string_keys(raw)
+            owner = np.searchsorted(begins[low:high], at + begins[low], "right") - 1 + low
+            offset = at + begins[low] - begins[owner]
+            mine = (offset + LENGTH <= sizes[owner]) & (key % np.uint64(passes) == number)
+            keys.append(key[mine])
+            whens.append(rank[owner[mine]].astype(np.int64) << 32 | (places["start"][owner[mine]] + offset[mine]))
+            low = high
+        key, when = np.concatenate(keys), np.concatenate(whens)
+        order = np.lexsort((when, key))
+        key, when = key[order], when[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        found.append(when[when > when[first]])
+    return _joined(docs, np.unique(np.concatenate(found)))
+
+
+def _string_keys(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all strings of the length and their places."""
     power, inverse = _powers(len(raw) + 1)
-    tables = [np.zeros(len(raw) + 1, np.uint64) for _ in range(2)]
-    np.cumsum(_BYTE[raw] * power[: len(raw)], dtype=np.uint64, out=tables[0][1:])
-    np.cumsum(_BYTE[raw ^ 0x5A] * power[: len(raw)], dtype=np.uint64, out=tables[1][1:])
-    keys, whens = [], []
-    for offset in range(int(sizes.max()) - LENGTH + 1):
-        k = np.flatnonzero(sizes >= offset + LENGTH)
-        at = begins[k] + offset
-        one, two = (_mixed((t[at + LENGTH] - t[at]) * inverse[at]) for t in tables)
-        keys.append(_mixed(one + two * np.uint64(_BASE)))
-        whens.append(rank[k].astype(np.int64) << 32 | (places["start"][k] + offset))
-    key, when = np.concatenate(keys), np.concatenate(whens)
-    order = np.lexsort((when, key))
-    key, when = key[order], when[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    return _joined(docs, np.unique(when[when > when[first]]))
+    at = np.arange(len(raw) - LENGTH + 1)
+    both = []
+    for letters in (raw, raw ^ 0x5A):
+        prefix = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[letters] * power[: len(raw)], dtype=np.uint64, out=prefix[1:])
+        both.append(_mixed((prefix[LENGTH:] - prefix[:-LENGTH]) * inverse[: len(at)]))
+    return _mixed(both[0] + both[1] * np.uint64(_BASE)), at
 
 
 def compare(found: DataFrame) -> DataFrame:
@@ -417,7 +435,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """``(doc, blobs)``: packed spans of every document that has repeats.  ``texts``: unique ``doc_id``, ``text``."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
-    met = stored(meet(anchor_blobs(texts, buckets), slices=max(1, BUCKET_BYTES // INDEX_BYTES // 2)))
+    met = stored(meet(anchor_blobs(texts, buckets), slices=max(1, BUCKET_BYTES // INDEX_BYTES)))
     asked = met.where(F.octet_length("asked") > 0).groupBy("doc").agg(F.collect_list("asked").alias("asked"))
     compared = compare(contexts(texts, asked))
     spans = met.select("doc", "spans").unionByName(compared.select("doc", "spans")).where(F.octet_length("spans") > 0)
