@@ -251,7 +251,8 @@ def test_repeats_are_those_of_all_strings(spark, monkeypatch, seed, large):
 
 
 def test_repeats_edges(spark):
-    text = "".join(random.Random(1).choice("abcdefgh") for _ in range(150))
+    r = random.Random(1)
+    text = "".join(r.choice("abcdefgh") for _ in range(150))
     got = {r.doc_id: r for r in suffix.remove_repeats(frame(spark, [(None, text), (5, text), (5, text), (6, text + "é" * 3)])).collect()}
     assert got[5].n_removed == 0 and got[6].n_removed == 150 and got[None].n_removed == 150 and len(got) == 3
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
