@@ -219,5 +219,5 @@ def test_stages_decide(spark):
             wanted = brute_repeats([(r.doc_id, r.text) for r in before])
             left = {r.doc_id: len(r.text.encode()) for r in docs.collect()}
             assert all(0 <= wanted[i][0] - wanted[i][1] - n <= 8 * wanted[i][2] for i, n in left.items())
-    assert counts[0] > counts[1] > counts[2] >= counts[3] == counts[4]
+    assert counts[0] > counts[1] >= counts[2] >= counts[3] == counts[4]
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "repeats", "packing"]

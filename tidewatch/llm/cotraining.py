@@ -155,7 +155,8 @@ def calibrate(view: View, vectors: np.ndarray, labels: np.ndarray) -> None:
 def _collected(sample: DataFrame) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
     """A bounded sample as arrays."""
     rows = sample.toArrow()
-    both = [np.array(rows.column(c).to_pylist(), float).reshape(len(rows), -1) for c in ("content", "metadata")]
+    widths = (("content", WORD_BUCKETS + SHAPE_BUCKETS), ("metadata", len(metadata_view("", None, None))))
+    both = [np.array(rows.column(c).to_pylist(), float).reshape(len(rows), n) for c, n in widths]
     return {c: rows.column(c).to_numpy() for c in rows.column_names if c not in ("content", "metadata")}, both
 
 
@@ -182,7 +183,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", carry: tup
         ids = ids.join(F.broadcast(known), "doc_id", "left_anti").withColumnRenamed("doc_id", "pool_id")
         chosen = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("pool_id")).select("text", "lang", "source")
         _, pool = _collected(views(chosen))
-        pair = cotrain([v[fitted] for v in labelled], y[fitted], [p.reshape(len(p), v.shape[1]) for p, v in zip(pool, labelled)])
+        pair = cotrain([v[fitted] for v in labelled], y[fitted], pool)
         for view, vectors in zip(pair, labelled):
             calibrate(view, vectors[part == 1], y[part == 1])
         weights = [(v.weights * v.slope, v.bias * v.slope + v.shift) for v in pair]

@@ -226,7 +226,7 @@ def assemble(records: DataFrame, hops: int = 1) -> DataFrame:
     """
     primary = F.col("record_type").isin(*PRIMARY)
     mains = records.where(primary).dropDuplicates(["record_id"])
-    others = records.where(~primary | F.col("record_type").isNull()).select(
+    others = records.where(~primary | F.col("record_type").isNull()).dropDuplicates(["record_id"]).select(
         "record_id", "record_type", "target_uri", "fields", F.get("concurrent_to", F.lit(0)).alias("root")
     )
     if hops:
