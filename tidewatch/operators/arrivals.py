@@ -87,12 +87,13 @@ def approximate_quantiles(value: str, accuracy: int = 10_000) -> Column:
 
 def stream_metrics(
     labelled: DataFrame, expected: DataFrame, keys: Sequence[str], now_ms: int, freshness_ms: int,
-    latency_samples: int, gapped: Column,
+    gapped: Column, latency_samples: int | None = None,
 ) -> DataFrame:
     """Counters, rate, completeness, latency quantiles and freshness per expected stream.
 
     ``labelled`` comes from :func:`classify_arrivals` with ``received_ms``, ``event_ms``
-    (null when latency is not measurable) and a unique ``id``.  Silent streams appear too.
+    (null when latency is not measurable) and a unique ``id``.  Silent streams appear too.  Latencies are
+    those of all accepted rows; with ``latency_samples`` only of so many newest rows per stream.
     """
     keys = list(keys)
     state = F.col("arrival_state")
@@ -111,10 +112,11 @@ def stream_metrics(
     measured = labelled.filter(accepted & F.col("event_ms").isNotNull()).withColumn(
         "latency_ms", age_ms(F.col("received_ms"), F.col("event_ms"))
     )
-    sampled = newest_rows(
-        measured, keys, [F.col("received_ms").desc(), F.col("id").desc()], latency_samples, F.col("id")
-    )
-    latency = sampled.groupBy(*keys).agg(
+    if latency_samples is not None:
+        measured = newest_rows(
+            measured, keys, [F.col("received_ms").desc(), F.col("id").desc()], latency_samples, F.col("id")
+        )
+    latency = measured.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("latency_samples"), *quantiles("latency_ms", "latency")
     )
     joined = expected.join(counts, keys, "left").join(latency, keys, "left")
@@ -197,8 +199,8 @@ def last_n_samples(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return newest_rows(df, keys, order, n, salt)
 
 
-def poll_metrics(polls: DataFrame, items: DataFrame, source: str, samples: int) -> DataFrame:
-    """Poll counters per source.
+def poll_metrics(polls: DataFrame, items: DataFrame, source: str, samples: int | None = None) -> DataFrame:
+    """Poll counters per source; latencies of all new items, or of the ``samples`` newest.
 
     ``polls``: source, ``poll_no``, ``polled_ms``, ``status`` (OK, NOT_MODIFIED, ERROR),
     ``error_code``, ``coverage_gap`` (label or null).  ``items``: source, ``poll_no``,
@@ -231,11 +233,9 @@ def poll_metrics(polls: DataFrame, items: DataFrame, source: str, samples: int)
     live = items.filter("is_new and not bootstrap and occurred_ms is not null").withColumn(
         "latency_ms", age_ms(F.col("polled_ms"), F.col("occurred_ms"))
     )
-    latency = (
-        newest_rows(live, [source], [F.col("polled_ms").desc(), F.col("item_id").desc()], samples, F.col("item_id"))
-        .groupBy(source)
-        .agg(F.count(F.lit(1)).alias("latency_samples"), *quantiles("latency_ms", "latency"))
-    )
+    if samples is not None:
+        live = newest_rows(live, [source], [F.col("polled_ms").desc(), F.col("item_id").desc()], samples, F.col("item_id"))
+    latency = live.groupBy(source).agg(F.count(F.lit(1)).alias("latency_samples"), *quantiles("latency_ms", "latency"))
     joined = counted.join(seen, source, "left").join(latency, source, "left").join(errors, source, "left")
     zero = F.lit(0).cast("long")
     messages = F.coalesce("messages", zero)

@@ -75,8 +75,7 @@ counts AS (SELECT symbol, count(*) AS received, count(*) FILTER (arrival_state =
     count(*) FILTER (missing > 0) AS gap_events, CAST(sum(missing) AS BIGINT) AS missing_ids, min(received_ms) AS first_received_ms,
     max(received_ms) AS last_received_ms, max(received_ms) FILTER (arrival_state = 'ACCEPTED') AS last_accepted_ms
   FROM labelled GROUP BY ALL),
-sampled AS (SELECT symbol, greatest(0, received_ms - event_ms) AS l FROM labelled WHERE arrival_state = 'ACCEPTED'
-  QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY received_ms DESC, id DESC) <= 4096),
+sampled AS (SELECT symbol, greatest(0, received_ms - event_ms) AS l FROM labelled WHERE arrival_state = 'ACCEPTED'),
 lat AS (SELECT symbol, count(*) AS latency_samples, quantile_disc(l, 0.5) AS latency_p50, quantile_disc(l, 0.95) AS latency_p95,
   quantile_disc(l, 0.99) AS latency_p99, max(l) AS latency_max FROM sampled GROUP BY ALL),
 expected AS (SELECT * FROM (VALUES {", ".join(f"('{s}')" for s in EXPECTED)}) v(symbol)),
@@ -93,7 +92,7 @@ metrics AS (SELECT e.symbol, coalesce(received, 0) AS received, coalesce(accepte
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.stream_metrics(
-        labelled(spark, sf_dir), expected_streams(spark), ["symbol"], NOW, HOUR, 4096, F.col("symbol") != "error"
+        labelled(spark, sf_dir), expected_streams(spark), ["symbol"], NOW, HOUR, F.col("symbol") != "error"
     )
 
 
@@ -195,7 +194,7 @@ c AS (SELECT source, count(*) AS attempts, count(*) FILTER (status <> 'ERROR') A
   FROM polls LEFT JOIN coverage USING (source, poll_no) GROUP BY ALL),
 er AS (SELECT source, string_agg(error_code || '=' || n, ',' ORDER BY error_code) AS errors FROM (SELECT source, error_code, count(*) AS n FROM polls WHERE error_code IS NOT NULL GROUP BY ALL) GROUP BY ALL),
 i AS (SELECT source, count(*) AS messages, count(*) FILTER (is_new) AS unique_items, count(*) FILTER (is_new AND bootstrap) AS bootstrap_items, count(*) FILTER (NOT is_new) AS duplicates FROM items GROUP BY ALL),
-s AS (SELECT source, greatest(0, polled_ms - occurred_ms) AS l FROM items WHERE is_new AND NOT bootstrap QUALIFY row_number() OVER (PARTITION BY source ORDER BY polled_ms DESC, item_id DESC, poll_no DESC) <= 1000000),
+s AS (SELECT source, greatest(0, polled_ms - occurred_ms) AS l FROM items WHERE is_new AND NOT bootstrap),
 lat AS (SELECT source, count(*) AS latency_samples, quantile_disc(l, 0.5) AS latency_p50, quantile_disc(l, 0.95) AS latency_p95, quantile_disc(l, 0.99) AS latency_p99, max(l) AS latency_max FROM s GROUP BY ALL)
 SELECT c.*, errors, messages, unique_items, bootstrap_items, duplicates, latency_samples, latency_p50, latency_p95, latency_p99, latency_max,
   round(CAST(successes AS DOUBLE) / attempts, 8) AS success_rate, round(CAST(duplicates AS DOUBLE) / messages, 8) AS duplicate_rate
@@ -213,7 +212,7 @@ def poll_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("poll_no") == F.col("first_no")).alias("bootstrap"),
     )
     logged = polls(spark, sf_dir).join(coverage_gaps(listed).select("source", "poll_no", "coverage_gap"), ["source", "poll_no"], "left")
-    found = ops.poll_metrics(logged, items, "source", 1_000_000)
+    found = ops.poll_metrics(logged, items, "source")
     errors = F.array_join(
         F.transform(F.map_entries("errors_by_code"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ","
     )
