@@ -10,7 +10,16 @@ from tidewatch.llm.common import stored, table, work_folder
 from tidewatch.workload.registry import query
 
 
-@query("op1_warc_captures")
+@query(
+    "op1_warc_captures",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first_id FROM p),
+parts AS (SELECT *, list_transform(range(8), lambda k: CAST('0x' || substr(h, CAST(5 * k + 1 AS INTEGER), 5) AS BIGINT)) AS v FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((v[CAST(i // 4 + 1 AS INTEGER)] >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM parts""",
+)
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a capture, read back and assembled; payloads are checked where they are read and left there."""
     folder = work_folder(spark)
@@ -45,7 +54,24 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op4_event_sourced_chat")
+def _escaped_sql(column: str, breaks: bool = False) -> str:
+    """The escaping of the chat template as nested SQL replacements."""
+    out = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for control in chat.CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}' || chr(92) || '{control[1:]}')"
+    return f"replace({out}, chr(10), chr(92) || chr(10))" if breaks else out
+
+
+@query(
+    "op4_event_sourced_chat",
+    f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<s></s>') + 1 + length({_escaped_sql('role', True)}) + length({_escaped_sql('text')})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
+)
 def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings: logged, folded, rendered and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
