@@ -180,7 +180,10 @@ def asof_any_age(
     """
     out = None
     for name, visible in visible_ms.items():
-        cells = summarise(ticks, keys, visible, grid, grid.step_ms, {name: newest(fields)})
+        # all that was visible before the grid is one cell a key
+        before = F.lit(grid.start_ms - grid.step_ms)
+        clamped = F.when(visible < before, before).otherwise(visible)
+        cells = summarise(ticks, keys, clamped, grid, grid.step_ms, {name: newest(fields)})
         rows = grid_rows.withColumn("cell", cell(F.col("as_of_ms"), grid, grid.step_ms))
         merged = cells.unionByName(rows, allowMissingColumns=True).withColumn(
             "__grid", F.when(F.col("as_of_ms").isNull(), 0).otherwise(1)

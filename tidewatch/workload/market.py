@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.times import to_ms
 from tidewatch.operators import features, lookups, validation
 from tidewatch.operators.arrivals import approximate_quantiles, last_n_samples, quantiles
-from tidewatch.operators.grid import Grid, asof_latest, grid_over, resolution, summarise, Timeline
+from tidewatch.operators.grid import Grid, asof_any_age, grid_over, resolution, summarise, Timeline
 from tidewatch.workload.registry import number, numbers, query
 from tidewatch.workload.tables import ASSETS, DAY, HOUR, REFERENCES, TARGET, TICKS_SQL, grid_sql, table, ticks, trades
 
@@ -44,11 +44,10 @@ ASOF LEFT JOIN newest b ON g.asset = b.asset AND g.as_of_ms - {WINDOW} >= b.rece
 def asof_latest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     grid = tick_grid(t)
-    span = grid.end_ms - grid.start_ms + STEP
-    found = asof_latest(
+    found = asof_any_age(
         t, rows(spark, grid), ["asset"], grid,
         {"received_ms": F.col("received_ms"), "id": F.col("id"), "price": F.col("price")},
-        F.col("received_ms"), {"latest": 0, "lagged": WINDOW}, (span // STEP + 1) * STEP,
+        {"latest": F.col("received_ms"), "lagged": F.col("received_ms") + WINDOW},
     )
     return found.select(
         "asset", "as_of_ms", F.col("latest.id").alias("latest_id"), number("latest.price").alias("latest_price"),
@@ -203,7 +202,7 @@ def gaps_of(t: DataFrame, minimum: int = 40) -> DataFrame:
     from tidewatch.operators.running import Measure, running, with_segments
 
     scanned = running(
-        with_segments(t, "received_ms"), ["asset"], ["received_ms", "id"],
+        with_segments(t, "received_ms", tie="id"), ["asset"], ["received_ms", "id"],
         {"previous": Measure("max", F.col("id"))}, inclusive=False,
     )
     return scanned.filter(F.col("id") > F.col("previous") + minimum).select("asset", "received_ms", "id")
