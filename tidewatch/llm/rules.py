@@ -77,15 +77,14 @@ def repeated_words(words: str = "words") -> Column:
     return F.when(last > 1, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def _covered(hashes: str) -> Column:
-    many = F.size(hashes)
-    order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _places(order: str) -> Column:
+    """Sorted places of windows that have an equal neighbour in their order by hash; ``order`` is a column of its own,
+    so that the sort runs once."""
     pairs = F.zip_with(
-        F.slice(order, F.lit(1), many - 1), F.slice(order, F.lit(2), many - 1),
+        F.slice(order, F.lit(1), F.size(order) - 1), F.slice(order, F.lit(2), F.size(order) - 1),
         lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)),
     )
-    places = F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))
-    return places
+    return F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))
 
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
@@ -93,13 +92,15 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     text = text_of()
     words = F.array_remove(F.split(text, SPACE), "")
     first = docs.select(*keep, text.alias("text"), words.alias("words"))
-    filled = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
+    filled = F.filter(F.split("text", "\n"), lambda x: F.length(F.ltrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     second = first.select(
         *keep, F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         _removed(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"), filled.alias("filled"), repeated_words().alias("hashes"),
         _removed(F.col("text"), UPPER).cast("long").alias("n_upper"), _removed(F.col("text"), "!").cast("long").alias("n_exclamations"),
     )
-    third = second.withColumn("places", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), _covered("hashes")))
+    order = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ordered = second.withColumn("order", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), order)).drop("hashes")
+    third = ordered.withColumn("places", _places("order")).drop("order")
     gaps = F.zip_with(F.slice("places", F.lit(1), F.size("places") - 1), F.slice("places", F.lit(2), F.size("places") - 1), lambda a, b: F.least(F.lit(3), b - a))
     repeat = F.when(F.size("places") > 1, F.aggregate(gaps, F.lit(3), lambda s, x: s + x)).otherwise(0)
     dup = F.size("filled") - F.size(F.array_distinct("filled"))
