@@ -20,6 +20,7 @@ from tidewatch.llm.common import prepared, table, work_folder  # noqa: E402
 from tidewatch.workload.registry import query  # noqa: E402
 
 ROW = "pipeline_row"
+NEAR_PERCENT, NEAR_BANDS = 80, 96  # 96 bands of 8 miss a link at exactly 80 percent with odds of about 2e-8
 LAST_ID = (1 << 63) - 1
 
 
@@ -41,8 +42,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; rows that repeat an id stay or go together."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    """One document of each group of near copies (five words, 80 percent), that with the smallest id; rows that repeat an id stay or go together."""
+    gone = minhash.near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 

@@ -221,3 +221,13 @@ def test_stages_decide(spark):
             assert all(0 <= wanted[i][0] - wanted[i][1] - n <= 8 * wanted[i][2] for i, n in left.items())
     assert counts[0] > counts[1] >= counts[2] >= counts[3] == counts[4]
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "repeats", "packing"]
+
+
+def test_near_dedup_links_at_eighty_percent(spark):
+    def text(name, changed):
+        return " ".join([f"{name}{k}" for k in range(49 - changed)] + [f"{name}x{k}" for k in range(changed)])
+
+    # 45 shingles: with 5 of them changed the similarity is 40 / 50, with 4 it is 41 / 49, with 6 it is 39 / 51.
+    rows = [(1, text("a", 0)), (2, text("a", 5)), (3, text("b", 0)), (4, text("b", 4)), (5, text("c", 0)), (6, text("c", 6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, SMALL).collect()) == [1, 3, 5, 6]

@@ -94,7 +94,7 @@ def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_circulant_minhash")
 def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at 85 percent of five-word shingles."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 @query("op9_run_length_index")
