@@ -71,7 +71,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids, one row a piece."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack_documents(docs, path, public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, path, public_tokenizers.PATTERN, added_tokens=True)
 
 
 STAGES = [("quality", quality), ("toxicity", clean), ("near_dedup", distinct), ("repeats", unrepeated), ("packing", packed)]

@@ -111,6 +111,25 @@ def test_pack_documents(spark, monkeypatch):
     assert packing.pack_documents(docs.limit(0), path, P.PATTERN).count() == 0
 
 
+def test_added_tokens_have_their_ids(spark, tmp_path):
+    from tidewatch.llm import queries
+
+    mark = "<|endoftext|>"
+    texts = [t.replace("#", mark) for t in random_texts(4, 80, "ab  #\n'é1", 60)]
+    texts += [mark, mark * 3, f"a {mark}  b", f" \n {mark} \n", f"<|endof{mark}text|>", "<|endoftext|", f"{'word ' * 3000}{mark}{' x' * 100}", "", None]
+    docs = frame(spark, list(enumerate(texts)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tool = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    by_doc = collections.defaultdict(list)
+    for r in queries.packing_query(spark, str(tmp_path)).collect():
+        by_doc[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        ids = [*tool.encode(t or "", add_special_tokens=False).ids, 0]
+        assert sum(p.length for p in by_doc[i]) == len(ids)
+        for p in by_doc[i]:
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+
+
 # --- MinHash ----------------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ their rank within their length, which Spark computes in salted slices.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -25,11 +26,12 @@ _TOKENIZERS: dict[str, "FileTokenizer"] = {}
 
 
 class FileTokenizer:
-    """Ids of a ``tokenizers`` byte-level BPE file, without special tokens.
+    """Ids of a ``tokenizers`` byte-level BPE file; none are put around a text.
 
     The file is read by ``tokenizers``; texts are encoded by ``tiktoken`` with that vocabulary, which gives the same
     ids several times faster (every token of such a file is reached by its merges, so its lowest-rank merges are the
-    same).
+    same).  Added tokens of the file that occur in a text either have their ids, as in the library by default, and the
+    text between them is encoded piece by piece, or count as plain text (``encode_special_tokens`` of the library).
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -37,14 +39,24 @@ class FileTokenizer:
         from tokenizers import Tokenizer
 
         tool = Tokenizer.from_file(path)
-        special = {t.content for t in tool.get_added_tokens_decoder().values()}
+        self.added = tool.get_added_tokens_decoder()
+        self.added_ids = {t.content: i for i, t in self.added.items()}
+        # The leftmost, and of those the longest, as in the library.
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added_ids, key=len, reverse=True))) + ")")
         byte_of = _bytes_of_letters()
-        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in tool.get_vocab().items() if t not in special}
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in tool.get_vocab().items() if t not in self.added_ids}
         self.tool = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str, added_tokens: bool = False) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return np.array(self.tool.encode_ordinary(text), "<u4").tobytes()
+        if not added_tokens or not any(t in text for t in self.added_ids):
+            return np.array(self.tool.encode_ordinary(text), "<u4").tobytes()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in self.added.values()):
+            raise ValueError("added tokens that depend on their neighbours or on a normalizer are not supported")
+        ids: list[int] = []
+        for k, part in enumerate(self.split.split(text)):
+            ids.extend([self.added_ids[part]] if k % 2 else self.tool.encode_ordinary(part))
+        return np.array(ids, "<u4").tobytes()
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -61,10 +73,11 @@ def file_tokenizer(path: str, pattern: str) -> FileTokenizer:
     return _TOKENIZERS[path]
 
 
-def pieces_of(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pieces_of(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, added_tokens: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: ids of the whole text and the end id, cut only beyond the capacity.
 
     The first piece takes what is over, the others are full.  A null or empty text is the end id alone.
+    ``added_tokens``: those of the file that a text holds have their ids.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -72,7 +85,7 @@ def pieces_of(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY
         out: dict[str, list] = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
         tool = file_tokenizer(path, pattern)
         for key, text in zip(batch["doc_id"], batch["text"]):
-            ids = tool.encode(text) + end
+            ids = tool.encode(text, added_tokens) + end
             total = len(ids) // 4
             start, piece = 0, 0
             while start < total:
@@ -180,9 +193,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return map_rows(ranked, place, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize, cut and pack whole documents; one row per piece.
+def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
+    """Tokenize, cut and pack whole documents; one row per piece.  ``added_tokens`` as in ``pieces_of``.
 
     Repeated rows are packed each; a null ``doc_id`` stays null; further columns are not read.
     """
-    return pack(stored(pieces_of(docs, path, pattern, capacity)), capacity)
+    return pack(stored(pieces_of(docs, path, pattern, capacity, added_tokens=added_tokens)), capacity)

@@ -39,7 +39,7 @@ def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few sequences of 2048 tokens as the method finds."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, added_tokens=True)
 
 
 @query("op10_toxicity")
