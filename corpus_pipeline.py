@@ -21,7 +21,6 @@ from tidewatch.workload.registry import query  # noqa: E402
 
 ROW = "pipeline_row"
 NEAR_PERCENT, NEAR_BANDS = 80, 96  # 96 bands of 8 miss a link at exactly 80 percent with odds of about 2e-8
-LAST_ID = (1 << 63) - 1
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -50,13 +49,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that also start earlier; a letter cut by an edge of one goes too.
 
-    Every document stays, its text may become empty; ``n_chars`` counts what is left.  Rows that repeat an id become
-    one, as in the operator.
+    Every row stays, its text may become empty; ``n_chars`` counts what is left.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(LAST_ID))
-    kept = suffix.remove_repeats(docs, as_text=True).select(key("doc_id").alias("kept_key"), "kept_text")
-    rest = _whole(docs.drop("text")).select(key("doc_id").alias("row_key"), ROW).dropDuplicates(["row_key"])
-    joined = kept.join(rest, F.col("kept_key") == F.col("row_key"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    kept = suffix.remove_repeats(docs.select("doc_id", "text", rest.alias(ROW)), as_text=True, every_row=True, carry=(ROW,))
     columns = []
     for name in docs.columns:
         if name == "text":
@@ -65,7 +61,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             columns.append(F.length("kept_text").cast(dict(docs.dtypes)["n_chars"]).alias("n_chars"))
         else:
             columns.append(F.col(f"{ROW}.`{name}`").alias(name))
-    return joined.select(*columns)
+    return kept.select(*columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -343,3 +343,48 @@ def test_paragraphs_go_in_and_out(spark):
     row = spark.createDataFrame([(v[3].v, v[4].v, v[1].v)], "a array<long>, p array<long>, w array<long>")
     both = row.select(fingerprints.insert(F.col("a"), F.col("p")).alias("i"), fingerprints.delete(F.col("w"), F.col("p")).alias("d")).first()
     assert both.i == v[1].v and both.d == v[3].v
+
+
+# --- repeated ids -----------------------------------------------------------------------------
+
+
+def repeated_ids(seed):
+    """Rows that share an id or have none, copies among them, in the order of keys."""
+    r = random.Random(seed)
+    texts = repetitive(seed, 18)
+    rows = [(r.choice([1, 2, 2, 7, None, (1 << 63) - 1]), t) for t in texts] + [(2, texts[0]), (2, texts[0]), (None, texts[1]), (None, texts[1]), (7, None)]
+    return sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, hashlib.sha256((x[1] or "").encode()).hexdigest()))
+
+
+def test_every_row_of_an_id_has_its_repeats(spark):
+    rows = repeated_ids(5)
+    wanted = brute_repeats([(k, t) for k, (_, t) in enumerate(rows)])
+    mixed = random.Random(1).sample(rows, len(rows))
+    got = suffix.digests(suffix.remove_repeats(frame(spark, mixed).repartition(4), every_row=True)).collect()
+    by_text = lambda x: (str(x[0]), *x[1:])
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=by_text) == sorted(((i, *wanted[k]) for k, (i, _) in enumerate(rows)), key=by_text)
+
+
+def test_every_row_of_an_id_has_its_fingerprints(spark):
+    rows = repeated_ids(6)
+    got = fingerprints.fingerprint_edits(frame(spark, random.Random(1).sample(rows, len(rows))), every_row=True).collect()
+    known = [x for x in rows if x[0] is not None][::-1]
+    wanted = [(i, t or "", known[(k + 1) % len(known)][1] or "") for k, (i, t) in enumerate(known)] + [(None, t or "", "") for i, t in rows if i is None]
+    edited = lambda t, n: hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted((str(i), len(t), edited(t, n)) for i, t, n in wanted)
+    texts = dict(enumerate(sorted({t or "" for _, t in rows})))
+    plain = {texts[r.doc_id]: r.fingerprint for r in fingerprints.fingerprint_edits(frame(spark, list(texts.items()))).collect()}
+    assert collections.Counter(r.fingerprint for r in got) == collections.Counter(plain[t or ""] for _, t in rows)
+
+
+def test_pipeline_keeps_rows_that_share_an_id(spark):
+    import corpus_pipeline
+
+    rows = repeated_ids(7)
+    docs = spark.createDataFrame([(i, t, f"l{k}", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, n_chars int")
+    got = corpus_pipeline.unrepeated(spark, docs.repartition(4), "").collect()
+    assert sorted(r.lang for r in got) == sorted(f"l{k}" for k in range(len(rows)))
+    for r in got:
+        i, t = rows[int(r.lang[1:])]
+        assert r.doc_id == i and r.n_chars == len(r.text) <= len(t or "")
+    assert sum(len(r.text) for r in got) < sum(len(t or "") for _, t in rows)

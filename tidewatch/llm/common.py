@@ -54,6 +54,21 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def keyed_rows(docs: DataFrame, key: str) -> DataFrame:
+    """All rows, stored, with a long ``key`` of their own that ascends by ``doc_id``, then by the SHA-256 of the text.
+
+    Null ids come last.  Copies go by their other columns; which of wholly equal rows comes first does not matter.  Rows are
+    cut into ranges down to the single copy, so an id or a text that many rows share is spread over the tasks.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = {
+        "order_null": F.col("doc_id").isNull(), "order_id": F.col("doc_id"), "order_text": F.sha2(text_of().cast("binary"), 256),
+        "order_rest": F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0), "order_copy": F.monotonically_increasing_id(),
+    }
+    placed = docs.withColumns(order).repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(placed.select(*(F.col(f"`{c}`") for c in docs.columns), F.monotonically_increasing_id().alias(key)))
+
+
 def map_rows(
     df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str, carry: Sequence[str] = ()
 ) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import prepared, stored, text_of
+from tidewatch.llm.common import keyed_rows, prepared, stored, text_of
 
 HASHES = 2
 STEPS = 31  # shifts of a hash; a sum holds the counts of bits ``j`` and ``j + 31`` side by side
@@ -141,30 +141,45 @@ def _sums_of_edits(linked: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, every_row: bool = False) -> DataFrame:
     """Fingerprints of every text and of its edited text, and the likenesses that the fingerprints give.
 
-    The edited text has the last third replaced by the beginning of the next document.  Rows that repeat an id are one
-    document, that with the smallest text; a null id has no next document, which then counts as empty.
+    The edited text has the last third replaced by the beginning of the next document; a row with a null id has no
+    next document, which then counts as empty.  With ``every_row`` each row has a result, and rows that share an id
+    are ordered by the SHA-256 of their texts.  Otherwise rows that repeat an id are one document, that with the smallest text.
     """
     prepared(docs.sparkSession)
     texts = docs.select("doc_id", text_of().alias("text"))
     ids = texts.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.count_distinct("doc_id").alias("distinct")).first()
-    if ids.known != ids.distinct or ids.n > ids.known + 1:
+    repeated = ids.known != ids.distinct or ids.n > ids.known + 1
+    if repeated and every_row:
+        keyed = keyed_rows(texts, "row_key")
+        known = keyed.where("doc_id IS NOT NULL").select(F.col("row_key").alias("doc_id"), "text")
+        unknown = keyed.where("doc_id IS NULL").select(F.col("row_key").alias("doc_id"), "text")
+        found = _fingerprints(known, unknown.repartition("doc_id"))
+        own = keyed.select("row_key", F.col("doc_id").alias("own_id")).hint("shuffle_hash")
+        rest = [c for c in found.columns if c != "doc_id"]
+        return found.join(own, F.col("doc_id") == F.col("row_key")).select(F.col("own_id").alias("doc_id"), *rest)
+    if repeated:
         texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return _fingerprints(texts.where("doc_id IS NOT NULL"), texts.where("doc_id IS NULL") if ids.n > ids.known else None)
+
+
+def _fingerprints(texts: DataFrame, unknown: DataFrame | None) -> DataFrame:
+    """Of texts with unique ids, and of others that have no next document."""
     # The same scan and exchange of texts serves both sides: texts get their links, and give their beginnings away.
     links = neighbours(texts).select(F.col("doc_id").alias("of_id"), "target_id", "target_chars").hint("shuffle_hash")
-    base = texts.where("doc_id IS NOT NULL").join(links, F.col("doc_id") == F.col("of_id"))
+    base = texts.join(links, F.col("doc_id") == F.col("of_id"))
     beginnings = base.select(
         F.col("target_id").alias("for_id"), F.substr(F.col("text"), F.lit(1), F.floor(F.col("target_chars") / 3).cast("int")).alias("beginning")
     ).hint("shuffle_hash")
     linked = base.join(beginnings, F.col("doc_id") == F.col("for_id"), "left").select("doc_id", "target_id", "text", "beginning")
     rows = _sums_of_edits(linked)
-    if ids.n > ids.known:
-        alone = texts.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("target_id"), "text", F.lit("").alias("beginning"))
+    if unknown is not None:
+        alone = unknown.select("doc_id", F.lit(None).cast(dict(texts.dtypes)["doc_id"]).alias("target_id"), "text", F.lit("").alias("beginning"))
         rows = rows.unionByName(_sums_of_edits(alone))
     rows = stored(rows)
-    nexts = rows.select(F.col("target_id").alias("for_id"), F.col("pairs").alias("next_pairs"), F.col("sums").alias("next_sums"))
+    nexts = rows.where("target_id IS NOT NULL").select(F.col("target_id").alias("for_id"), F.col("pairs").alias("next_pairs"), F.col("sums").alias("next_sums"))
     joined = rows.join(nexts.hint("shuffle_hash"), F.col("doc_id") == F.col("for_id"), "left")
     empty = F.array_repeat(F.lit(0).cast("long"), HASHES * STEPS + 4)
     lanes = joined.select(

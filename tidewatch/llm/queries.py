@@ -88,7 +88,7 @@ def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_multiset_fingerprints")
 def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and its edited text."""
-    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"), every_row=True)
 
 
 @query("op2_circulant_minhash")
@@ -100,4 +100,4 @@ def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_run_length_index")
 def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every whole text that a string of 100 bytes repeats from earlier."""
-    return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents")))
+    return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents"), every_row=True))

@@ -19,14 +19,14 @@ Texts are dealt by ``doc_id`` once; anchors, contexts and repeats are a fraction
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import map_rows, prepared, stored, text_of
+from tidewatch.llm.common import keyed_rows, map_rows, prepared, stored, text_of
 
 LENGTH = 100
 GRAM = 36
@@ -455,24 +455,32 @@ def _merged(text: bytes, blobs: list[bytes] | None) -> tuple[list[tuple[int, int
     return list(zip(low, high)), b"".join(left)
 
 
-def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, as_text: bool = False, every_row: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, spans array<struct<start,end>>, kept binary, kept_text)``, spans in bytes, end
     beyond the last.  ``kept_text``, if asked for, leaves out letters of which only a part is kept.
 
-    Order is that of ids, then of places; null texts are empty.  Rows that repeat an id are one document, that with
-    the smallest text; a null id comes after all others.  Texts shorter than 100 bytes stay whole.
+    Order is that of ids, then of places; null texts are empty; a null id comes after all others.  Texts shorter than
+    100 bytes stay whole.  With ``every_row`` each row has a result, and rows that share an id (or have none) go by the
+    SHA-256 of their texts; columns to carry follow.  Otherwise rows that repeat an id are one document, that with the
+    smallest text.
     """
     prepared(docs.sparkSession)
+    if carry and not every_row:
+        raise ValueError("columns are carried with every row only")
     last = (1 << 63) - 1
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc_id"), text_of().alias("text"))
+    own = F.col("doc_id").cast("long")
+    texts = docs.select(F.coalesce(own, F.lit(last)).alias("doc_id"), text_of().alias("text"), own.alias("own_id"), *carry)
     ids = texts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("distinct")).first()
-    if ids.n != ids.distinct:
-        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    found = repeated_spans(texts)
-    joined = texts.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left").select("doc_id", F.col("text").cast("binary").alias("text"), "blobs")
+    if ids.n != ids.distinct and every_row:
+        keyed = keyed_rows(docs.select(own.alias("doc_id"), text_of().alias("text"), *carry), "row_key")
+        texts = keyed.select(F.col("row_key").alias("doc_id"), "text", F.col("doc_id").alias("own_id"), *carry)
+    elif ids.n != ids.distinct:
+        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("own_id").alias("own_id"))
+    found = repeated_spans(texts.select("doc_id", "text"))
+    joined = texts.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left").select("own_id", F.col("text").cast("binary").alias("text"), "blobs", *carry)
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": [None if i == last else i for i in batch["doc_id"]], "n_bytes": [], "n_removed": [], "spans": [], "kept": [], "kept_text": []}
+        out: dict[str, list] = {"doc_id": batch["own_id"], "n_bytes": [], "n_removed": [], "spans": [], "kept": [], "kept_text": []}
         for text, blobs in zip(batch["text"], batch["blobs"]):
             spans, kept = _merged(text, blobs)
             for name, value in (
@@ -482,7 +490,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
                 out[name].append(value)
         return out
 
-    return map_rows(joined, run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_text string")
+    return map_rows(joined, run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_text string", carry)
 
 
 def digests(removed: DataFrame) -> DataFrame:
