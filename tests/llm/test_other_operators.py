@@ -106,6 +106,21 @@ def test_chat_query_has_the_control_conversation(spark):
     assert (row.n_turns, row.loss_chars, row.loss_sha256) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
 
 
+def test_repeated_turns_are_messages_each(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql
+
+    rows = [(1, 0, "user", "hi")] * 3 + [(1, 1, "assistant", "y" * 600)] * 2 + [(1, 3, "assistant", "z" * 300)] * 2 + [(2, 4, None, None), (2, 4, None, None), (2, 5, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.chat_query(spark, str(tmp_path))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    relation = connection.sql(oracle_sql()["op4_event_sourced_chat"])
+    assert sorted(map(tuple, got.select(*relation.columns).collect())) == sorted(relation.fetchall())
+    assert {r.conv_id: r.n_turns for r in got.collect()} == {1: 7, 2: 3, -7: 2}
+
+
 # --- rules ------------------------------------------------------------------------------------
 
 

@@ -97,17 +97,23 @@ def digests(read: DataFrame) -> DataFrame:
     )
 
 
-def logged(conversations: DataFrame) -> DataFrame:
+def logged(conversations: DataFrame, every_row: bool = False) -> DataFrame:
     """The log that rows ``(conv_id, turn, role, text)`` come from.
 
     User texts are a message; every fourth was a shorter draft first and then edited.  Other texts stream in deltas,
-    every third after an attempt that was regenerated.  Rows equal in all of these columns are one message; rows
-    that share a turn are messages of their own, ordered by role and text.  Null texts and roles count as empty.
+    every third after an attempt that was regenerated.  Rows that share a turn are messages of their own, ordered by
+    role and text.  Rows equal in all of these columns are one message, or with ``every_row`` numbered and a message
+    each.  Null texts and roles count as empty.
     """
     text = text_of()
     role = F.coalesce("role", F.lit(""))
     rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    order = F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), "role", F.sha2("text", 256).alias("digest"))
+    number = []
+    if every_row:  # equal rows are counted before they are dealt, then numbered
+        counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
+        rows = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        number = ["copy"]
+    order = F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), "role", F.sha2("text", 256).alias("digest"), *number)
     event = lambda step, kind, text: F.struct(F.lit(step).alias("step") if isinstance(step, int) else step.alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
     pieces = F.greatest(F.lit(1), F.ceil(F.length("text") / DELTA_CHARS).cast("int"))
     deltas = F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: event(k + 2, "delta", F.substr(F.col("text"), k * DELTA_CHARS + 1, F.lit(DELTA_CHARS))))

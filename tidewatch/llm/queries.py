@@ -75,7 +75,7 @@ FROM c GROUP BY conv_id""",
 def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings: logged, folded, rendered and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    log = chat.logged(rows.unionByName(chat.control_conversation(spark)))
+    log = chat.logged(rows.unionByName(chat.control_conversation(spark)), every_row=True)
     return chat.digests(chat.read_back(chat.render(chat.fold_events(log))))
 
 
