@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import chat, common, cotraining, queries, rules, toxicity, warc
+from tidewatch.llm import chat, common, cotraining, queries, rules, samples, toxicity, warc
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -246,3 +246,20 @@ def test_near_dedup_links_at_eighty_percent(spark):
     rows = [(1, text("a", 0)), (2, text("a", 5)), (3, text("b", 0)), (4, text("b", 4)), (5, text("c", 0)), (6, text("c", 6))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, SMALL).collect()) == [1, 3, 5, 6]
+
+
+def test_samples_have_one_row_an_id(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    row = docs.where("doc_id = 7").first()
+    unlabelled = labels.where("doc_id NOT IN (8, 1000)")
+    more = [(i, f"{row.text} {k:03d}", "en", "s", 300, 1.0) for i in (7, 8) for k in range(200)]
+    docs = docs.drop("label").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long, score double"))
+    sizes = []
+    collected = cotraining._collected
+    monkeypatch.setattr(cotraining, "_collected", lambda sample: sizes.append(sample.count()) or collected(sample))
+    assert cotraining.score(docs, unlabelled).count() == 804
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().count()
+    assert len(sizes) == 2 and sum(sizes) <= ids
+    sample = samples.labelled_docs(docs.select("doc_id", "text"), labels, "toxic", 12_000)
+    assert sample.count() == sample.select("doc_id").distinct().count() == 400
+    assert sample.where("doc_id = 7").first().text == min([row.text, *(t for i, t, *_ in more if i == 7)])

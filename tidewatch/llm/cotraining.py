@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import map_rows, prepared, text_of
-from tidewatch.llm.samples import MOST_ROWS, bounded_sample, fold, labelled_docs
+from tidewatch.llm.samples import MOST_ROWS, bounded_sample, fold, labelled_docs, one_row_an_id
 
 LABELLED_ROWS = 8_000
 POOL_ROWS = 4_000
@@ -170,7 +170,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", carry: tup
     prepared(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang", "source", *carry)
     train = fold() != 0
-    sample = labelled_docs(docs, labels, label, LABELLED_ROWS, train, seed=3)
+    sample = labelled_docs(docs.select("doc_id", "text", "lang", "source"), labels, label, LABELLED_ROWS, train, seed=3)
     columns, labelled = _collected(views(sample.select("doc_id", "text", "lang", "source", "label", fold().alias("fold")), "label", "fold"))
     y, part = columns["label"].astype(float), columns["fold"]
     weights = None
@@ -181,8 +181,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", carry: tup
         known = bounded_sample(labels.where(F.col(label).isNotNull()).select("doc_id"), MOST_ROWS, F.xxhash64("doc_id", F.lit(3)), "doc_id")
         ids = bounded_sample(docs.where(train & F.col("doc_id").isNotNull()).select("doc_id").distinct(), POOL_ROWS, F.xxhash64("doc_id", F.lit(4)), "doc_id")
         ids = ids.join(F.broadcast(known), "doc_id", "left_anti").withColumnRenamed("doc_id", "pool_id")
-        chosen = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("pool_id")).select("text", "lang", "source")
-        _, pool = _collected(views(chosen))
+        chosen = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("pool_id")).select("doc_id", "text", "lang", "source")
+        _, pool = _collected(views(one_row_an_id(chosen).drop("doc_id")))
         pair = cotrain([v[fitted] for v in labelled], y[fitted], pool)
         for view, vectors in zip(pair, labelled):
             calibrate(view, vectors[part == 1], y[part == 1])

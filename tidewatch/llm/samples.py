@@ -21,14 +21,20 @@ def bounded_sample(rows: DataFrame, most: int, *order: Column | str) -> DataFram
 
 
 def labelled_docs(docs: DataFrame, labels: DataFrame, label: str, most: int, where: Column | None = None, seed: int = 0) -> DataFrame:
-    """``(doc_id, text…, label int)`` of at most ``most`` labelled documents.
+    """``(doc_id, text…, label int)`` of at most ``most`` labelled documents, one row each.
 
-    The sample has two longs a row and at most ``MOST_ROWS`` rows, so it is broadcast and no text is shuffled.  Null
-    labels and ids are left out; an id that is labelled twice counts with its larger label.
+    The sample has two longs a row and at most ``MOST_ROWS`` rows, so it is broadcast and only its texts are shuffled.
+    Null labels and ids are left out; an id that is labelled twice counts with its larger label.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if where is not None:
         known = known.where(where)
     known = known.groupBy(F.col("doc_id").alias("sample_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     picked = bounded_sample(known, most, F.xxhash64("sample_id", F.lit(seed)), "sample_id")
-    return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("sample_id")).drop("sample_id")
+    return one_row_an_id(docs.join(F.broadcast(picked), F.col("doc_id") == F.col("sample_id")).drop("sample_id"))
+
+
+def one_row_an_id(sample: DataFrame) -> DataFrame:
+    """The row with the smallest text, then the smallest other columns, of every ``doc_id``; aggregated before it is dealt."""
+    rest = [c for c in sample.columns if c not in ("doc_id", "text")]
+    return sample.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row")).select("doc_id", "row.*")

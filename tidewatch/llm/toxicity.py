@@ -142,11 +142,12 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", carry: tuple
     """
     prepared(docs.sparkSession)
     docs = docs.select("doc_id", "text", *carry)
+    texts = docs.select("doc_id", "text")
     train = fold() != 0
-    toxic = labelled_docs(docs, labels.where(F.col(label) == 1), label, LEXICON_ROWS // 2, train, seed=1)
-    clean = labelled_docs(docs, labels.where(F.col(label) == 0), label, LEXICON_ROWS // 2, train, seed=1)
+    toxic = labelled_docs(texts, labels.where(F.col(label) == 1), label, LEXICON_ROWS // 2, train, seed=1)
+    clean = labelled_docs(texts, labels.where(F.col(label) == 0), label, LEXICON_ROWS // 2, train, seed=1)
     lexicon = learn_lexicon(toxic.select("text", "label").unionByName(clean.select("text", "label")))
-    sample = labelled_docs(docs, labels, label, TRAINING_ROWS, train).select("doc_id", "text", "label")
+    sample = labelled_docs(texts, labels, label, TRAINING_ROWS, train).select("doc_id", "text", "label")
     ready = stored(features(sample, lexicon, carry=("label",))).coalesce(2)
     counts = {r.label: r.n for r in ready.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     result = features(docs, lexicon, carry=carry)
