@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import byte_bpe, chat, cotraining, fingerprints, lexical, minhash, packing, rules, suffix, toxicity, variants, warc
+from tidewatch.llm import byte_bpe, chat, cotraining, debruijn, fingerprints, lexical, minhash, packing, rules, suffix, toxicity, variants, warc
 from tidewatch.llm.common import stored, table, work_folder
 from tidewatch.workload.registry import query
 
@@ -145,3 +145,20 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
 def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty documents of highest score for every benchmark item, over all whole texts."""
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op13_de_bruijn_spans",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, start, array_to_string(words[start + 1 : start + 20], ' ') AS span FROM (SELECT doc_id, words, unnest(range(len(words) - 19)) AS start FROM d WHERE len(words) >= 20)),
+later AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY span ORDER BY doc_id, start) AS n FROM w) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, start + unnest(range(20)) AS place FROM later),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+t AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM d),
+k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.place) AS kept FROM t LEFT JOIN gone g ON t.doc_id = g.doc_id AND t.place = g.place WHERE g.place IS NULL GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN k USING (doc_id)""",
+)
+def spans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text that a window of 20 words repeats from earlier."""
+    return debruijn.digests(debruijn.remove_repeats(table(spark, sf_dir, "documents")))
