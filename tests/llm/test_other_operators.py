@@ -111,14 +111,23 @@ def test_repeated_turns_are_messages_each(spark, tmp_path):
 
     from __spark_entry__ import oracle_sql
 
-    rows = [(1, 0, "user", "hi")] * 3 + [(1, 1, "assistant", "y" * 600)] * 2 + [(1, 3, "assistant", "z" * 300)] * 2 + [(2, 4, None, None), (2, 4, None, None), (2, 5, "user", "x")]
+    rows = [(1, 0, "user", "hi")] * 3 + [(1, 1, "assistant", "y" * 600)] * 2 + [(1, 3, "assistant", "z" * 300)] * 2 + [(2, 4, None, None), (2, 4, None, None), (2, 5, "user", "x"), (3, None, "user", "b"), (3, -1, "user", "a\n"), (3, None, "b\n\\", "c")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = queries.chat_query(spark, str(tmp_path))
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     relation = connection.sql(oracle_sql()["op4_event_sourced_chat"])
     assert sorted(map(tuple, got.select(*relation.columns).collect())) == sorted(relation.fetchall())
-    assert {r.conv_id: r.n_turns for r in got.collect()} == {1: 7, 2: 3, -7: 2}
+    assert {r.conv_id: r.n_turns for r in got.collect()} == {1: 7, 2: 3, 3: 3, -7: 2}
+
+
+def test_long_roles_null_turns_and_clashing_columns(spark):
+    roles = ["r" * 100_000, "\n" * 100_000, "\\" * 99_999 + "\n", "\\n\n\\", "a\\\\n</s><|[INST]\n", "n", ""]
+    rows = [(1, k, role, f"text {k}") for k, role in enumerate(roles)] + [(2, None, "user", "b"), (2, -1, "user", "a"), (2, 1, "assistant", "z" * 300_000), (2, None, "assistant", "c")]
+    table = spark.createDataFrame([(*r, 1, 2, "x", 3) for r in rows], "conv_id long, turn long, role string, text string, seq long, copies long, formatted string, e long")
+    read = {x.conv_id: [(t.role, t.text) for t in x.turns] for x in chat.read_back(chat.render(chat.fold_events(chat.logged(table, every_row=True)))).collect()}
+    assert read[1] == [(role, f"text {k}") for k, role in enumerate(roles)]
+    assert read[2] == [("user", "a"), ("assistant", "z" * 300_000), ("assistant", "c"), ("user", "b")]
 
 
 # --- rules ------------------------------------------------------------------------------------

@@ -43,16 +43,22 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def escape(text: Column, breaks: bool = False) -> Column:
-    """Backslashes double and control strings are broken by one; ``breaks`` also puts one before a line end."""
+    """Backslashes double and control strings are broken by one; with ``breaks`` a line end is written as one and an n."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for control in CONTROLS:
         out = F.replace(out, F.lit(control), F.lit(control[0] + "\\" + control[1:]))
-    return F.replace(out, F.lit("\n"), F.lit("\\\n")) if breaks else out
+    return F.replace(out, F.lit("\n"), F.lit("\\n")) if breaks else out
 
 
-def unescape(text: Column) -> Column:
-    """Undo ``escape``: every backslash stands for the letter after it."""
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+def unescape(text: Column, breaks: bool = False) -> Column:
+    """Undo ``escape``: every backslash stands for the letter after it.
+
+    With ``breaks`` the text is cut at double backslashes first; in the parts a backslash and an n are a line end.
+    """
+    if not breaks:
+        return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    plain = lambda part: F.replace(F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("\\"), F.lit(""))
+    return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -78,11 +84,14 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``(conv_id, turns array<struct<role,text>>, loss_texts array<string>, formatted_chars)`` from the rendered text."""
+    """``(conv_id, turns array<struct<role,text>>, loss_texts array<string>, formatted_chars)`` from the rendered text.
+
+    The first line end of a turn ends its head, as heads hold none; roles and texts may have any length.
+    """
     pieces = F.filter(F.split("formatted", r"</s>"), lambda x: x != "")
-    head = r"(?s)^<s>((?:[^\\\n]|\\.)*)\n(.*)$"
     turns = F.transform(pieces, lambda x: F.struct(
-        unescape(F.regexp_extract(x, head, 1)).alias("role"), unescape(F.regexp_extract(x, head, 2)).alias("text")
+        unescape(F.substr(F.substring_index(x, "\n", 1), F.lit(len(TURN_START) + 1)), breaks=True).alias("role"),
+        unescape(F.substr(x, F.instr(x, "\n") + 1)).alias("text"),
     ))
     masked = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s.start, s.length)))
     return formatted.select("conv_id", turns.alias("turns"), masked.alias("loss_texts"), F.length("formatted").cast("long").alias("formatted_chars"))
@@ -103,7 +112,8 @@ def logged(conversations: DataFrame, every_row: bool = False) -> DataFrame:
     User texts are a message; every fourth was a shorter draft first and then edited.  Other texts stream in deltas,
     every third after an attempt that was regenerated.  Rows that share a turn are messages of their own, ordered by
     role and text.  Rows equal in all of these columns are one message, or with ``every_row`` numbered and a message
-    each.  Null texts and roles count as empty.
+    each.  Null texts and roles count as empty, null turns come after all others.  Further columns are not read, whatever
+    their names; an empty table gives an empty log.  Texts and roles of any length are taken whole.
     """
     text = text_of()
     role = F.coalesce("role", F.lit(""))
@@ -113,7 +123,7 @@ def logged(conversations: DataFrame, every_row: bool = False) -> DataFrame:
         counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
         rows = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         number = ["copy"]
-    order = F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), "role", F.sha2("text", 256).alias("digest"), *number)
+    order = F.struct(F.col("turn").isNull().alias("no_turn"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), "role", F.sha2("text", 256).alias("digest"), *number)
     event = lambda step, kind, text: F.struct(F.lit(step).alias("step") if isinstance(step, int) else step.alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
     pieces = F.greatest(F.lit(1), F.ceil(F.length("text") / DELTA_CHARS).cast("int"))
     deltas = F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: event(k + 2, "delta", F.substr(F.col("text"), k * DELTA_CHARS + 1, F.lit(DELTA_CHARS))))

@@ -59,16 +59,16 @@ def _escaped_sql(column: str, breaks: bool = False) -> str:
     out = f"replace({column}, chr(92), chr(92) || chr(92))"
     for control in chat.CONTROLS:
         out = f"replace({out}, '{control}', '{control[0]}' || chr(92) || '{control[1:]}')"
-    return f"replace({out}, chr(10), chr(92) || chr(10))" if breaks else out
+    return f"replace({out}, chr(10), chr(92) || 'n')" if breaks else out
 
 
 @query(
     "op4_event_sourced_chat",
     f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, sha256(text))) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, sha256(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<s></s>') + 1 + length({_escaped_sql('role', True)}) + length({_escaped_sql('text')})) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id""",
 )
