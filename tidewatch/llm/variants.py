@@ -30,7 +30,7 @@ LEAST_LENGTH = 5
 LEAST_COUNT = 3
 TILE = 256
 COUNTED_WORDS = 200_000
-KEY = ["m", "head", "tail", "head_hash", "tail_hash"]
+KEY = ["m", "cuts", "head", "tail", "head_hash", "tail_hash"]
 
 
 # --- words and their counts ---------------------------------------------------------------------
@@ -76,17 +76,17 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count:
 
 
 def _keyed(placed: DataFrame) -> DataFrame:
-    """Blocks by length and what their words share; ``head`` and ``tail`` are lengths."""
+    """Blocks by length and what their words share; ``head`` and ``tail`` are lengths, ``cuts`` has a bit for each that led there."""
     tail = F.expr("substring(word, length(word) - tail + 1, tail)")
-    return placed.select("word", "n", "m", "head", "tail", F.xxhash64(F.expr("substring(word, 1, head)")).alias("head_hash"), F.xxhash64(tail).alias("tail_hash"))
+    return placed.select("word", "n", "m", "cuts", "head", "tail", F.xxhash64(F.expr("substring(word, 1, head)")).alias("head_hash"), F.xxhash64(tail).alias("tail_hash"))
 
 
 def _halved(placed: DataFrame) -> DataFrame:
     """Every word in both blocks that share half of the rest besides."""
     half = F.floor((F.col("m") - F.col("head") - F.col("tail")) / 2).cast("int")
     both = F.array(
-        F.struct((F.col("head") + half).alias("head"), F.col("tail").alias("tail")),
-        F.struct(F.col("head").alias("head"), (F.col("tail") + half).alias("tail")),
+        F.struct((F.col("cuts") * 2 + 1).alias("cuts"), (F.col("head") + half).alias("head"), F.col("tail").alias("tail")),
+        F.struct((F.col("cuts") * 2).alias("cuts"), F.col("head").alias("head"), (F.col("tail") + half).alias("tail")),
     )
     return _keyed(placed.select("word", "n", "m", F.explode(both).alias("shared")).select("word", "n", "m", "shared.*"))
 
@@ -96,7 +96,7 @@ def blocks(words: DataFrame, tile: int = TILE) -> DataFrame:
 
     Levels are stored; their number is at most the logarithm of the longest length.
     """
-    whole = words.withColumn("m", F.explode(F.array(F.length("word"), F.length("word") + 1))).select("word", "n", "m", F.lit(0).alias("head"), F.lit(0).alias("tail"))
+    whole = words.withColumn("m", F.explode(F.array(F.length("word"), F.length("word") + 1))).select("word", "n", "m", F.lit(1).cast("long").alias("cuts"), F.lit(0).alias("head"), F.lit(0).alias("tail"))
     placed, ready = stored(_halved(whole)), []
     while True:
         large = stored(placed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size")).where(f"size > {tile} AND m - head - tail > 1").drop("size"))
@@ -139,23 +139,21 @@ def _prefix(a: bytes, b: bytes) -> int:
     return low
 
 
-def _owns(m: int, head: int, tail: int, prefix: int) -> bool:
+def _owns(m: int, cuts: int, prefix: int) -> bool:
     """Whether a pair is this block's: of the blocks that hold it, the one reached by preferring longer heads."""
     p = s = 0
-    while (p, s) != (head, tail):
+    for step in bin(cuts)[3:]:
         half = (m - p - s) // 2
-        if half == 0:
+        if (prefix >= p + half) != (step == "1"):
             return False
-        if prefix >= p + half:
+        if step == "1":
             p += half
         else:
             s += half
-        if p > head or s > tail:
-            return False
     return True
 
 
-def near_pairs(words: list[bytes], m: int, head: int, tail: int) -> list[tuple[int, int]]:
+def near_pairs(words: list[bytes], m: int, cuts: int, head: int, tail: int) -> list[tuple[int, int]]:
     """Pairs one edit apart, the first of length ``m``, that this block has to tell of; ``words`` share head and tail."""
     rests = [w[head : len(w) - tail] for w in words]
     longer = [k for k, w in enumerate(words) if len(w) == m]
@@ -173,7 +171,7 @@ def near_pairs(words: list[bytes], m: int, head: int, tail: int) -> list[tuple[i
             continue  # of two words of one length once
         a, b = words[order[i]], words[order[j]]
         prefix = _prefix(a, b)
-        if a[prefix + 1 :] == b[prefix + (len(a) == len(b)) :] and _owns(m, head, tail, prefix):
+        if a[prefix + 1 :] == b[prefix + (len(a) == len(b)) :] and _owns(m, cuts, prefix):
             found.append((order[i], order[j]))
     return found
 
@@ -188,9 +186,8 @@ def near_words(placed: DataFrame) -> DataFrame:
     """
 
     def told(key: tuple, words: list[str], counts: list[int]) -> pa.RecordBatch | None:
-        m, head, tail = key[:3]
         found: dict[int, list] = {}
-        for i, j in near_pairs([w.encode("latin-1") for w in words], m, head, tail):
+        for i, j in near_pairs([w.encode("latin-1") for w in words], *key[:4]):
             for own, other in ((i, j), (j, i)):
                 rank = (-counts[other], words[other])
                 if own in found:
@@ -206,7 +203,7 @@ def near_words(placed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, words, counts = None, [], []
         for batch in batches:
-            for *own, word, n in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            for *own, word, n in zip(*(batch.column(k).to_pylist() for k in range(8))):
                 if own != key:
                     if len(words) > 1 and (out := told(key, words, counts)) is not None:
                         yield out
