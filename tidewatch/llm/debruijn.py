@@ -11,8 +11,8 @@ are a piece (window functions over short stretches of a document), and pieces th
 to paths by joins with doubling pointers.  Walks are then threaded along the paths, which tells for every window where
 it occurs first, and each document's windows that are not the first are taken from its text.
 
-Hashes of a window are those of its two nodes; a third one, of other word hashes, has to agree among all places of an
-edge.  Nothing is compared in pairs; no node, edge or walk is gathered in one task.
+Places count as the same edge if the hashes of both nodes and a third one, from other hashes of the words, agree at their
+source coordinates.  Nothing is compared in pairs; no node, edge or walk is gathered in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import keyed_rows, map_rows, prepared, stored, text_of
+from tidewatch.llm.common import discard, keyed_rows, map_rows, prepared, stored, text_of
 
 WINDOW = 20
 MER = 8
@@ -226,10 +226,10 @@ def _edges(walked: DataFrame) -> DataFrame:
 
 
 def repeated_edges(walked: DataFrame) -> DataFrame:
-    """``(left, right, doc, pos)`` of edges that occur twice, with their first place; their checks have to agree."""
+    """``(left, right, doc, pos)`` of edges that occur twice, with their first place; places of an edge agree in the check."""
     place = F.struct("doc", (F.col("walk") + F.col("number")).alias("pos"))
-    found = _edges(walked).groupBy("left", "right").agg(F.sum("copies").alias("n"), F.min(place).alias("first"), F.min("check").alias("low"), F.max("check").alias("high"))
-    return found.where("n > 1 AND low = high").select("left", "right", "first.*")
+    found = _edges(walked).groupBy("left", "right", "check").agg(F.sum("copies").alias("n"), F.min(place).alias("first"))
+    return found.where("n > 1").select("left", "right", "first.*")
 
 
 def joints(edges: DataFrame) -> DataFrame:
@@ -306,15 +306,18 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """
     twice = stored(least_sequences(texts).groupBy("mer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mer"))
     met = stored(all_walks(texts).join(twice, "mer"))
+    discard(twice)
     place = F.struct("doc", "start", "windows")
     contents = stored(met.groupBy("mer", "content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).select("mer", "content", "first.*", "copies"))
     firsts = contents.groupBy(F.col("doc").alias("of_doc")).agg(F.collect_list(F.struct("start", "windows", "copies")).alias("firsts"))
     walked = stored(walk_edges(texts.join(firsts, F.col("doc") == F.col("of_doc"))))
-    edges = stored(repeated_edges(walked))
-    joined = stored(joints(edges))
-    edges = stored(pieces(edges, joined))
+    repeated = stored(repeated_edges(walked))
+    joined = stored(joints(repeated))
+    edges = stored(pieces(repeated, joined))
+    discard(repeated)
     threaded = threads(walked, edges, paths(edges, joined)).withColumnRenamed("walk", "start")
     known = stored(contents.join(threaded, ["doc", "start"]).select("mer", "content", "spans"))
+    discard(joined, edges, walked, contents)
     spans = met.join(known, ["mer", "content"]).select("doc", F.expr("filter(spans, s -> s.first_doc <> doc OR s.first_pos <> start + s.at)").alias("spans"), "start")
     moved = F.expr("transform(spans, s -> named_struct('start', start + s.at, 'windows', s.windows, 'path_doc', s.path_doc, 'path', s.path, 'offset', s.offset))")
     return spans.where(F.size("spans") > 0).select("doc", moved.alias("spans")).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
