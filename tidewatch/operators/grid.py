@@ -29,6 +29,7 @@ from tidewatch.operators.running import Measure, running
 
 
 SEGMENT_POINTS = 4096
+ROWS_BLOCK = 10_000
 
 
 @dataclass(frozen=True)
@@ -69,6 +70,18 @@ class Grid:
         return instants.select("as_of_ms", listed.alias(key))
 
 
+    def rows_of(self, keys: DataFrame, key: str) -> DataFrame:
+        """Instants, once per distinct key of the data.  They are made block by block, so a long grid is no large row."""
+        found = keys.select(key).distinct()
+        if self.end_ms < self.start_ms:
+            return found.select(F.lit(0).cast("long").alias("as_of_ms"), key).limit(0)
+        step, block = self.step_ms, self.step_ms * ROWS_BLOCK
+        starts = F.explode(F.sequence(F.lit(self.start_ms).cast("long"), F.lit(self.end_ms).cast("long"), F.lit(block).cast("long")))
+        last = F.least(F.col("__start") + block - step, F.lit(self.end_ms).cast("long"))
+        instants = F.explode(F.sequence(F.col("__start"), last, F.lit(step).cast("long")))
+        return found.select(key, starts.alias("__start")).select(instants.alias("as_of_ms"), key)
+
+
 def grid_over(df: DataFrame, time_ms: str, step_ms: int, bucket_ms: int | None = None) -> Grid:
     """Grid spanning the data, starting on a multiple of the step."""
     low, high = df.agg(F.min(time_ms), F.max(time_ms)).first()

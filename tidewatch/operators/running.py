@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, NumericType, StringType
 
 SEGMENT = "__segment"
 
@@ -108,6 +108,12 @@ def running(
     if segment is None and SEGMENT not in df.columns:
         return _bounded(df, keys, order, measures, inclusive)
     work = df if segment is None else df.withColumn(SEGMENT, segment)
+    # Null keys are a key of their own.  Keys without nulls are made once: windows, totals and the join share them, so
+    # the join finds all rows dealt as it needs them.
+    plain = {f"__key_{i}": _without_null(work, k) for i, k in enumerate(keys)}
+    missing = {f"__null_{i}": F.col(k).isNull() for i, k in enumerate(keys) if work.schema[k].nullable}
+    work = work.withColumns({**plain, **missing, SEGMENT: F.coalesce(F.col(SEGMENT), F.lit(-1)) if work.schema[SEGMENT].nullable else F.col(SEGMENT)})
+    keys = [*plain, *missing]
     by = [*keys, SEGMENT]
     ordered = F.struct(*order)
 
@@ -142,10 +148,7 @@ def running(
             for n, m in measures.items()
         ],
     )
-    # Null keys are a key of their own, as in the windows.
-    renamed = carry.withColumnsRenamed({k: f"__of_{k}" for k in by})
-    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in by]
-    joined = local.join(renamed, same, "left").drop(*(f"__of_{k}" for k in by))
+    joined = local.join(carry, by, "left")
     columns = [F.col(c) for c in df.columns if c != SEGMENT]
     for name, m in measures.items():
         here, before = F.col(f"__local_{name}"), F.col(f"__carry_{name}")
@@ -164,6 +167,16 @@ def running(
     return joined.select(*columns)
 
 
+def _without_null(df: DataFrame, key: str) -> Column:
+    """A key column with some value of its type for null."""
+    kind = df.schema[key].dataType
+    if not df.schema[key].nullable:
+        return F.col(key)
+    if isinstance(kind, (StringType, NumericType, BooleanType)):
+        return F.coalesce(F.col(key), F.lit("" if isinstance(kind, StringType) else False if isinstance(kind, BooleanType) else 0).cast(kind))
+    return F.coalesce(F.to_json(F.struct(F.col(key))), F.lit(""))
+
+
 def _bounded(
     df: DataFrame, keys: list[str], order: Sequence[str], measures: dict[str, Measure], inclusive: bool
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.hashing import prefixed, sha256, sorted_json
@@ -12,6 +12,7 @@ from tidewatch.functions.times import to_text
 from tidewatch.operators.running import numbered, segmented
 
 BAD_LINE = "_corrupt_record"
+COPIES_BLOCK = 10_000
 
 
 def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -33,19 +34,36 @@ def label_appends(journal: DataFrame, batch: DataFrame, record_id: str, record_h
     A new id is APPEND (its first row in the batch; of identical first rows one), the same id with the
     same hash is NO_OP, with another hash CONFLICT.
     """
-    same = Window.partitionBy(record_id, record_hash, order).orderBy(F.lit(0))
-    first = batch.groupBy(record_id).agg(F.min(F.struct(order, record_hash)).alias("__first"))
+    first = batch.groupBy(record_id).agg(F.min(F.struct(order, record_hash, _row_key(batch).alias("__row"))).alias("__first"))
     stored = journal.groupBy(record_id).agg(F.max(record_hash).alias("__stored"))
-    joined = batch.withColumn("__copy", F.row_number().over(same)).join(first, record_id).join(stored, record_id, "left")
+    joined = _copies(batch).join(first, record_id).join(stored, record_id, "left")
     basis = F.coalesce("__stored", F.col(f"__first.{record_hash}"))
+    opening = F.struct(order, record_hash, _row_key(batch).alias("__row")).eqNullSafe(F.col("__first"))
     state = (
         F.when(F.col(record_hash) != basis, "CONFLICT")
-        .when(F.col("__stored").isNull() & (F.col(order) == F.col(f"__first.{order}")) & (F.col("__copy") == 1), "APPEND")
+        .when(F.col("__stored").isNull() & opening & (F.col("__copy") == 1), "APPEND")
         .otherwise("NO_OP")
     )
     return joined.select(*batch.columns, state.alias("append_state"))
 
 
+def _row_key(batch: DataFrame) -> Column:
+    """All of a row, for ties."""
+    return F.struct(*(F.col(f"`{c}`") for c in batch.columns))
+
+
+def _copies(batch: DataFrame) -> DataFrame:
+    """The rows with ``__copy``, 1 for the first of equal rows.
+
+    Equal rows are counted before they are dealt, so a record that comes very often is one row on the way; they are
+    made again in blocks, which AQE spreads.
+    """
+    counted = batch.groupBy(*(F.col(f"`{c}`") for c in batch.columns)).agg(F.count(F.lit(1)).alias("__n"))
+    blocks = counted.withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"), F.lit(COPIES_BLOCK).cast("long"))))
+    copies = F.sequence(F.col("__from"), F.least(F.col("__n"), F.col("__from") + COPIES_BLOCK - 1))
+    return blocks.hint("rebalance").withColumn("__copy", F.explode(copies)).drop("__n", "__from")
+
+
 def append_idempotent(
     journal: DataFrame, batch: DataFrame, record_id: str, record_hash: str, order: str
 ) -> tuple[DataFrame, DataFrame]:
@@ -93,13 +111,12 @@ def append_quote_records(journal: DataFrame, batch: DataFrame, snapshot: str, re
     Of the rows of an id the first in the order of all columns is the new record.
     """
     named = batch.withColumn("record_id", quote_record_id(F.col(snapshot), F.col(recorded_ms)))
-    of_id = Window.partitionBy("record_id").orderBy(*batch.columns)
+    first = named.groupBy("record_id").agg(F.min(_row_key(batch)).alias("__first"))
     stored = journal.select("record_id", F.lit(True).alias("__stored")).distinct()
+    again = ~_row_key(batch).eqNullSafe(F.col("__first")) | (F.col("__copy") > 1)
     return (
-        named.withColumn("__n", F.row_number().over(of_id))
-        .join(stored, "record_id", "left")
-        .withColumn("is_duplicate", F.coalesce("__stored", F.lit(False)) | (F.col("__n") > 1))
-        .drop("__n", "__stored")
+        _copies(named).join(first, "record_id").join(stored, "record_id", "left")
+        .select(*named.columns, (F.coalesce("__stored", F.lit(False)) | again).alias("is_duplicate"))
     )
 
 

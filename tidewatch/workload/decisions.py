@@ -64,7 +64,7 @@ def _hours(condition: str, name: str) -> str:
     return f"CASE WHEN {condition} THEN (as_of_ms - coalesce(max(CASE WHEN NOT coalesce({condition}, false) THEN as_of_ms END) OVER w + {STEP}, (SELECT s FROM bounds))) // 1000 ELSE 0 END AS {name}"
 
 
-PANEL_SQL = f"""{TICKS_SQL}, {grid_sql(STEP)}, {GAPS_SQL.replace('previous + 40', 'previous + 200')}, {ONE_PER_TIME},
+PANEL_SQL = f"""{TICKS_SQL}, {grid_sql(STEP, ASSETS)}, {GAPS_SQL.replace('previous + 40', 'previous + 200')}, {ONE_PER_TIME},
 {RECEIVED_FLOW_SQL.replace(f'> {HOUR // 2} THEN', f'> {FRESH} THEN')},
 found AS (SELECT g.asset, g.as_of_ms, n.received_ms AS n_ms, n.r AS n, b.received_ms AS b_ms, b.r AS b FROM grid g
   ASOF LEFT JOIN newest n ON g.asset = n.asset AND g.as_of_ms >= n.received_ms
@@ -189,7 +189,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SIGMA = """SELECT a.asset, a.as_of_ms, CASE WHEN count(b.ret) >= 5 THEN mad(b.ret) * 1.4826 END AS sigma FROM ev_return a LEFT JOIN ev_return b ON b.asset = a.asset
   AND b.as_of_ms >= a.as_of_ms - {day} AND b.as_of_ms < a.as_of_ms GROUP BY ALL""".format(day=DAY)
-SNAPSHOT_SQL = f"""{TICKS_SQL}, {grid_sql(STEP)}, {EVENT_ASOF_SQL}, {FLOW_WINDOW_SQL}, sig AS ({_SIGMA}),
+SNAPSHOT_SQL = f"""{TICKS_SQL}, {grid_sql(STEP, ASSETS)}, {EVENT_ASOF_SQL}, {FLOW_WINDOW_SQL}, sig AS ({_SIGMA}),
 wide AS (SELECT as_of_ms, max(ret) FILTER (asset = 'view') AS r0, max(ret) FILTER (asset = 'click') AS r1, max(ret) FILTER (asset = 'signup') AS r2, max(ret) FILTER (asset = 'purchase') AS r3,
   max(sigma) FILTER (asset = 'view') AS s0, max(sigma) FILTER (asset = 'signup') AS s2, max(sigma) FILTER (asset = 'purchase') AS s3, count(ret) AS known,
   count(*) FILTER (coalesce(as_of_ms - latest_received_ms > {FRESH}, true)) AS stale, bool_or(coalesce(as_of_ms - latest_received_ms > {FRESH}, true) AND asset IN ('view', 'signup', 'purchase')) AS essential

@@ -22,8 +22,9 @@ def tick_grid(t: DataFrame, step: int = STEP, time: str = "received_ms") -> Grid
     return grid_over(t, time, step)
 
 
-def rows(spark: SparkSession, grid: Grid, assets=ASSETS) -> DataFrame:
-    return grid.rows(spark, "asset", assets)
+def rows(t: DataFrame, grid: Grid) -> DataFrame:
+    """The grid for every key of the ticks."""
+    return grid.rows_of(t, "asset")
 
 
 # --- as-of ---------------------------------------------------------------------------------
@@ -45,7 +46,7 @@ def asof_latest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     grid = tick_grid(t)
     found = asof_any_age(
-        t, rows(spark, grid), ["asset"], grid,
+        t, rows(t, grid), ["asset"], grid,
         {"received_ms": F.col("received_ms"), "id": F.col("id"), "price": F.col("price")},
         {"latest": F.col("received_ms"), "lagged": F.col("received_ms") + WINDOW},
     )
@@ -74,7 +75,7 @@ FROM kept""",
 def asset_state_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     grid = tick_grid(t)
-    state = features.asset_state(t, rows(spark, grid), "asset", grid, FRESH, WINDOW, RETENTION)
+    state = features.asset_state(t, rows(t, grid), "asset", grid, FRESH, WINDOW, RETENTION)
     return numbers(state.drop("latest_received_ms"), "price", "ret")
 
 
@@ -99,7 +100,7 @@ FROM ev_return""",
 def event_return_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     grid = tick_grid(t)
-    found = features.event_return(t, rows(spark, grid), "asset", grid, WINDOW)
+    found = features.event_return(t, rows(t, grid), "asset", grid, WINDOW)
     return numbers(found.select("asset", "as_of_ms", "ret", "ret_state", "observed_ms"), "ret")
 
 
@@ -191,7 +192,7 @@ FROM flows""",
 def order_flow_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     grid = tick_grid(t)
-    flow = features.order_flow(t, rows(spark, grid), "asset", grid, WINDOW)
+    flow = features.order_flow(t, rows(t, grid), "asset", grid, WINDOW)
     flow = numbers(flow, "coverage")
     flow = numbers(flow, "buy_sell_ratio", places=4)
     return numbers(flow, "buy_notional", "sell_notional", "net_flow", places=6)
@@ -238,7 +239,7 @@ FROM stated""",
 def order_flow_received_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     grid = tick_grid(t)
-    flow = features.order_flow_received(t, gaps_of(t), rows(spark, grid), "asset", grid, WINDOW, FRESH)
+    flow = features.order_flow_received(t, gaps_of(t), rows(t, grid), "asset", grid, WINDOW, FRESH)
     return numbers(numbers(flow, "buy_sell_ratio", "coverage"), "buy_notional", "sell_notional", places=6)
 
 
@@ -253,7 +254,7 @@ def gap_impact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = tick_grid(t)
     res = resolution(grid, WINDOW)
     cells = summarise(gaps_of(t), ["asset"], F.col("received_ms"), grid, res, {"n": F.count(F.lit(1))})
-    timeline = Timeline(cells, rows(spark, grid), ["asset"], grid, res, WINDOW)
+    timeline = Timeline(cells, rows(t, grid), ["asset"], grid, res, WINDOW)
     active = timeline.select({"active_gaps": F.coalesce(F.sum("n").over(timeline.window(WINDOW)), F.lit(0))})
     return active.select("asset", "as_of_ms", (F.col("active_gaps") > 0).alias("gap_active"), "active_gaps")
 
@@ -271,7 +272,7 @@ FROM w GROUP BY ALL""",
 def max_drawdown_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     grid = tick_grid(t)
-    return numbers(features.max_drawdown(t, rows(spark, grid), "asset", grid, WINDOW), "max_drawdown")
+    return numbers(features.max_drawdown(t, rows(t, grid), "asset", grid, WINDOW), "max_drawdown")
 
 
 BASELINE = Decimal("20000")
@@ -295,7 +296,7 @@ def volume_anomaly_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cross_asset",
-    f"""WITH {TICKS_SQL}, {grid_sql(STEP)}, {EVENT_ASOF_SQL},
+    f"""WITH {TICKS_SQL}, {grid_sql(STEP, ASSETS)}, {EVENT_ASOF_SQL},
 p AS (SELECT as_of_ms, max(ret) FILTER (asset = 'view') AS a, max(ret) FILTER (asset = 'click') AS b,
   max(ret) FILTER (asset = 'signup') AS c, max(ret) FILTER (asset = 'purchase') AS t, count(ret) AS k FROM ev_return GROUP BY ALL)
 SELECT as_of_ms, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN
@@ -306,7 +307,7 @@ FROM p""",
 def cross_asset_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     grid = tick_grid(t)
-    returns = features.event_return(t, rows(spark, grid), "asset", grid, WINDOW)
+    returns = features.event_return(t, grid.rows(spark, "asset", ASSETS), "asset", grid, WINDOW)
     found = features.cross_asset(returns, "asset", REFERENCES, TARGET, THRESHOLDS)
     return numbers(found, "excess_return", "price_coverage")
 
@@ -319,11 +320,11 @@ r AS (SELECT c.asset, CAST(c.price - b.price AS DOUBLE) / CAST(b.price AS DOUBLE
 m AS (SELECT asset, count(*) AS samples, CASE WHEN count(*) >= 5 THEN mad(ret) * 1.4826 END AS sigma FROM r GROUP BY ALL)
 SELECT asset, samples, round(sigma, 6) AS sigma, CASE WHEN sigma IS NULL THEN 'UNKNOWN' ELSE 'KNOWN' END AS sigma_state,
   round(-greatest(CASE asset WHEN 'view' THEN 0.1 WHEN 'click' THEN 0.2 WHEN 'signup' THEN 0.3 WHEN 'purchase' THEN 0.25 END, abs(sigma * 2)), 6) AS required
-FROM m WHERE asset <> 'error'""",
+FROM m""",
 )
 def required_drawdown_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     returns = features.exact_lag_return(closes(spark, sf_dir), "asset", "close_ms", "price", HOUR)
-    sigma = features.mad_scale(returns.filter("asset <> 'error'"), ["asset"], "ret", Decimal("1.4826"), 5)
+    sigma = features.mad_scale(returns, ["asset"], "ret", Decimal("1.4826"), 5)
     fixed = lookups.with_thresholds(sigma, "asset", {**THRESHOLDS, "purchase": Decimal("-0.25")}, "fixed")
     need = features.required_drawdown(F.col("fixed").cast("double"), F.col("sigma"), F.lit(2.0))
     return fixed.select(
@@ -342,7 +343,7 @@ SELECT asset, as_of_ms, samples, CASE WHEN samples >= 5 THEN round(sigma, 6) END
 def rolling_mad_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     grid = tick_grid(t)
-    returns = features.event_return(t, rows(spark, grid), "asset", grid, WINDOW)
+    returns = features.event_return(t, rows(t, grid), "asset", grid, WINDOW)
     found = features.rolling_mad(returns, "asset", grid, "ret", DAY, Decimal("1.4826"), 5)
     return numbers(found, "sigma", places=6)
 
@@ -359,14 +360,14 @@ SELECT asset, as_of_ms, samples, CASE WHEN samples >= 20 AND s > 0 THEN round((v
 def flow_zscore_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     grid = tick_grid(t)
-    flow = features.order_flow(t, rows(spark, grid), "asset", grid, WINDOW)
+    flow = features.order_flow(t, rows(t, grid), "asset", grid, WINDOW)
     scored = features.flow_zscore(flow, ["asset"], grid, "net_flow", DAY, 20)
     return numbers(scored, "zscore", places=5)
 
 
 @query(
     "data_health",
-    f"""WITH {TICKS_SQL}, {grid_sql(STEP)},
+    f"""WITH {TICKS_SQL}, {grid_sql(STEP, ASSETS)},
 last AS (SELECT g.asset, g.as_of_ms, g.as_of_ms - t.received_ms AS age FROM grid g
   ASOF LEFT JOIN (SELECT asset, received_ms FROM ticks GROUP BY ALL) t ON t.asset = g.asset AND g.as_of_ms >= t.received_ms),
 s AS (SELECT asset, as_of_ms, coalesce(age <= {FRESH}, false) AS fresh FROM last),
@@ -377,7 +378,7 @@ SELECT as_of_ms, stale_sources, CASE WHEN abs(drift) > 1000 OR essential THEN 'B
 def data_health_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     grid = tick_grid(t)
-    state = features.asset_state(t, rows(spark, grid), "asset", grid, FRESH, WINDOW, RETENTION)
+    state = features.asset_state(t, grid.rows(spark, "asset", ASSETS), "asset", grid, FRESH, WINDOW, RETENTION)
     ages = state.select(
         "asset", "as_of_ms", "age_ms",
         (F.pmod(F.floor(F.col("as_of_ms") / HOUR), F.lit(1500)) - 100).alias("clock_drift_ms"),

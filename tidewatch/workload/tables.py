@@ -48,12 +48,12 @@ TICKS_SQL = """ticks AS (
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events))"""
 
 
-def grid_sql(step_ms: int, assets: tuple[str, ...] = ASSETS, time: str = "received_ms") -> str:
-    """Grid rows over the ticks: from the first time rounded down to the last."""
-    listed = ", ".join(f"('{a}')" for a in assets)
+def grid_sql(step_ms: int, assets: tuple[str, ...] | None = None, time: str = "received_ms") -> str:
+    """Grid rows over the ticks, for the keys they have or those listed: from the first time rounded down to the last."""
+    keys = "(SELECT DISTINCT asset FROM ticks)" if assets is None else "(VALUES " + ", ".join(f"('{a}')" for a in assets) + ")"
     return f"""bounds AS (SELECT (min({time}) // {step_ms}) * {step_ms} AS s, max({time}) AS e FROM ticks),
 grid AS (SELECT asset, unnest(generate_series(s, e, {step_ms})) AS as_of_ms
-         FROM bounds, (VALUES {listed}) v(asset))"""
+         FROM bounds, {keys} v(asset))"""
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
