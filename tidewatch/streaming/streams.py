@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.session import CHECKPOINT_KEY
+from tidewatch.streaming.state import arrival_labels, journal_labels
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -69,12 +70,6 @@ def rolling_flow(stream: DataFrame, keys: Sequence[str], at: str, window: str, s
     )
 
 
-def gap_windows(labelled: DataFrame, keys: Sequence[str], at: str, impact: str, slide: str, delay: str) -> DataFrame:
-    """Detected gaps per sliding impact window: a gap matters only that long."""
-    gaps = labelled.filter(F.col("missing") > 0)
-    return rolling_flow(gaps, keys, at, impact, slide, delay, {"active_gaps": F.count(F.lit(1))})
-
-
 def live_metrics(stream: DataFrame, keys: Sequence[str], measures: dict[str, Column]) -> DataFrame:
     """Running counters per key (update mode)."""
     return stream.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
@@ -82,45 +77,9 @@ def live_metrics(stream: DataFrame, keys: Sequence[str], measures: dict[str, Col
 
 # --- keyed state ---------------------------------------------------------------------------
 
-ARRIVAL_COLUMNS = "arrival_state string, previous_sequence long, missing long"
-
-
-def classify_arrivals(stream: DataFrame, keys: Sequence[str], order: Sequence[str], sequence: str,
-                      ungapped: Sequence[str] = (), remembered: int = 20_000) -> DataFrame:
-    """ACCEPTED, DUPLICATE or OUT_OF_ORDER per arrival, with the last sequence as state.
-
-    Old sequences are remembered only so far back; a later repeat counts as out of order.
-    One trigger's rows of a stream are ordered in memory, so limit the trigger's input.
-    """
-    keys, order, columns = list(keys), list(order), list(stream.columns)
-
-    def label(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, recent = state.get if state.exists else (None, [])
-        seen = dict.fromkeys(recent)
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        states, before, missing = [], [], []
-        for number in rows[sequence].astype("int64"):
-            before.append(last)
-            gap = 0
-            if last is None or number > last:
-                if last is not None and number > last + 1 and key[0] not in ungapped:
-                    gap = number - last - 1
-                states.append("ACCEPTED")
-                last = int(number)
-                seen[last] = None
-            else:
-                states.append("DUPLICATE" if number in seen or number == last else "OUT_OF_ORDER")
-            missing.append(gap)
-        state.update((last, list(seen)[-remembered:]))
-        rows["arrival_state"] = states
-        rows["previous_sequence"] = pd.array(before, dtype="Int64")
-        rows["missing"] = missing
-        yield rows[[*columns, "arrival_state", "previous_sequence", "missing"]]
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
-    return stream.groupBy(*keys).applyInPandasWithState(
-        label, f"{fields}, {ARRIVAL_COLUMNS}", "last long, recent array<long>", "append", GroupStateTimeout.NoTimeout
-    )
+def classify_arrivals(stream: DataFrame, keys: Sequence[str], order: Sequence[str], sequence: str, ungapped: Sequence[str] = ()) -> DataFrame:
+    """ACCEPTED, DUPLICATE or OUT_OF_ORDER per arrival, equal to the batch labels (see ``state.arrival_labels``)."""
+    return arrival_labels(stream, keys, order, sequence, ungapped)
 
 
 def streak_seconds(stream: DataFrame, key: str, at: str, condition: str) -> DataFrame:
@@ -175,11 +134,24 @@ def poll_revisions(stream: DataFrame, item: str, order: str, content_hash: str,
 # --- sinks ---------------------------------------------------------------------------------
 
 
-def journal_sink(folder: str, record_id: str, record_hash: str, order: str) -> Callable[[DataFrame, int], None]:
-    """Append each record id once; conflicting rows go to their own table.
+def journal_stream(stream: DataFrame, folder: str, record_id: str, record_hash: str, order: str) -> DataFrame:
+    """Append each record once and return the journal; conflicting rows go to their own table.
 
-    A repeated trigger overwrites its own partition, so a restart neither loses nor doubles rows.
+    What is stored is known from the state, so a trigger reads its own rows only.  A repeated trigger overwrites its own
+    partition, so a restart neither loses nor doubles rows.
     """
+    labelled = journal_labels(stream, record_id, record_hash, order)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        for kind, name in (("APPEND", "journal"), ("CONFLICT", "conflicts")):
+            _write_batch(batch.filter(F.col("append_state") == kind).drop("append_state"), f"{folder}/{name}", batch_id)
+
+    run_batches(labelled, write, f"{folder}/checkpoint")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/journal")
+
+
+def journal_sink(folder: str, record_id: str, record_hash: str, order: str) -> Callable[[DataFrame, int], None]:
+    """As :func:`journal_stream` for a sink without state: each trigger reads the whole journal."""
     from tidewatch.sources.journals import label_appends
 
     def write(batch: DataFrame, batch_id: int) -> None:

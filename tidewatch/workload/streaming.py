@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.times import to_ms
-from tidewatch.operators.features import order_flow_received
-from tidewatch.operators.grid import Grid
-from tidewatch.streaming import streams
-from tidewatch.workload.arrivals import ARRIVALS_SQL
+from tidewatch.streaming import state, streams
+from tidewatch.workload.arrivals import ARRIVALS_SQL, arrivals
 from tidewatch.workload.registry import number, numbers, query
-from tidewatch.workload.tables import ASSETS, DAY, HOUR
+from tidewatch.workload.tables import HOUR, table
 
 FLOW = 6 * HOUR
 
@@ -22,6 +22,22 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("event_ms", to_ms(F.col("ts")))
 
 
+def in_parts(df: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], parts: int = 4) -> DataFrame:
+    """Land a table part by part in the order of ``by`` and run the stream after each, from its checkpoint."""
+    spark, folder = df.sparkSession, streams.shared_folder(df.sparkSession)
+    cuts = df.agg(F.percentile_approx(by, [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    stored = None
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df if low is None else df.filter(F.col(by) >= low)
+        (part if high is None else part.filter(F.col(by) < high)).write.mode("append").parquet(f"{folder}/in")
+        stored = streams.run_to_table(build(spark.readStream.schema(df.schema).parquet(f"{folder}/in")), folder)
+    return stored
+
+
+def landed_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrivals(spark, sf_dir).drop("event_ms").withColumn("received_at", F.timestamp_millis("received_ms"))
+
+
 def arrival_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = F.when(F.pmod("event_id", F.lit(5)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     e = event_stream(spark, sf_dir).select(
@@ -42,10 +58,42 @@ def dedupe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_classify_arrivals", f"WITH {ARRIVALS_SQL} SELECT symbol, id, sequence, arrival_state, missing FROM labelled")
 def classify_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = streams.classify_arrivals(
-        arrival_stream(spark, sf_dir).drop("received_at"), ["symbol"], ["received_ms", "id"], "sequence", ("error",)
+    """Labels over several triggers; repeats are known at any distance."""
+    found = in_parts(
+        landed_arrivals(spark, sf_dir).drop("received_at"), "received_ms",
+        lambda s: state.arrival_labels(s, ["symbol"], ["received_ms", "id"], "sequence", ("error",)),
+    )
+    return found.select("symbol", "id", "sequence", "arrival_state", "missing")
+
+
+@query("stream_restart_from_journal", f"WITH {ARRIVALS_SQL} SELECT symbol, id, sequence, arrival_state, missing FROM labelled")
+def restart_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stopped half-way, its checkpoint lost, and started anew from the journal of what it had told."""
+    whole = landed_arrivals(spark, sf_dir).drop("received_at")
+    middle = whole.agg(F.percentile_approx("received_ms", 0.5, 1000)).first()[0]
+    journal = None
+    for part in (whole.filter(F.col("received_ms") < middle), whole.filter(F.col("received_ms") >= middle)):
+        folder = streams.shared_folder(spark)
+        part.write.parquet(f"{folder}/in")
+        source = spark.readStream.schema(whole.schema).parquet(f"{folder}/in")
+        start = None if journal is None else state.accepted_state(journal, ["symbol"], "sequence")
+        told = streams.run_to_table(state.arrival_labels(source, ["symbol"], ["received_ms", "id"], "sequence", ("error",), start), folder)
+        journal = told if journal is None else journal.unionByName(told)
+    return journal.select("symbol", "id", "sequence", "arrival_state", "missing")
+
+
+@query(
+    "stream_gap_expiry",
+    f"""WITH {ARRIVALS_SQL}, gaps AS (SELECT symbol, received_ms, previous + 1 AS gap_from, sequence - 1 AS gap_to FROM scanned WHERE sequence > previous + 1)
+SELECT symbol, received_ms AS at_ms, 'OPENED' AS event, gap_from, gap_to FROM gaps
+UNION ALL SELECT symbol, received_ms + {FLOW}, 'EXPIRED', gap_from, gap_to FROM gaps WHERE received_ms + {FLOW} <= (SELECT max(received_ms) FROM arrivals)""",
+)
+def gap_expiry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of every stream as they open and as their impact of six hours ends."""
+    return in_parts(
+        landed_arrivals(spark, sf_dir), "received_ms",
+        lambda s: state.gap_events(s, ["symbol"], ["received_ms", "id"], "sequence", "received_ms", "received_at", FLOW, "0 seconds"),
     )
-    return streams.run_to_table(labelled).select("symbol", "id", "sequence", "arrival_state", "missing")
 
 
 @query(
@@ -98,37 +146,40 @@ def metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_journal_sink", "SELECT user_id AS record_id, arg_min(event_id, event_id) AS ord FROM events GROUP BY ALL")
 def journal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record once, over several triggers that read nothing but their own rows."""
     folder = streams.shared_folder(spark)
-    records = event_stream(spark, sf_dir).select(
+    records = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("record_id"), F.sha2(F.col("user_id").cast("string"), 256).alias("record_hash"), F.col("event_id").alias("ord")
     )
-    streams.run_batches(records, streams.journal_sink(folder, "record_id", "record_hash", "ord"), f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/journal").select("record_id", "ord")
+    cuts = records.agg(F.percentile_approx("ord", [0.25, 0.5, 0.75], 1000)).first()[0] or []
+    journal = None
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = records if low is None else records.filter(F.col("ord") >= low)
+        (part if high is None else part.filter(F.col("ord") < high)).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(records.schema).parquet(f"{folder}/in")
+        journal = streams.journal_stream(source, folder, "record_id", "record_hash", "ord")
+    return journal.select("record_id", "ord")
 
 
 @query(
     "stream_features",
     f"""WITH ticks AS (SELECT event_type AS asset, event_id AS id, epoch_us(ts) // 1000 AS received_ms, CAST(value AS DECIMAL(20,8)) AS price, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side FROM events),
-b AS (SELECT min(received_ms) // {HOUR} * {HOUR} AS s, max(received_ms) // {HOUR} * {HOUR} AS e FROM ticks),
-g AS (SELECT asset, unnest(generate_series(s, e, {HOUR})) AS as_of_ms FROM b, (VALUES {", ".join(f"('{a}')" for a in ASSETS)}) v(asset)),
+b AS (SELECT asset, min(received_ms) // {HOUR} * {HOUR} AS s FROM ticks GROUP BY asset),
+m AS (SELECT (max(received_ms) - {HOUR}) // {HOUR} * {HOUR} AS e FROM ticks),
+g AS (SELECT asset, unnest(generate_series(s, e, {HOUR})) AS as_of_ms FROM b, m),
 f AS (SELECT g.asset, g.as_of_ms, count(t.id) AS n, max(t.received_ms) AS last_ms, coalesce(sum(t.price) FILTER (side = 'BUY'), 0) AS buy, coalesce(sum(t.price) FILTER (side = 'SELL'), 0) AS sell
   FROM g LEFT JOIN ticks t ON t.asset = g.asset AND t.received_ms BETWEEN g.as_of_ms - {FLOW} AND g.as_of_ms GROUP BY ALL)
 SELECT asset, as_of_ms, CASE WHEN n = 0 THEN 'NO_TRADES' WHEN as_of_ms - last_ms > {HOUR} THEN 'STALE' ELSE 'KNOWN' END AS flow_state,
   CASE WHEN n > 0 AND as_of_ms - last_ms <= {HOUR} AND sell <> 0 THEN round(CAST(buy AS DOUBLE) / CAST(sell AS DOUBLE), 8) END AS buy_sell_ratio FROM f""",
 )
 def features_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolling flow by ``foreachBatch`` over the landed rows, with the batch operator."""
-    folder = streams.shared_folder(spark)
-    t = event_stream(spark, sf_dir).select(
-        F.col("event_type").alias("asset"), F.col("event_id").alias("id"), F.col("event_ms").alias("received_ms"),
-        F.col("value").cast("decimal(20,8)").alias("price"), F.lit(1).cast("decimal(20,8)").alias("quantity"),
+    """Rolling flow of every key from panes in the state, at every instant that is closed by a step."""
+    t = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("asset"), to_ms(F.col("ts")).alias("received_ms"), F.col("value").cast("decimal(20,8)").alias("price"),
         F.when(F.pmod("event_id", F.lit(2)) == 0, "BUY").otherwise("SELL").alias("side"),
-    )
-
-    def evaluate(recent: DataFrame, start: int, end: int) -> DataFrame:
-        grid = Grid(start, end, HOUR)
-        return order_flow_received(recent, None, grid.rows(recent.sparkSession, "asset", ASSETS), "asset", grid, FLOW, HOUR)
-
-    streams.run_batches(t, streams.feature_sink(folder, "received_ms", evaluate, HOUR, DAY), f"{folder}/checkpoint")
-    found = spark.read.parquet(f"{folder}/features")
-    return found.select("asset", "as_of_ms", "flow_state", number("buy_sell_ratio").alias("buy_sell_ratio"))
+    ).withColumn("received_at", F.timestamp_millis("received_ms"))
+    sides = {name.lower(): F.when(F.col("side") == name, F.col("price")) for name in ("BUY", "SELL")}
+    found = in_parts(t, "received_ms", lambda s: state.rolling_panes(s, ["asset"], "received_at", "received_ms", sides, HOUR, FLOW, "0 seconds"))
+    flow_state = F.when(F.col("n") == 0, "NO_TRADES").when(F.col("as_of_ms") - F.col("last_ms") > HOUR, "STALE").otherwise("KNOWN")
+    ratio = F.when((flow_state == "KNOWN") & (F.col("sell") != 0), number(F.col("buy").cast("double") / F.col("sell").cast("double")))
+    return found.select("asset", "as_of_ms", flow_state.alias("flow_state"), ratio.alias("buy_sell_ratio"))
