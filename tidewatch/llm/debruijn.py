@@ -183,10 +183,10 @@ def all_walks(texts: DataFrame) -> DataFrame:
 
 def walk_edges(placed: DataFrame) -> DataFrame:
     """``(doc, walk, copies, nodes, checks)`` of rows ``doc, text, firsts array<struct<start,windows,copies>>``."""
-    schema = pa.schema([("doc", pa.int64()), ("walk", pa.int32()), ("copies", pa.int64()), ("nodes", pa.list_(pa.int64())), ("checks", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("walk", pa.int32()), ("copies", pa.int64()), ("nodes", pa.list_(pa.int64())), ("checks", pa.list_(pa.int32()))])
 
     def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(_signed(values), pa.int64()))
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,10 +210,10 @@ def walk_edges(placed: DataFrame) -> DataFrame:
                 edge = np.arange(ends[-1]) + np.repeat(at[a:b] - low - (ends - n), n)
                 ends = np.cumsum(n + 1)
                 node = np.arange(ends[-1]) + np.repeat(at[a:b] - low - (ends - n - 1), n + 1)
-                columns = [pa.array(doc[a:b]), pa.array(start[a:b].astype(np.int32)), pa.array(copies[a:b]), lists(nodes[node], n + 1), lists(checks[edge], n)]
+                columns = [pa.array(doc[a:b]), pa.array(start[a:b].astype(np.int32)), pa.array(copies[a:b]), lists(_signed(nodes[node]), n + 1), lists((checks[edge] >> np.uint64(32)).astype(np.uint32).view(np.int32), n)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return placed.select("doc", "text", "firsts").mapInArrow(run, "doc long, walk int, copies long, nodes array<long>, checks array<long>")
+    return placed.select("doc", "text", "firsts").mapInArrow(run, "doc long, walk int, copies long, nodes array<long>, checks array<int>")
 
 
 # --- the graph ------------------------------------------------------------------------------------------
@@ -315,9 +315,11 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     joined = stored(joints(repeated))
     edges = stored(pieces(repeated, joined))
     discard(repeated)
-    threaded = threads(walked, edges, paths(edges, joined)).withColumnRenamed("walk", "start")
+    found = stored(paths(edges, joined))
+    discard(joined)
+    threaded = threads(walked, edges, found).withColumnRenamed("walk", "start")
     known = stored(contents.join(threaded, ["doc", "start"]).select("mer", "content", "spans"))
-    discard(joined, edges, walked, contents)
+    discard(edges, found, walked, contents)
     spans = met.join(known, ["mer", "content"]).select("doc", F.expr("filter(spans, s -> s.first_doc <> doc OR s.first_pos <> start + s.at)").alias("spans"), "start")
     moved = F.expr("transform(spans, s -> named_struct('start', start + s.at, 'windows', s.windows, 'path_doc', s.path_doc, 'path', s.path, 'offset', s.offset))")
     return spans.where(F.size("spans") > 0).select("doc", moved.alias("spans")).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
