@@ -27,7 +27,9 @@ from tidewatch.operators.grid import (
     summarise,
     visible_sums,
 )
+from tidewatch.operators.selection import counted, medians
 from tidewatch.operators.validation import known_flow_rows
+from tidewatch.session import checkpointed
 
 
 # --- prices and returns -------------------------------------------------------------------
@@ -401,18 +403,15 @@ def cross_asset(
 def mad_scale(history: DataFrame, keys: Sequence[str], value: str, factor: Decimal, minimum: int) -> DataFrame:
     """1.4826 x median absolute deviation per key; UNKNOWN below the minimum sample count.
 
-    The median aggregate holds value counts, so equal values cost one entry.
+    Both medians come from running counts of distinct values (see ``selection``): no task holds the values of a key.
     """
-    known = history.filter(F.col(value).isNotNull())
-    centres = known.groupBy(*keys).agg(F.median(value).alias("centre"), F.count(F.lit(1)).alias("samples"))
-    spread = (
-        known.join(centres, list(keys))
-        .groupBy(*keys)
-        .agg(
-            F.median(F.abs(F.col(value).cast("double") - F.col("centre"))).alias("mad"),
-            F.max("samples").alias("samples"),
-        )
-    )
+    keys = list(keys)
+    counts = counted(history.select(*keys, F.col(value).cast("double").alias("__value")), keys, "__value")
+    centres = medians(counts, keys, "__value", "__centre").drop("samples").withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    near = counts.join(centres, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+    away = F.abs(F.col("__value") - F.col("__centre"))
+    distances = checkpointed(near.groupBy(*keys, away.alias("__away")).agg(F.sum("n").alias("n")))
+    spread = medians(distances, keys, "__away", "mad")
     scaled = F.when(F.col("samples") >= minimum, F.col("mad") * F.lit(float(factor)))
     return spread.select(*keys, "samples", scaled.alias("sigma"), state_of(scaled).alias("sigma_state"))
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.times import to_ms
-from tidewatch.operators import features, lookups, validation
-from tidewatch.operators.arrivals import approximate_quantiles, last_n_samples, quantiles
+from tidewatch.operators import features, lookups, selection, validation
+from tidewatch.operators.arrivals import approximate_quantiles, last_n_samples
 from tidewatch.operators.grid import Grid, asof_any_age, grid_over, resolution, summarise, Timeline
 from tidewatch.workload.registry import number, numbers, query
 from tidewatch.workload.tables import ASSETS, DAY, HOUR, REFERENCES, TARGET, TICKS_SQL, grid_sql, table, ticks, trades
@@ -411,7 +411,9 @@ FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS v FROM events) GR
 )
 def nearest_rank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_type", F.round(F.col("value") * 100).cast("long").alias("v"))
-    return e.groupBy("event_type").agg(*quantiles("v"))
+    ranks = {"p50": selection.nearest(0.5), "p95": selection.nearest(0.95), "p99": selection.nearest(0.99)}
+    found = selection.at_ranks(selection.counted(e, ["event_type"], "v"), ["event_type"], "v", ranks)
+    return found.select("event_type", *ranks, F.col("greatest").alias("max"))
 
 
 @query("approximate_quantiles", "SELECT DISTINCT event_type, true AS p50, true AS p95, true AS p99 FROM events")
