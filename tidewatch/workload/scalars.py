@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import decimals, hashing, knowledge, progress, times
 from tidewatch.functions import text as rules_text
-from tidewatch.operators import validation
+from tidewatch.operators import features, validation
 from tidewatch.sources import evidence, market
+from tidewatch.streaming.streams import shared_folder
 from tidewatch.workload.registry import number, numbers, query
 from tidewatch.workload.tables import DAY, HOUR, TICKS_SQL, table, ticks, trades
 
@@ -255,6 +256,30 @@ def messages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "derivative_series",
+    f"""WITH s AS (SELECT event_type AS symbol, epoch_us(ts) // 1000 // {HOUR} * {HOUR} AS observed_ms, sum(CAST(value AS DECIMAL(20,8))) AS oi, count(*) AS n FROM events GROUP BY ALL)
+SELECT a.symbol, a.observed_ms, round(CAST(a.oi AS DOUBLE), 6) AS open_interest, CAST(a.n AS DOUBLE) AS taker_ratio,
+  CASE WHEN b.oi > 0 THEN round(CAST(a.oi - b.oi AS DOUBLE) / CAST(b.oi AS DOUBLE), 8) END AS change
+FROM s a LEFT JOIN s b ON a.symbol = b.symbol AND a.observed_ms = b.observed_ms + {HOUR}""",
+)
+def derivatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open interest by hour, landed as one JSON array a symbol and day, read back, with its change over an hour."""
+    at = F.floor(times.to_ms(F.col("ts")) / HOUR) * HOUR
+    hourly = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol"), at.alias("at")).agg(F.sum(F.col("value").cast(D20)).alias("oi"), F.count(F.lit(1)).alias("n"))
+    item = F.struct("symbol", F.col("at").alias("timestamp"), F.col("oi").cast("string").alias("sumOpenInterest"), F.col("n").cast("string").alias("buySellRatio"))
+    files = hourly.groupBy(F.col("symbol").alias("of"), F.floor(F.col("at") / DAY).alias("day")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    folder = shared_folder(spark)
+    files.write.partitionBy("of", "day").text(folder)
+    series = market.read_derivatives(spark, f"{folder}/*/*")
+    earlier = series.select(F.col("symbol").alias("of"), (F.col("observed_ms") + HOUR).alias("later_ms"), F.col("open_interest").alias("baseline"))
+    found = series.join(earlier, (F.col("symbol") == F.col("of")) & (F.col("observed_ms") == F.col("later_ms")), "left")
+    change = features.oi_change(F.col("baseline"), F.col("open_interest"))
+    return found.select(
+        "symbol", "observed_ms", number("open_interest", 6).alias("open_interest"), F.col("taker_ratio").cast("double").alias("taker_ratio"), number(change).alias("change")
+    )
+
+
 @query(
     "klines_and_trades",
     """SELECT event_id, event_type AS asset, epoch_us(ts) // 1000 AS event_ms, value AS price, 'UNKNOWN' AS side FROM events WHERE event_type <> 'purchase'

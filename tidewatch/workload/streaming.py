@@ -22,9 +22,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("event_ms", to_ms(F.col("ts")))
 
 
-def in_parts(df: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], parts: int = 4) -> DataFrame:
+def in_parts(df: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], parts: int = 4, folder: str | None = None) -> DataFrame:
     """Land a table part by part in the order of ``by`` and run the stream after each, from its checkpoint."""
-    spark, folder = df.sparkSession, streams.shared_folder(df.sparkSession)
+    spark, folder = df.sparkSession, folder or streams.shared_folder(df.sparkSession)
     cuts = df.agg(F.percentile_approx(by, [k / parts for k in range(1, parts)], 1000)).first()[0] or []
     stored = None
     for low, high in zip([None, *cuts], [*cuts, None]):
@@ -144,6 +144,38 @@ def metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("event_type", "m.received", "m.last_sequence")
 
 
+@query(
+    "stream_live_counters",
+    f"""WITH {ARRIVALS_SQL} SELECT symbol, count(*) AS received, count(*) FILTER (arrival_state = 'ACCEPTED') AS accepted,
+  count(*) FILTER (arrival_state = 'DUPLICATE') AS duplicates, count(*) FILTER (arrival_state = 'OUT_OF_ORDER') AS out_of_order,
+  count(*) FILTER (missing > 0) AS gap_events, CAST(sum(missing) AS BIGINT) AS missing_ids, min(received_ms) AS first_received_ms, max(received_ms) AS last_received_ms,
+  max(received_ms) FILTER (arrival_state = 'ACCEPTED') AS last_accepted_ms,
+  CASE WHEN symbol <> 'error' THEN round(CAST(count(*) FILTER (arrival_state = 'ACCEPTED') AS DOUBLE) / (count(*) FILTER (arrival_state = 'ACCEPTED') + sum(missing)), 8) END AS completeness
+FROM labelled GROUP BY symbol""",
+)
+def counters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of every stream from its labels, in update mode: a second stream follows the rows the first one told."""
+    folder = streams.shared_folder(spark)
+    labelled = in_parts(
+        landed_arrivals(spark, sf_dir).drop("received_at"), "received_ms",
+        lambda s: state.arrival_labels(s, ["symbol"], ["received_ms", "id"], "sequence", ("error",)), folder=folder,
+    )
+    told = spark.readStream.schema(labelled.schema).parquet(f"{folder}/data")
+    of = F.col("arrival_state")
+    counted = streams.live_metrics(told, ["symbol"], {
+        "received": F.count(F.lit(1)), "accepted": F.count_if(of == "ACCEPTED"), "duplicates": F.count_if(of == "DUPLICATE"),
+        "out_of_order": F.count_if(of == "OUT_OF_ORDER"), "gap_events": F.count_if(F.col("missing") > 0), "missing_ids": F.sum("missing"),
+        "first_received_ms": F.min("received_ms"), "last_received_ms": F.max("received_ms"),
+        "last_accepted_ms": F.max(F.when(of == "ACCEPTED", F.col("received_ms"))),
+    })
+    writer = counted.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/counted-checkpoint")
+    writer.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{folder}/counted/batch_id={i}")).trigger(availableNow=True).start().awaitTermination()
+    names = [c for c in counted.columns if c != "symbol"]
+    newest = spark.read.parquet(f"{folder}/counted").groupBy("symbol").agg(F.max(F.struct("batch_id", *names)).alias("m")).select("symbol", "m.*")
+    share = F.col("accepted").cast("double") / (F.col("accepted") + F.col("missing_ids"))
+    return newest.select("symbol", *names, F.when(F.col("symbol") != "error", number(share)).alias("completeness"))
+
+
 @query("stream_journal_sink", "SELECT user_id AS record_id, arg_min(event_id, event_id) AS ord FROM events GROUP BY ALL")
 def journal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record once, over several triggers that read nothing but their own rows."""
