@@ -132,6 +132,22 @@ def test_sample_every_matches_loop(spark, every, segment):
     assert got == want
 
 
+def test_sample_every_over_many_levels(spark):
+    """One run with nearly all rows over 3,000 segments and gaps, a short one, one instant, rows without run or time."""
+    r = random.Random(8)
+    times = sorted({r.randrange(-40_000, 20_000) for _ in range(4000)} | set(range(60_000, 61_000)))
+    data = [("hot", t, i) for i, t in enumerate(times)] + [("hot", times[0], -1), ("short", 5, 0), ("short", 40, 1), ("one", -7, 0)]
+    df = spark.createDataFrame([*data, (None, 3, 0), ("hot", None, 0)], "run string, at long, id long").repartition(4)
+    got = {(x["run"], x["at"], x["id"]) for x in ordered.sample_every(df, "run", "at", 33, 34, fan_in=4).collect()}
+    kept, last = set(), {}
+    for k, t in sorted({(k, t) for k, t, _ in data}):
+        if k not in last or t - last[k] >= 33:
+            kept.add((k, t))
+            last[k] = t
+    assert got == {row for row in data if row[:2] in kept}
+    assert ordered.sample_every(df.limit(0), "run", "at", 33, 34).count() == 0
+
+
 def test_streak_low_stage_latch(spark):
     data = [("a", t * 1000, t not in (3, 4, 9), [5, 4, 4, 6, 3, 3, 7, 2, 8, 9, 1, 1][t], "xxyyyxxzzzzz"[t]) for t in range(12)]
     df = spark.createDataFrame(data, "k string, t long, ok boolean, p long, s string")

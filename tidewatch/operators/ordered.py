@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.times import whole_seconds
 from tidewatch.operators.running import SEGMENT, Measure, running
+from tidewatch.session import checkpointed
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
@@ -136,65 +137,99 @@ def sample_grid(df: DataFrame, at: str, start_ms: int, every_ms: int) -> DataFra
     return df.filter(F.pmod(F.col(at) - F.lit(start_ms), F.lit(every_ms)) == 0)
 
 
-def sample_every(df: DataFrame, run: str, at: str, every_ms: int, segment_ms: int = 3_600_000) -> DataFrame:
+def _lead(bounds: np.ndarray, exits: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Last kept instant after a span, for last kept instants before it."""
+    if not len(bounds):
+        return kept
+    hit = np.searchsorted(bounds, kept)
+    return np.where(hit < len(bounds), exits[np.minimum(hit, len(exits) - 1)], kept)
+
+
+def _shortest(bounds: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One step for each different exit: the last bound that leads there."""
+    last = np.append(exits[1:] != exits[:-1], True)
+    return bounds[last], exits[last]
+
+
+def sample_every(df: DataFrame, run: str, at: str, every_ms: int, segment_ms: int = 3_600_000,
+                 fan_in: int = 64) -> DataFrame:
     """On irregular instants: keep one when at least ``every_ms`` passed since the last kept.
 
-    The choice is sequential, yet a run need not be in one task: inside a time segment the
-    outcome depends only on which early instant is kept first.  Each segment works out where
-    every possible entry leads (its instants within ``every_ms`` of the first, and the next); the
-    short table of entries is chained per run; each segment then replays its one true entry.
+    The choice is sequential, yet no task holds a run.  A time segment is a step function from the instant kept
+    last before it to the instant kept last in it: at most ``every_ms + 1`` steps, and mostly a few, since choices
+    that begin apart soon meet.  ``fan_in`` neighbouring functions are composed into one of the same kind, level by
+    level, until one covers the run; the way down tells every segment what was kept before it, and each segment then
+    replays its one true choice.  A task sees ``fan_in`` functions or the instants of one segment.
+
+    All rows of a kept instant stay.  Rows without a run or an instant are in no run and go.
     """
     if segment_ms < every_ms:
         raise ValueError("a segment must be at least as long as the sampling distance")
-    instants = df.select(run, at).distinct().withColumn("seg", F.floor(F.col(at) / segment_ms).cast("long"))
     run_type = df.schema[run].dataType.simpleString()
-
-    def chain(times: np.ndarray, first: int) -> int:
-        last = first
-        while True:
-            nxt = np.searchsorted(times, last + every_ms)
-            if nxt >= len(times):
-                return last
-            last = int(times[nxt])
-
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf[at].to_numpy())
-        # any instant below the first plus the distance, or the next one after that
-        entries = times[: np.searchsorted(times, times[0] + every_ms) + 1]
-        return pd.DataFrame({
-            run: pdf[run].iloc[0], "seg": pdf["seg"].iloc[0], "entry": entries,
-            "exit": [chain(times, int(e)) for e in entries],
-        })
-
-    table = instants.groupBy(run, "seg").applyInPandas(
-        exits, f"{run} {run_type}, seg long, entry long, exit long"
+    nothing = -(2**62)
+    instants = (
+        df.select(F.col(run).alias("run"), F.col(at).cast("long").alias("at")).dropna().distinct()
+        .withColumn("node", F.floor(F.col("at") / segment_ms).cast("long"))
     )
-
-    def entries_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, out = None, []
-        for seg, part in pdf.sort_values(["seg", "entry"]).groupby("seg", sort=True):
-            due = part if kept is None else part[part["entry"] >= kept + every_ms]
-            if len(due):
-                row = due.iloc[0]
-                out.append((pdf[run].iloc[0], seg, int(row["entry"])))
-                kept = int(row["exit"])
-        return pd.DataFrame(out, columns=[run, "seg", "entry"])
-
-    chosen = table.groupBy(run).applyInPandas(entries_of, f"{run} {run_type}, seg long, entry long")
-    marked = instants.join(chosen, [run, "seg"])
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        times, last, out = np.sort(pdf[at].to_numpy()), int(pdf["entry"].iloc[0]), []
-        while True:
-            out.append(last)
-            nxt = np.searchsorted(times, last + every_ms)
-            if nxt >= len(times):
-                break
+    function = f"run {run_type}, node long, bounds array<long>, exits array<long>"
+
+    def of_segment(pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(pdf["at"].to_numpy())
+        follows = np.searchsorted(times, times + every_ms)
+        end = np.where(follows < len(times), follows, np.arange(len(times)))
+        while not np.array_equal(end, further := end[end]):
+            end = further
+        # the first choice of a segment is below its first instant plus the distance, or the one after that
+        entries = np.arange(np.searchsorted(times, times[0] + every_ms) + 1).clip(max=len(times) - 1)
+        bounds, exits = _shortest(times[entries] - every_ms, times[end[entries]])
+        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "node": [pdf["node"].iloc[0]], "bounds": [bounds], "exits": [exits]})
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        bounds = exits = np.empty(0, np.int64)
+        for b, e in pdf.sort_values("node")[["bounds", "exits"]].itertuples(index=False):
+            b, e = np.asarray(b, np.int64), np.asarray(e, np.int64)
+            beyond = b[b > bounds[-1]] if len(bounds) else b
+            points = np.concatenate([bounds, beyond])
+            bounds, exits = _shortest(points, _lead(b, e, _lead(bounds, exits, points)))
+        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "node": [pdf["above"].iloc[0]], "bounds": [bounds], "exits": [exits]})
+
+    def handed_down(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values("node")
+        kept, before = np.array([ordered["kept"].iloc[0]]), []
+        for b, e in ordered[["bounds", "exits"]].itertuples(index=False):
+            before.append(int(kept[0]))
+            kept = _lead(np.asarray(b, np.int64), np.asarray(e, np.int64), kept)
+        return pd.DataFrame({"run": ordered["run"], "node": ordered["node"], "kept": before})
+
+    def replayed(pdf: pd.DataFrame) -> pd.DataFrame:
+        times, last, out = np.sort(pdf["at"].to_numpy()), int(pdf["kept"].iloc[0]), []
+        while (nxt := np.searchsorted(times, last + every_ms)) < len(times):
             last = int(times[nxt])
-        return pd.DataFrame({run: pdf[run].iloc[0], at: out})
-
-    kept = marked.groupBy(run, "seg").applyInPandas(keep, f"{run} {run_type}, {at} long")
-    return df.join(kept, [run, at], "left_semi")
+            out.append(last)
+        return pd.DataFrame({"run": pdf["run"].iloc[0], "at": out})
+
+    levels = [checkpointed(instants.groupBy("run", "node").applyInPandas(of_segment, function))]
+    low, high = levels[0].agg(F.min("node"), F.max("node")).first()
+    if low is None:
+        return df.limit(0)
+
+    def above(level: int) -> Column:
+        """Number of a node in the next level; the first level counts from the earliest segment."""
+        return F.floor((F.col("node") - F.lit(low if level == 0 else 0)) / fan_in).cast("long").alias("above")
+
+    width = high - low + 1
+    while width > fan_in:
+        grouped = levels[-1].select("*", above(len(levels) - 1)).groupBy("run", "above")
+        levels.append(checkpointed(grouped.applyInPandas(composed, function)))
+        width = -(-width // fan_in)
+    known = levels[-1].select("run", F.lit(0).cast("long").alias("above")).distinct().withColumn("kept", F.lit(nothing).cast("long"))
+    for level in reversed(range(len(levels))):
+        children = levels[level].select("*", above(level)).join(known, ["run", "above"])
+        told = children.groupBy("run", "above").applyInPandas(handed_down, f"run {run_type}, node long, kept long")
+        known = told.select("run", F.col("node").alias("above"), "kept")
+    marked = instants.join(known.withColumnRenamed("above", "node"), ["run", "node"])
+    kept = marked.groupBy("run", "node").applyInPandas(replayed, f"run {run_type}, at long")
+    return df.join(kept.select(F.col("run").alias(run), F.col("at").alias(at)), [run, at], "left_semi")
 
 
 def timeline(events: DataFrame, run: str, event_id: str, at: str, size: int) -> DataFrame:

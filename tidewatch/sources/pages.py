@@ -44,7 +44,8 @@ def extract_page_items(pages: DataFrame, page: str = "page_id", html: str = "htm
     """Item rows of every page; a walled or empty page is one row with ``page_error``.
 
     Spark finds the payload scripts; only cutting complete objects out of the joined payload
-    is Python, on Arrow batches.  The last object of an id wins within a page.
+    is Python, on Arrow batches.  The last object of an id wins within a page;
+    a page id that comes twice keeps the error row of its empty copy.
     """
     scripts = pages.select(
         page,
@@ -62,21 +63,22 @@ def extract_page_items(pages: DataFrame, page: str = "page_id", html: str = "htm
             yield pd.DataFrame({page: batch[page], "walled": batch["walled"], "objects": objects})
 
     cut_rows = scripts.mapInPandas(cut, f"{page} {page_type}, walled boolean, objects array<string>")
-    parsed = cut_rows.select(page, "walled", F.posexplode_outer("objects").alias("position", "object")).withColumn(
-        "item", F.from_json("object", ITEM_SCHEMA)
+    parsed = F.transform("objects", lambda text: F.from_json(text, ITEM_SCHEMA))
+    valid = F.filter(
+        parsed, lambda item: item["title"].isNotNull() & (F.length(item["title"]) > 0) & item["created_at"].isNotNull()
     )
-    valid = F.col("item.title").isNotNull() & (F.length("item.title") > 0) & F.col("item.created_at").isNotNull()
-    last = (
-        parsed.filter(valid)
-        .groupBy(page, F.col("item.id").alias("item_id"))
-        .agg(F.max_by("item", "position").alias("item"))
+    # a page without valid items is one row without an item, so one pass and one grouping give items and errors
+    listed = cut_rows.select(page, "walled", F.posexplode_outer(valid).alias("position", "item"))
+    last = listed.groupBy(page, F.col("item.id").alias("item_id")).agg(
+        F.max_by("item", "position").alias("item"), F.bool_or("walled").alias("walled")
     )
-    items = last.select(page, "item_id", *raw_item_columns("item"), F.lit(None).cast("string").alias("page_error"))
-    filled = last.select(page).distinct()
-    empty = cut_rows.join(filled, page, "left_anti").select(
-        page, F.when(F.col("walled"), "LOGIN_WALL").otherwise("SCHEMA_DRIFT_OR_EMPTY_LIST").alias("page_error")
+    error = F.when(F.col("walled"), "LOGIN_WALL").otherwise("SCHEMA_DRIFT_OR_EMPTY_LIST")
+    found = last.select(page, "item_id", "walled", F.col("item").isNull().alias("empty"), *raw_item_columns("item"))
+    names = [c for c in found.columns if c not in (page, "item_id", "walled", "empty")]
+    return found.select(
+        page, "item_id", *[F.when(~F.col("empty"), F.col(c)).alias(c) for c in names],
+        F.when(F.col("empty"), error).alias("page_error"),
     )
-    return items.unionByName(empty, allowMissingColumns=True)
 
 
 def raw_item_columns(item: str) -> list:
