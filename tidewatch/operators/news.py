@@ -326,13 +326,34 @@ def item_history(records: DataFrame, item: str, value, revision: str, judged: st
 # --- clusters -----------------------------------------------------------------------------
 
 
-def cluster_news(observations: DataFrame, relays: DataFrame | None = None) -> DataFrame:
+POLICY = ("event_type", "severity")
+
+
+def cluster_policy(clusters: DataFrame, policy: DataFrame, at: str = "last_updated_ms") -> DataFrame:
+    """Event type and severity of every cluster, as the policy said at ``at``.
+
+    ``policy``: ``fingerprint``, ``since_ms``, ``event_type``, ``severity``, a row per version; the newest version that
+    holds at the instant counts, of equal times the greatest, and UNKNOWN stands where it says nothing.  A cluster is
+    one row a fingerprint, so the join has one row a version at most and versions are reduced before they are dealt.
+    """
+    said = (
+        policy.join(clusters.select("fingerprint", F.col(at).alias("__at")), "fingerprint")
+        .filter(F.col("since_ms") <= F.col("__at"))
+        .groupBy("fingerprint").agg(F.max(F.struct("since_ms", *POLICY)).alias("__policy"))
+    )
+    joined = clusters.join(said, "fingerprint", "left")
+    return joined.select(
+        *clusters.columns, *[F.coalesce(F.col("__policy")[c], F.lit("UNKNOWN")).alias(c) for c in POLICY]
+    )
+
+
+def cluster_news(observations: DataFrame, relays: DataFrame | None = None, policy: DataFrame | None = None) -> DataFrame:
     """Group the newest revision of every observation by claim fingerprint.
 
     ``observations``: ``observation_id``, ``revision``, ``fingerprint`` (null when not KNOWN),
     ``source_id``, ``source_tier`` (T0..T4), ``credibility``, ``received_ms``.  Sources are reduced
     to one row per (fingerprint, source) before the final grouping; the id list is the
-    requested output and as long as the cluster.
+    requested output and as long as the cluster.  ``policy`` adds :func:`cluster_policy`.
     """
     newest = (
         observations.groupBy("observation_id")
@@ -368,7 +389,7 @@ def cluster_news(observations: DataFrame, relays: DataFrame | None = None) -> Da
         F.bool_or("disputed").alias("__disputed"),
         F.bool_or("unverified").alias("__unverified"),
     )
-    return grouped.select(
+    clusters = grouped.select(
         F.concat(F.lit("news-cluster-"), F.substring(F.sha2("fingerprint", 256), 1, 24)).alias("cluster_id"),
         "fingerprint", "revision", "observations", "first_received_ms", "last_updated_ms", "source_count",
         "source_ids", "independent_sources",
@@ -380,6 +401,7 @@ def cluster_news(observations: DataFrame, relays: DataFrame | None = None) -> Da
         ).alias("fact_confidence"),
         attention_state(F.col("source_count")).alias("attention_state"),
     )
+    return clusters if policy is None else cluster_policy(clusters, policy)
 
 
 def cluster_members(observations: DataFrame) -> DataFrame:

@@ -309,6 +309,38 @@ def arm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(spark, sf_dir).select("cluster_id", armed.alias("arm_state"))
 
 
+POLICY_SQL = f"""policy AS (SELECT sha256(d.text) AS fingerprint, {START} + (d.doc_id + d.doc_id % 7 - 3) * {MINUTE} AS since_ms,
+  CASE WHEN l.toxic = 1 THEN 'SECURITY' WHEN l.quality = 1 THEN 'MACRO' END AS event_type,
+  CASE WHEN l.toxic = 1 THEN 'SYSTEMIC' WHEN l.quality = 1 THEN 'HIGH' END AS severity FROM documents d JOIN labels l USING (doc_id)),
+held AS (SELECT s.fingerprint, p.event_type, p.severity FROM stated s JOIN policy p ON p.fingerprint = s.fingerprint AND p.since_ms <= s.last_updated_ms
+  QUALIFY row_number() OVER (PARTITION BY s.fingerprint ORDER BY p.since_ms DESC, p.event_type DESC NULLS LAST, p.severity DESC NULLS LAST) = 1),
+judged AS (SELECT s.*, coalesce(h.event_type, 'UNKNOWN') AS event_type, coalesce(h.severity, 'UNKNOWN') AS severity FROM stated s LEFT JOIN held h USING (fingerprint))"""
+
+
+def policy_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled document states the policy of its text from some minutes around its own time on."""
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
+    return d.join(l, "doc_id").select(
+        sha256(F.col("text")).alias("fingerprint"),
+        (F.lit(START) + (F.col("doc_id") + F.pmod("doc_id", F.lit(7)) - 3) * MINUTE).alias("since_ms"),
+        F.when(toxic, "SECURITY").when(good, "MACRO").alias("event_type"),
+        F.when(toxic, "SYSTEMIC").when(good, "HIGH").alias("severity"),
+    )
+
+
+@query(
+    "cluster_policy",
+    f"""WITH {CLUSTER_SQL}, {POLICY_SQL}
+SELECT cluster_id, fact_confidence, event_type, severity, CASE WHEN fact_confidence IN ('VERIFIED', 'CORROBORATED') AND severity IN ('HIGH', 'SYSTEMIC') AND {NOW} - first_received_ms BETWEEN 0 AND {WINDOW} THEN 'NEWS_ARMED' ELSE 'NO_NEWS' END AS arm_state FROM judged""",
+)
+def cluster_policy_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters with the policy that held at their last update, armed by its severity."""
+    judged = ops.cluster_news(observations(spark, sf_dir), relays(spark), policy_versions(spark, sf_dir))
+    armed = ops.arm_state(F.col("fact_confidence"), F.col("severity"), F.col("first_received_ms"), F.lit(NOW), 120)
+    return judged.select("cluster_id", "fact_confidence", "event_type", "severity", armed.alias("arm_state"))
+
+
 @query(
     "policy_lookup",
     """SELECT d.doc_id, coalesce(CASE WHEN l.toxic = 1 THEN 'SECURITY' WHEN l.quality = 1 THEN 'MACRO' END, 'UNKNOWN') AS event_type, d.source <> 'src3' AS independent
