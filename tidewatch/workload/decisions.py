@@ -216,9 +216,8 @@ def snapshot_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots with timers, news context and quote outcome."""
-    hour = F.floor(F.col("as_of_ms") / HOUR)
+def timed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots with the seconds their flow and stability conditions have held, null where they do not."""
     s = checkpointed(snapshots(spark, sf_dir))
     ratio = F.col("buy_sell_ratio")
     timed = panels.grid_timers(
@@ -234,6 +233,14 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
         active("__p", ratio <= F.lit(Decimal("0.8"))).alias("pressure_seconds"),
         active("__r", ratio >= F.lit(Decimal("1.1"))).alias("recovery_seconds"),
         active("__s", (F.col("ret_0") >= F.lit(Decimal("-0.1"))) & (F.col("ret_2") >= F.lit(Decimal("-0.3")))).alias("stability_seconds"),
+    )
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed snapshots with news context and quote outcome by formula; :mod:`tidewatch.workload.inputs` has them from data."""
+    hour = F.floor(F.col("as_of_ms") / HOUR)
+    return timed_snapshots(spark, sf_dir).select(
+        "*",
         F.when(F.pmod(hour, F.lit(3)) == 0, "NEWS_ARMED").when(F.pmod(hour, F.lit(3)) == 1, "NO_NEWS").otherwise("UNKNOWN").alias("news_context"),
         (F.pmod(hour, F.lit(5)) != 0).alias("executable"),
         (F.pmod(hour, F.lit(30)) * 3600).alias("seconds_since_low"),
