@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.knowledge import freshness
 from tidewatch.functions.times import age_ms
+from tidewatch.operators.grid import Grid, extremes_at
 from tidewatch.operators.running import Measure, newest_rows, running, segmented
 
 
@@ -266,3 +267,49 @@ def poll_source_health(status: Column, coverage_gap: Column, last_success_ms: Co
         .when(coverage_gap.isNotNull(), "DEGRADED")
         .otherwise("HEALTHY")
     )
+
+
+def poll_health_log(polls: DataFrame, source: str, freshness_ms: int, segments: int | None = None) -> DataFrame:
+    """Health of a source right after each of its polls (columns as in :func:`poll_metrics`).
+
+    A failed poll is STALE rather than ERROR once the last success before it is too old.
+    """
+    order = ["polled_ms", "poll_no"]
+    found = running(
+        segmented(polls, order, segments), [source], order,
+        {"last_success_ms": Measure("max", F.when(F.col("status") != "ERROR", F.col("polled_ms")))},
+    )
+    health = poll_source_health(
+        F.col("status"), F.col("coverage_gap"), F.col("last_success_ms"), F.col("polled_ms"), freshness_ms
+    )
+    return found.select(
+        source, "poll_no", "polled_ms", "last_success_ms",
+        (F.col("polled_ms") - F.col("last_success_ms")).alias("data_age_ms"), health.alias("health"),
+    )
+
+
+def market_health_at(
+    arrivals: DataFrame, errors: DataFrame, members: DataFrame, grid: Grid, freshness_ms: int, gap_window_ms: int
+) -> DataFrame:
+    """:func:`market_source_health` of every source at every instant, from what was received by then.
+
+    ``arrivals``: ``stream``, ``received_ms``, ``accepted``, ``gapped`` (the row tells of a gap).  ``errors``: ``source``,
+    ``received_ms``.  ``members``: ``stream``, ``source``, a row per expected stream, a short list.  A source is
+    disconnected from an error on until a stream of it accepts a row, and a gap counts for ``gap_window_ms``.
+    Newest times are enough for all of it, so arrivals are reduced to cells of the grid before they are dealt.
+    """
+    at, now = F.col("received_ms"), F.col("as_of_ms")
+    listed = [F.struct(F.lit(r["stream"]).alias("stream"), F.lit(r["source"]).alias("source")) for r in members.collect()]
+    expected = grid.instants(arrivals.sparkSession).select("as_of_ms", F.explode(F.array(*listed)).alias("m")).select("as_of_ms", "m.*")
+    streams = extremes_at(
+        arrivals, expected, ["stream"], grid, at,
+        {"accepted_ms": F.when(F.col("accepted"), at), "gap_ms": F.when(F.col("gapped"), at)},
+    )
+    broken = extremes_at(errors, expected.select("as_of_ms", "source").distinct(), ["source"], grid, at, {"error_ms": at})
+    graded = streams.join(expected, ["stream", "as_of_ms"]).select(
+        "source", "as_of_ms", "accepted_ms", freshness(F.col("accepted_ms"), now, freshness_ms).alias("freshness"),
+        F.coalesce(F.col("gap_ms") >= now - F.lit(gap_window_ms), F.lit(False)).alias("gapped"),
+    ).join(broken, ["source", "as_of_ms"])
+    last_error, last_accepted = F.max("error_ms"), F.max("accepted_ms")
+    disconnected = F.coalesce(last_error > F.coalesce(last_accepted, F.lit(-(2**62))), F.lit(False))
+    return market_source_health(graded, ["source", "as_of_ms"], disconnected, F.count_if("gapped"))

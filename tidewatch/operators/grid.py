@@ -220,6 +220,28 @@ def asof_any_age(
     return out
 
 
+def extremes_at(
+    df: DataFrame, grid_rows: DataFrame, keys: Sequence[str], grid: Grid, seen_ms: Column, values: dict[str, Column],
+    smallest: Sequence[str] = (),
+) -> DataFrame:
+    """Greatest value of each name (least of those in ``smallest``) among all rows seen at or before every grid row.
+
+    All names share one grouping into cells and one running pass over them.  Rows that were never seen (null) are left out.
+    """
+    # all that was seen before the grid is one cell a key
+    before = F.lit(grid.start_ms - grid.step_ms).cast("long")
+    seen = F.when(seen_ms < before, before).otherwise(seen_ms)
+    cells = summarise(df, keys, seen, grid, grid.step_ms, {f"__{n}": (F.min if n in smallest else F.max)(v) for n, v in values.items()})
+    rows = grid_rows.withColumn("cell", cell(F.col("as_of_ms"), grid, grid.step_ms))
+    merged = cells.unionByName(rows, allowMissingColumns=True).withColumn("__grid", F.col("as_of_ms").isNotNull().cast("int"))
+    segment = None
+    if grid.points > SEGMENT_POINTS:
+        segment = F.greatest(F.lit(0).cast("long"), int_div(int_div(F.col("cell"), 2), SEGMENT_POINTS))
+    measures = {n: Measure("min" if n in smallest else "max", F.col(f"__{n}")) for n in values}
+    found = running(merged, keys, ["cell", "__grid"], measures, segment=segment)
+    return found.filter("__grid = 1").select(*keys, "as_of_ms", *values)
+
+
 def visible_sums(
     ticks: DataFrame,
     grid_rows: DataFrame,

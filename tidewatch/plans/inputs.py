@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.times import whole_seconds
 from tidewatch.operators.features import oi_change
-from tidewatch.operators.grid import SEGMENT_POINTS, Grid, cell, int_div, summarise
+from tidewatch.operators.grid import Grid, extremes_at
 from tidewatch.operators.running import Measure, running
 
 
@@ -52,21 +52,9 @@ def decision_inputs(
     together = sources[0]
     for source in sources[1:]:
         together = together.unionByName(source, allowMissingColumns=True)
-    newest = ("armed", "damaged", "item", "quote", "reading", "earlier")
-    # all that was seen before the grid is one cell
-    before = F.lit(grid.start_ms - grid.step_ms).cast("long")
-    seen = F.when(F.col("seen") < before, before).otherwise(F.col("seen"))
-    cells = summarise(
-        together, [], seen, grid, grid.step_ms,
-        {**{f"__{n}": F.max(n) for n in newest}, "__low": F.min("low")},
-    )
-    rows = grid.instants(news.sparkSession).withColumn("cell", cell(F.col("as_of_ms"), grid, grid.step_ms))
-    merged = cells.unionByName(rows, allowMissingColumns=True).withColumn("__grid", F.col("as_of_ms").isNotNull().cast("int"))
-    segment = None
-    if grid.points > SEGMENT_POINTS:
-        segment = F.greatest(F.lit(0).cast("long"), int_div(int_div(F.col("cell"), 2), SEGMENT_POINTS))
-    measures = {**{n: Measure("max", F.col(f"__{n}")) for n in newest}, "low": Measure("min", F.col("__low"))}
-    known = running(merged, [], ["cell", "__grid"], measures, segment=segment).filter("__grid = 1")
+    names = ("armed", "damaged", "item", "quote", "reading", "earlier", "low")
+    instants = grid.instants(news.sparkSession)
+    known = extremes_at(together, instants, [], grid, F.col("seen"), {n: F.col(n) for n in names}, smallest=["low"])
     now = F.col("as_of_ms")
 
     def within(ms: Column, span: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.times import to_ms
 from tidewatch.operators import arrivals as ops
 from tidewatch.operators import news
+from tidewatch.operators.grid import grid_over
 from tidewatch.operators.running import fixed_segments
 from tidewatch.workload.registry import number, numbers, query
 from tidewatch.workload.tables import ASSETS, DAY, HOUR, table
@@ -131,6 +132,39 @@ def market_health_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.select("source", "streams", "missing_streams", "stale_streams", "status")
 
 
+MEMBERS = (("view", "reference"), ("click", "reference"), ("signup", "reference"), ("purchase", "other"), ("refund", "other"), ("gift", "silent"))
+
+
+@query(
+    "market_health_at",
+    f"""WITH {ARRIVALS_SQL}, members AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in MEMBERS)}) v(symbol, source)),
+bounds AS (SELECT min(received_ms) // {HOUR} * {HOUR} AS s, max(received_ms) AS e FROM arrivals),
+instants AS (SELECT unnest(generate_series(s, e, {HOUR})) AS as_of_ms FROM bounds),
+errors AS (SELECT DISTINCT CASE WHEN sequence % 2 = 0 THEN 'reference' ELSE 'other' END AS source, received_ms AS ms FROM arrivals WHERE symbol = 'error'),
+st AS (SELECT m.source, i.as_of_ms, a.ms AS accepted_ms, g.ms AS gap_ms, CASE WHEN a.ms IS NULL THEN 'UNKNOWN' WHEN i.as_of_ms - a.ms <= {HOUR} THEN 'FRESH' ELSE 'STALE' END AS freshness
+  FROM members m CROSS JOIN instants i
+  ASOF LEFT JOIN (SELECT DISTINCT symbol, received_ms AS ms FROM labelled WHERE arrival_state = 'ACCEPTED') a ON a.symbol = m.symbol AND i.as_of_ms >= a.ms
+  ASOF LEFT JOIN (SELECT DISTINCT symbol, received_ms AS ms FROM labelled WHERE missing > 40) g ON g.symbol = m.symbol AND i.as_of_ms >= g.ms),
+s AS (SELECT source, as_of_ms, count(*) AS streams, count(*) FILTER (freshness = 'UNKNOWN') AS missing_streams, count(*) FILTER (freshness = 'STALE') AS stale_streams,
+  max(accepted_ms) AS last_ms, count(*) FILTER (gap_ms >= as_of_ms - {HOUR}) AS active_gaps FROM st GROUP BY ALL),
+x AS (SELECT s.*, coalesce(e.ms > coalesce(last_ms, -1), false) AS disconnected FROM s ASOF LEFT JOIN errors e ON e.source = s.source AND s.as_of_ms >= e.ms)
+SELECT * EXCLUDE (last_ms), CASE WHEN disconnected THEN 'ERROR' WHEN missing_streams = streams THEN 'WARMING_UP' WHEN stale_streams > 0 THEN 'STALE' WHEN missing_streams > 0 OR active_gaps > 0 THEN 'DEGRADED' ELSE 'HEALTHY' END AS status FROM x""",
+)
+def market_health_at_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market sources hour by hour; error events are the log of lost connections, long gaps count for an hour."""
+    rows = labelled(spark, sf_dir)
+    streams = rows.select(
+        F.col("symbol").alias("stream"), "received_ms", (F.col("arrival_state") == "ACCEPTED").alias("accepted"),
+        (F.col("missing") > 40).alias("gapped"),
+    )
+    errors = arrivals(spark, sf_dir).filter("symbol = 'error'").select(
+        F.when(F.pmod("sequence", F.lit(2)) == 0, "reference").otherwise("other").alias("source"), "received_ms"
+    )
+    grid = grid_over(arrivals(spark, sf_dir), "received_ms", HOUR)
+    members = spark.createDataFrame(MEMBERS, "stream string, source string")
+    return ops.market_health_at(streams, errors, members, grid, HOUR, HOUR)
+
+
 @query(
     "coverage_summary",
     """WITH t AS (SELECT event_type, event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id) AS step FROM events)
@@ -233,6 +267,18 @@ def poll_health_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("source", "ok_ms", health.alias("health"))
 
 
+@query(
+    "poll_health_log",
+    f"""WITH {POLLS_SQL}, p AS (SELECT source, poll_no, polled_ms, status, coverage_gap,
+  max(CASE WHEN status <> 'ERROR' THEN polled_ms END) OVER (PARTITION BY source ORDER BY polled_ms, poll_no ROWS UNBOUNDED PRECEDING) AS last_success_ms FROM polls LEFT JOIN coverage USING (source, poll_no))
+SELECT source, poll_no, polled_ms, last_success_ms, polled_ms - last_success_ms AS data_age_ms, CASE WHEN polled_ms - last_success_ms > {DAY} THEN 'STALE' WHEN status = 'ERROR' THEN 'ERROR'
+  WHEN coverage_gap IS NOT NULL THEN 'DEGRADED' ELSE 'HEALTHY' END AS health FROM p""",
+)
+def poll_health_log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = coverage_gaps(listed_items(spark, sf_dir)).select("source", "poll_no", "coverage_gap")
+    return ops.poll_health_log(polls(spark, sf_dir).join(gaps, ["source", "poll_no"], "left"), "source", DAY)
+
+
 @query(
     "poll_head",
     f"""WITH {POLLS_SQL} SELECT source, poll_no, item_id, row_number() OVER (PARTITION BY source, poll_no ORDER BY occurred_ms DESC, item_id DESC) AS position
