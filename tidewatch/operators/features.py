@@ -130,79 +130,114 @@ def _span(rows: Column) -> Column:
     return F.aggregate(rows, start, step)["worst"]
 
 
-def max_drawdown(
-    observations: DataFrame, grid_rows: DataFrame, key: str, grid: Grid, window_ms: int
-) -> DataFrame:
-    """Deepest fall from a running high inside ``[t - window, t]`` of event time.
+def _piece(at: Column, since: Column, until: Column, high: Column, low: Column, worst: Column) -> Column:
+    """Part of a path: its place, the steps of the grid at which it holds, and what a fold needs of it."""
+    return F.struct(
+        at.cast("long").alias("at"), since.cast("long").alias("since"), until.cast("long").alias("until"),
+        high.cast(AMOUNT).alias("high"), low.cast(AMOUNT).alias("low"), worst.cast(RATIO).alias("worst"),
+    )
+
+
+def _path_cells(observations: DataFrame, key: str, grid: Grid, res: int, window_ms: int) -> DataFrame:
+    """One row per (key, cell): its pieces by version, and whether it still grows after its end.
 
-    Two pieces of a path combine exactly: the worst of both, or the later low against the
-    earlier high.  So ticks reduce to one (high, low, worst) piece per millisecond, then per
-    cell; a grid row folds at most ``window / step`` cells.  A cell with rows received after
-    its end keeps its milliseconds apart, because later instants see more of it.
+    A version is a step of the grid at which more of the cell is seen.  Rows that are received when their window is over
+    are in none and go first, so a cell has at most as many versions as a window has instants.
     """
-    # cells of a minute, or about 64 to a window if that is longer: both a cell (its distinct
-    # milliseconds) and a window (its cells) stay short to fold
-    widest = 60_000 * max(1, window_ms // (64 * 60_000))
-    res = math.gcd(resolution(grid, window_ms), widest)
-    start = F.lit(grid.start_ms).cast("long")
-    seen = F.greatest(F.col("event_ms"), F.col("received_ms"))
-    seen_point = int_div(seen - start + (res - 1), res)
-    marked = observations.filter(F.col("event_ms") <= grid.end_ms).select(
-        key,
-        "event_ms",
-        "received_ms",
-        "id",
-        F.col("price").cast(AMOUNT).alias("price"),
-        seen_point.alias("seen_point"),
+    start, step = F.lit(grid.start_ms).cast("long"), grid.step_ms
+    zero = F.lit(0).cast("long")
+    seen = int_div(F.greatest(F.col("event_ms"), F.col("received_ms")) - start + (step - 1), step)
+    marked = (
+        observations.filter(F.col("event_ms").between(grid.start_ms - window_ms, grid.end_ms) & F.col("price").isNotNull())
+        .select(key, "event_ms", "received_ms", "id", F.col("price").cast(AMOUNT).alias("price"), F.greatest(seen, zero).alias("seen"))
+        .filter(F.col("seen") * step <= F.col("event_ms") - start + window_ms)
     )
-    by_ms = Window.partitionBy(key, "event_ms", "seen_point").orderBy("received_ms", "id")
+    by_ms = Window.partitionBy(key, "event_ms", "seen").orderBy("received_ms", "id")
     high_so_far = F.max("price").over(by_ms.rowsBetween(Window.unboundedPreceding, 0))
     instants = (
         marked.withColumn("fall", relative_change(F.col("price"), high_so_far))
-        .groupBy(key, "event_ms", "seen_point")
+        .groupBy(key, "event_ms", "seen")
         .agg(F.max("price").alias("high"), F.min("price").alias("low"), F.min("fall").alias("worst"))
         .withColumn("cell", cell(F.col("event_ms"), grid, res))
     )
-    per_cell = Window.partitionBy(key, "cell")
-    late = (F.col("seen_point") > int_div(F.col("cell"), 2)).cast("int")
-    pieces = instants.withColumn("late", F.max(late).over(per_cell))
-    whole = (
-        pieces.filter("late = 0")
-        .groupBy(key, "cell")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("event_ms", "seen_point", "high", "low", "worst"))
-            ).alias("parts")
-        )
-        .select(
-            key,
-            "cell",
-            F.array(
-                F.struct(
-                    F.element_at("parts", 1)["event_ms"].alias("event_ms"),
-                    F.element_at("parts", 1)["seen_point"].alias("seen_point"),
-                    F.array_max(F.transform("parts", lambda p: p["high"])).alias("high"),
-                    F.array_min(F.transform("parts", lambda p: p["low"])).alias("low"),
-                    _span(F.col("parts")).alias("worst"),
-                )
-            ).alias("parts"),
-        )
+    versions = F.collect_set("seen").over(Window.partitionBy(key, "cell"))
+    seen_at = instants.withColumn("versions", versions).withColumn(
+        "version", F.explode(F.filter("versions", lambda v: v >= F.col("seen")))
     )
-    split = (
-        pieces.filter("late = 1")
+    in_time = Window.partitionBy(key, "cell", "version").orderBy("event_ms", "seen")
+    high_before = F.max("high").over(in_time.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = (
+        seen_at.withColumn("across", relative_change(F.col("low"), high_before))
+        .groupBy(key, "cell", "version")
+        .agg(F.max("high").alias("high"), F.min("low").alias("low"), F.min(F.least("worst", "across")).alias("worst"))
         .groupBy(key, "cell")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("event_ms", "seen_point", "high", "low", "worst"))
-            ).alias("parts")
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("version", "high", "low", "worst"))).alias("found"))
+    )
+    closed = F.greatest(int_div(int_div(F.col("cell"), 2) * res + (step - 1), step), zero)
+    only = F.element_at("found", 1)
+    late = (F.size("found") > 1) | (only["version"] > closed)
+    parts = F.transform(
+        "found",
+        lambda p, i: _piece(F.col("cell"), p["version"], F.get(F.col("found"), i + 1)["version"], p["high"], p["low"], p["worst"]),
     )
-    timeline = Timeline(whole.unionByName(split), grid_rows, [key], grid, res, window_ms)
-    gathered = timeline.select(
-        {"parts": F.flatten(F.collect_list("parts").over(timeline.window(window_ms)))}
+    return pieces.select(
+        key, "cell", late.alias("late"), F.when(late, parts).alias("parts"),
+        *[F.when(~late, only[c]).alias(c) for c in ("high", "low", "worst")],
+    )
+
+
+def max_drawdown(
+    observations: DataFrame, grid_rows: DataFrame, key: str, grid: Grid, window_ms: int
+) -> DataFrame:
+    """Deepest fall from a running high inside ``[t - window, t]`` of event time.
+
+    Two neighbouring pieces of a path combine exactly: the worst of both, or the later low against the earlier high.  So
+    ticks reduce to one (high, low, worst) piece per millisecond, then per cell.  Blocks of cells are as long as a window,
+    so a window is the end of one block and the beginning of the next: running extremes from either end of a block give
+    both with one look-up each, and no window gathers its cells.
+
+    A cell that still grows after its end stands between two stretches of cells that do not, with one piece a version; an
+    instant folds the stretches and the versions that hold then.  Their number depends on the grid, not on the ticks.
+    """
+    # cells of a minute, or about 64 to a window if that is longer
+    widest = 60_000 * max(1, window_ms // (64 * 60_000))
+    res = math.gcd(resolution(grid, window_ms), widest)
+    size = 2 * (window_ms // res) + 1
+    end = cell(F.col("as_of_ms"), grid, res)
+    begin = end - (size - 1)
+    looked_up = F.array_compact(F.array(
+        F.struct(F.lit("head").alias("side"), end.alias("cell")),
+        F.when(int_div(begin, size) != int_div(end, size), F.struct(F.lit("tail").alias("side"), begin.alias("cell"))),
+    ))
+    probes = grid_rows.select(key, "as_of_ms", F.explode(looked_up).alias("__p")).select(key, "as_of_ms", "__p.*")
+    cells = _path_cells(observations, key, grid, res, window_ms)
+    frame = cells.unionByName(probes, allowMissingColumns=True).withColumn("block", int_div(F.col("cell"), size))
+    after_cells = F.col("side").isNotNull()
+    so_far, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+
+    def from_end(df: DataFrame, name: str, order: Column, crossing) -> DataFrame:
+        """The path from one end of the block to each row: stretches and growing cells, as pieces."""
+        growing = F.when(F.col("late"), 1)
+        of_block = Window.partitionBy(key, "block").orderBy(order, after_cells)
+        df = df.withColumn("stretch", F.count(growing).over(of_block.rowsBetween(*before)))
+        inside = Window.partitionBy(key, "block", "stretch").orderBy(order, after_cells)
+        df = df.withColumn("crossed", F.least("worst", crossing(inside.rowsBetween(*before))))
+        w = inside.rowsBetween(*so_far)
+        own = F.when(F.col("high").isNotNull(), F.col("cell"))
+        stretch = _piece(F.min(own).over(w), F.lit(0), F.lit(None), F.max("high").over(w), F.min("low").over(w), F.min("crossed").over(w))
+        df = df.withColumn("mine", F.filter(F.array(stretch), lambda p: p["high"].isNotNull()))
+        listed = F.collect_list(F.when(F.col("late"), F.concat("mine", "parts")))
+        whole = Window.partitionBy(key, "block").orderBy("stretch", order, after_cells).rowsBetween(*so_far)
+        return df.withColumn(name, F.concat(F.flatten(listed.over(whole)), F.col("mine"))).drop("stretch", "crossed", "mine")
+
+    frame = from_end(frame, "head", F.asc("cell"), lambda w: relative_change(F.col("low"), F.max("high").over(w)))
+    frame = from_end(frame, "tail", F.desc("cell"), lambda w: relative_change(F.min("low").over(w), F.col("high")))
+    path = F.when(F.col("side") == "head", F.col("head")).otherwise(F.col("tail"))
+    gathered = frame.filter(F.col("side").isNotNull()).groupBy(key, "as_of_ms").agg(F.flatten(F.collect_list(path)).alias("path"))
+    now = int_div(F.col("as_of_ms") - F.lit(grid.start_ms), grid.step_ms)
+    visible = F.array_sort(
+        F.filter("path", lambda p: (p["since"] <= now) & (p["until"].isNull() | (p["until"] > now)))
     )
-    now = F.col("as_of_ms") - F.lit(grid.start_ms)
-    visible = F.array_sort(F.filter("parts", lambda p: p["seen_point"] * res <= now))
     return gathered.select(
         key,
         "as_of_ms",
