@@ -93,6 +93,22 @@ def test_order_flow(spark, frame, grid):
                 assert x["buy_notional"] is None
 
 
+def test_max_drawdown_without_price_or_too_late(spark):
+    """No price, received when every window is over, and a key without any row: UNKNOWN, never 0."""
+    grid = Grid(START, START + 20_000, STEP, None)
+    rows = [
+        ("nothing", 1, START + 500, START + 500, None, None, "BUY"), ("late", 2, START + 500, START + 500 + WINDOW, Decimal(9), None, "BUY"),
+        ("old", 3, START - WINDOW - 1, START - WINDOW - 1, Decimal(9), None, "BUY"), ("one", 4, START + 20_000, START + 20_000, Decimal(9), None, "BUY"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    names = ["nothing", "late", "old", "one", "never"]
+    for source, known in ((df, {("one", START + 20_000): Decimal(0)}), (df.limit(0), {})):
+        got = features.max_drawdown(source, grid.rows(spark, "asset", names), "asset", grid, WINDOW).collect()
+        assert len(got) == 21 * len(names)
+        assert {(x["asset"], x["as_of_ms"]): x["max_drawdown"] for x in got if x["max_drawdown_state"] == "KNOWN"} == known
+        assert all(x["max_drawdown"] is None for x in got if x["max_drawdown_state"] == "UNKNOWN")
+
+
 def test_max_drawdown_with_late_rows(spark, frame, grid):
     data, df = frame
     got = {(x["asset"], x["as_of_ms"]): x["max_drawdown"] for x in features.max_drawdown(df, grid.rows(spark, "asset", ["hot", "b"]), "asset", grid, WINDOW).collect()}

@@ -59,6 +59,21 @@ def test_gate_fail_beats_review(spark):
     assert got[1]["window_ends_ms"] is None
 
 
+def test_gate_texts_and_versions(spark):
+    schema = "macro_relevant boolean, event_type string, direction string, severity string, occurred_ms long, received_ms long"
+    rows = [
+        (True, "GEOPOLITICS", "RISK_OFF", "SYSTEMIC", NOW, NOW), (True, "ENERGY_SUPPLY", "NEUTRAL", "LOW", NOW - W - 1, NOW),
+        (True, "TRADE_SANCTIONS", "UNKNOWN", "UNKNOWN", None, NOW), (False, "OTHER", "RISK_ON", "HIGH", NOW, NOW), (True, None, "RISK_ON", "MEDIUM", NOW + 1, NOW),
+    ]
+    got = news.news_gate(spark.createDataFrame(rows, schema), F.lit(NOW), W, model_version="m", config_version="c").collect()
+    assert [[c["current"] for c in r["checks"]] for r in got] == [
+        ["地缘政治", "风险偏高", "系统性影响", "处于 120 分钟观察窗口内"], ["能源供给", "影响中性", "低影响", "首次判断时已超过 120 分钟窗口"],
+        ["贸易与制裁", "方向无法确认", "影响程度无法确认", "新闻发生时间无法确认"], ["普通快讯", *["无需继续判断"] * 3], [None, "风险缓和", "中等影响", "时间顺序异常"],
+    ]
+    assert [c["label"] for c in got[0]["checks"]] == ["属于宏观风险", "风险正在上升", "达到高影响", "仍在观察窗口"]
+    assert {(r["rule_version"], r["model_version"], r["config_version"]) for r in got} == {("news-gate-v1", "m", "c")}
+
+
 def test_cluster(spark):
     rows = [
         ("o1", 0, "f", "s1", "T0", "VERIFIED", 30), ("o2", 0, "f", "s2", "T1", "UNVERIFIED", 10), ("o2", 1, "f", "s2", "T1", "UNVERIFIED", 20),

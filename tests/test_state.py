@@ -7,6 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewatch.operators.arrivals import classify_arrivals
+from tidewatch.operators.ordered import latched_context
+from tidewatch.operators.running import fixed_segments
 from tidewatch.session import ship
 from tidewatch.streaming import state, streams
 
@@ -142,3 +144,17 @@ def test_panes_equal_plain_windows_and_forget(spark, tmp_path):
     # A trigger reads its own rows only, and the state does not grow with the history.
     assert [sum(p["numInputRows"] for p in trigger) for trigger in progress] == [len(p) for p in parts]
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress[-1]) < 40
+
+
+def test_latched_context_equals_batch_over_triggers(spark, tmp_path):
+    """Ready and recorded rows, ties, a key that is never set, null flags; every trigger of one row and of many."""
+    ship(spark)
+    schema = "k string, at long, id long, ready boolean, recorded boolean"
+    r = random.Random(7)
+    rows = [(r.choice("aab"), i // 3, i, r.choice([True, False, False, None]), r.random() < 0.03) for i in range(10, 150)]
+    rows = [("c", 0, 0, False, None), *rows, ("b", 60, 200, True, True)]
+    got, _ = run(spark, tmp_path, "latch", [rows[:2], rows[2:61], rows[61:]], schema, lambda s: state.latched_context(s, ["k"], ["at", "id"], "ready", "recorded"))
+    batch = latched_context(spark.createDataFrame(rows, schema), ["k"], ["at", "id"], F.col("ready"), fixed_segments(F.col("at"), 10), F.col("recorded"))
+    told = lambda found: sorted((x["k"], x["id"], x["context"], x["context_ms"] or -1) for x in found)
+    assert told(got) == told(batch.collect())
+    assert {x["context"] for x in got} == {"NONE", "SHADOW_REFERENCE", "USER_RECORDED"}

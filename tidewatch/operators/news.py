@@ -185,6 +185,24 @@ REASONS = {
 }
 ENTERED_SUMMARY = "符合宏观相关、风险上升、高影响和时效要求，已进入风险观察；仍需市场条件共同确认"
 CHECKS = ("MACRO_RELEVANCE", "RISK_DIRECTION", "IMPACT_SEVERITY", "OBSERVATION_WINDOW")
+CHECK_LABELS = {
+    "MACRO_RELEVANCE": "属于宏观风险",
+    "RISK_DIRECTION": "风险正在上升",
+    "IMPACT_SEVERITY": "达到高影响",
+    "OBSERVATION_WINDOW": "仍在观察窗口",
+}
+DIRECTION_LABELS = {"RISK_OFF": "风险偏高", "UNKNOWN": "方向无法确认", "RISK_ON": "风险缓和"}
+OTHER_DIRECTION = "影响中性"
+SEVERITY_LABELS = {"SYSTEMIC": "系统性影响", "HIGH": "高影响", "UNKNOWN": "影响程度无法确认", "MEDIUM": "中等影响"}
+OTHER_SEVERITY = "低影响"
+WINDOW_LABELS = {
+    "NO_TIME": "新闻发生时间无法确认",
+    "FUTURE": "时间顺序异常",
+    "FAIL": "首次判断时已超过 {minutes} 分钟窗口",
+    "PASS": "处于 {minutes} 分钟观察窗口内",
+}
+NOT_JUDGED = "无需继续判断"
+GATE_RULE_VERSION = "news-gate-v1"
 
 
 def timeless_gate() -> Column:
@@ -194,9 +212,20 @@ def timeless_gate() -> Column:
     )
 
 
+def _label(value: Column, labels: dict[str, str], other: str | None = None) -> Column:
+    found = F.lit(other)
+    for name, text in labels.items():
+        found = F.when(value == name, text).otherwise(found)
+    return found
+
+
 def news_gate(items: DataFrame, at: Column, window_ms: int, occurred: str = "occurred_ms",
-              received: str = "received_ms") -> DataFrame:
-    """Four checks and an outcome per item at an instant; FAIL beats REVIEW_REQUIRED."""
+              received: str = "received_ms", model_version: str | None = None, config_version: str | None = None) -> DataFrame:
+    """Four checks and an outcome per item at an instant; FAIL beats REVIEW_REQUIRED.
+
+    A check has its id, label, state, what it found (``current``) and the reason.  Items without an ``event_type`` column
+    have no text for what relevance found.  Every judgment names the versions of rule, model and configuration.
+    """
     relevant = F.col("macro_relevant")
     src, rec = F.col(occurred), F.col(received)
     relevance = F.when(relevant, "PASS").otherwise("FAIL")
@@ -235,15 +264,29 @@ def news_gate(items: DataFrame, at: Column, window_ms: int, occurred: str = "occ
                 chain = F.when(hit, sentence) if chain is None else chain.when(hit, sentence)
         return chain if chain is not None else F.lit(None).cast("string")
 
+    minutes = f"{window_ms / 60_000:g}"
+    event_type = F.col("event_type") if "event_type" in items.columns else F.lit(None).cast("string")
+    current = {
+        "MACRO_RELEVANCE": _label(event_type, EVENT_LABELS),
+        "RISK_DIRECTION": _label(F.col("direction"), DIRECTION_LABELS, OTHER_DIRECTION),
+        "IMPACT_SEVERITY": _label(F.col("severity"), SEVERITY_LABELS, OTHER_SEVERITY),
+        "OBSERVATION_WINDOW": _label(F.col("__OBSERVATION_WINDOW"), {k: v.format(minutes=minutes) for k, v in WINDOW_LABELS.items()}),
+    }
+
+    def judged(check: str) -> Column:
+        text = F.when(F.col(f"__{check}") == "NOT_APPLICABLE", NOT_JUDGED).otherwise(current[check])
+        return F.struct(
+            F.lit(check).alias("id"), F.lit(CHECK_LABELS[check]).alias("label"), shown(check).alias("state"),
+            text.alias("current"), reason(check).alias("reason"),
+        )
+
     failed, review = F.lit(False), F.lit(False)
     for check in CHECKS:
         failed = failed | (F.col(f"__{check}") == "FAIL")
         review = review | F.col(f"__{check}").isin("REVIEW_REQUIRED", "NO_TIME", "FUTURE")
     return graded.select(
         *items.columns,
-        F.array(
-            *[F.struct(F.lit(c).alias("id"), shown(c).alias("state"), reason(c).alias("reason")) for c in CHECKS]
-        ).alias("checks"),
+        F.array(*[judged(c) for c in CHECKS]).alias("checks"),
         F.when(failed, "NOT_TRIGGERED").when(review, "REVIEW_REQUIRED").otherwise("ENTERED_RISK_OBSERVATION").alias("outcome"),
         F.coalesce(
             *[reason(c, ("FAIL",)) for c in CHECKS],
@@ -252,6 +295,9 @@ def news_gate(items: DataFrame, at: Column, window_ms: int, occurred: str = "occ
         ).alias("summary"),
         at.alias("judged_ms"),
         F.when(relevant & src.isNotNull(), F.least(src, rec) + F.lit(window_ms)).alias("window_ends_ms"),
+        F.lit(GATE_RULE_VERSION).alias("rule_version"),
+        F.lit(model_version).cast("string").alias("model_version"),
+        F.lit(config_version).cast("string").alias("config_version"),
     )
 
 

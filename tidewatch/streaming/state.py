@@ -271,6 +271,56 @@ def journal_state(journal: DataFrame, record_id: str, record_hash: str) -> DataF
     return journal.select(record_id, F.col(record_hash).alias("hash"))
 
 
+# --- contexts that stay set ----------------------------------------------------------------------
+
+NEVER = 1 << 62
+
+
+class Latch(StatefulProcessor):
+    """When a key was first ready and when the fact was last recorded."""
+
+    def __init__(self, order: list[str], ready: str, recorded: str, columns: list[str]):
+        self.order, self.ready, self.recorded, self.columns = order, ready, recorded, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "ready long, recorded long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found = pd.concat(list(rows)).sort_values(self.order, kind="stable", na_position="first")
+        timed = found[self.order[0]].notna().to_numpy()
+        at = found[self.order[0]].fillna(0).astype("int64").to_numpy()
+        first, last = self.held.get() if self.held.exists() else (NEVER, -NEVER)
+        ready = np.where(timed & found[self.ready].eq(True).to_numpy(dtype=bool), at, NEVER)
+        recorded = np.where(timed & found[self.recorded].eq(True).to_numpy(dtype=bool), at, -NEVER)
+        ready = np.minimum.accumulate(np.append(first, ready))[1:]
+        recorded = np.maximum.accumulate(np.append(last, recorded))[1:]
+        self.held.update((int(ready[-1]), int(recorded[-1])))
+        by_user, by_state = recorded > -NEVER, ready < NEVER
+        since = np.where(by_user, recorded, ready)
+        found = found[self.columns].copy()
+        found["context"] = np.where(by_user, "USER_RECORDED", np.where(by_state, "SHADOW_REFERENCE", "NONE"))
+        found["context_ms"] = pd.array([int(v) if known else None for v, known in zip(since, by_user | by_state, strict=True)], dtype="Int64")
+        yield found
+
+    def close(self) -> None:
+        pass
+
+
+def latched_context(stream: DataFrame, keys: Sequence[str], order: Sequence[str], ready: str, recorded: str) -> DataFrame:
+    """The batch operator of this name over a stream: the context stays set from the first ready instant, across triggers.
+
+    ``ready`` and ``recorded`` are boolean columns; a record by the user replaces the first ready instant and earlier
+    records.  Two instants a key are kept.  Triggers come in the order of ``order[0]``: a row that comes late is told the
+    context of the rows before it in arrival.  A row without a time sets nothing.
+    """
+    with_state_store(stream.sparkSession)
+    columns = [c for c in stream.columns if c not in (ready, recorded)]
+    fields = [*(stream.schema[c] for c in columns), T.StructField("context", T.StringType()), T.StructField("context_ms", T.LongType())]
+    return stream.groupBy(*keys).transformWithStateInPandas(
+        Latch(list(order), ready, recorded, columns), T.StructType(fields), "append", "None"
+    )
+
+
 # --- rolling windows on panes -------------------------------------------------------------------
 
 

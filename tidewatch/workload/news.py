@@ -159,6 +159,7 @@ def latest_macro_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- gate and audit ------------------------------------------------------------------------
 
 NOW = START + 500 * MINUTE
+MODEL_VERSION, CONFIG_VERSION = "words-of-documents", "window-120-minutes"
 GATE_SQL = f"""{ITEMS_SQL},
 checked AS (SELECT *, CASE WHEN macro_relevant THEN 'PASS' ELSE 'FAIL' END AS c1,
   CASE WHEN NOT macro_relevant THEN 'NOT_APPLICABLE' WHEN direction = 'RISK_OFF' THEN 'PASS' WHEN direction = 'UNKNOWN' THEN 'REVIEW_REQUIRED' ELSE 'FAIL' END AS c2,
@@ -174,7 +175,7 @@ audit AS (SELECT *, 'rec-' || item_id AS record_id, received_ms AS first_receive
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.news_gate(items(spark, sf_dir), F.lit(NOW), WINDOW)
+    return ops.news_gate(items(spark, sf_dir), F.lit(NOW), WINDOW, model_version=MODEL_VERSION, config_version=CONFIG_VERSION)
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,6 +192,36 @@ def gate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _chosen(column: str, texts: dict[str, str], other: str | None = None) -> str:
+    cases = " ".join(f"WHEN '{name}' THEN '{text}'" for name, text in texts.items())
+    return f"CASE {column} {cases}" + (f" ELSE '{other}'" if other else "") + " END"
+
+
+def _check_sql(check: str, state: str, current: str) -> str:
+    reasons = {"REVIEW_REQUIRED" if at == "FUTURE" else at: text for (name, at), text in ops.REASONS.items() if name == check and at != "NO_TIME"}
+    return f"""{{'id': '{check}', 'label': '{ops.CHECK_LABELS[check]}', 'state': {state}, 'reason': {_chosen(state, reasons)},
+  'current': CASE WHEN {state} = 'NOT_APPLICABLE' THEN '{ops.NOT_JUDGED}' ELSE {current} END}}"""
+
+
+@query(
+    "news_gate_checks",
+    f"""WITH {GATE_SQL}, c AS (SELECT item_id, unnest([
+  {_check_sql("MACRO_RELEVANCE", "c1", _chosen("event_type", ops.EVENT_LABELS))},
+  {_check_sql("RISK_DIRECTION", "c2", _chosen("direction", ops.DIRECTION_LABELS, ops.OTHER_DIRECTION))},
+  {_check_sql("IMPACT_SEVERITY", "c3", _chosen("severity", ops.SEVERITY_LABELS, ops.OTHER_SEVERITY))},
+  {_check_sql("OBSERVATION_WINDOW", "c4", _chosen("c4", {"REVIEW_REQUIRED": "时间顺序异常", "FAIL": "首次判断时已超过 120 分钟窗口", "PASS": "处于 120 分钟观察窗口内"}))}]) AS x FROM judged)
+SELECT item_id, x.id AS check_id, x.label AS label, x.state AS state, x.current AS found, x.reason AS reason,
+  '{ops.GATE_RULE_VERSION}' AS rule_version, '{MODEL_VERSION}' AS model_version, '{CONFIG_VERSION}' AS config_version FROM c""",
+)
+def gate_checks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of every item with its texts, and the versions under which it was judged."""
+    checks = judged(spark, sf_dir).select("item_id", F.explode("checks").alias("x"), "rule_version", "model_version", "config_version")
+    return checks.select(
+        "item_id", F.col("x.id").alias("check_id"), "x.label", "x.state", F.col("x.current").alias("found"), "x.reason",
+        "rule_version", "model_version", "config_version",
+    )
+
+
 @query(
     "outcome_counts",
     f"""WITH {GATE_SQL} SELECT o.outcome, count(j.item_id) AS n FROM (VALUES ('ENTERED_RISK_OBSERVATION'), ('NOT_TRIGGERED'), ('REVIEW_REQUIRED')) o(outcome) LEFT JOIN judged j USING (outcome) GROUP BY ALL""",

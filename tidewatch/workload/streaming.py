@@ -130,6 +130,23 @@ def streak_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_to_table(streams.streak_seconds(e, "event_type", "event_ms", "ok"))
 
 
+@query(
+    "stream_latched_context",
+    """WITH t AS (SELECT event_type, event_id, epoch_us(ts) // 1000 AS event_ms, value FROM events),
+a AS (SELECT *, min(CASE WHEN value >= 90 THEN event_ms END) OVER w AS ready, max(CASE WHEN event_id % 499 = 0 THEN event_ms END) OVER w AS recorded
+  FROM t WINDOW w AS (PARTITION BY event_type ORDER BY event_ms, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_type, event_id, event_ms, CASE WHEN recorded IS NOT NULL THEN 'USER_RECORDED' WHEN ready IS NOT NULL THEN 'SHADOW_REFERENCE' ELSE 'NONE' END AS context,
+  coalesce(recorded, ready) AS context_ms FROM a""",
+)
+def latch_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts that stay set, over several triggers."""
+    t = table(spark, sf_dir, "events").select(
+        "event_type", "event_id", to_ms(F.col("ts")).alias("event_ms"),
+        (F.col("value") >= 90).alias("ready"), (F.pmod("event_id", F.lit(499)) == 0).alias("recorded"),
+    )
+    return in_parts(t, "event_ms", lambda s: state.latched_context(s, ["event_type"], ["event_ms", "event_id"], "ready", "recorded"))
+
+
 @query("stream_live_metrics", "SELECT event_type, count(*) AS received, max(event_id) AS last_sequence FROM events GROUP BY ALL")
 def metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters in update mode; each trigger replaces the changed counters."""
