@@ -13,6 +13,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -327,8 +328,8 @@ def latched_context(stream: DataFrame, keys: Sequence[str], order: Sequence[str]
 class PaneWindows(StatefulProcessor):
     """Sums over the last ``span`` at every instant of a grid, from panes of one step."""
 
-    def __init__(self, keys: list[str], sums: list[str], step_ms: int, span_ms: int):
-        self.keys, self.sums, self.step_ms, self.span_ms = keys, sums, step_ms, span_ms
+    def __init__(self, keys: list[str], sums: list[str], step_ms: int, span_ms: int, lag_ms: int):
+        self.keys, self.sums, self.step_ms, self.span_ms, self.lag_ms = keys, sums, step_ms, span_ms, lag_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -336,47 +337,67 @@ class PaneWindows(StatefulProcessor):
         self.panes = handle.getMapState("panes", "pane_ms long", "n array<long>, last_ms array<long>, sums array<decimal(38,8)>")
         self.next = handle.getValueState("next", "instant_ms long")
 
+    def _start(self, instant: int) -> None:
+        self.next.update((instant,))
+        self.handle.registerTimer(instant + self.lag_ms)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._start(int(initialState["next_ms"].iloc[0]))
+
+    def _held(self, pane: int) -> tuple[list, list, list] | None:
+        if not self.panes.containsKey((pane,)):
+            return None
+        n, last, sums = self.panes.getValue((pane,))
+        return [int(x) for x in n], [int(x) for x in last], list(sums)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        found: dict[int, tuple[list, list, list]] = {}
         for part in rows:
             for row in part.itertuples(index=False):
                 pane = int(row.pane_ms)
-                first = pane if first is None else min(first, pane)
-                zero = Decimal(0)
-                sums = [zero if pd.isna(v) else v for n in self.sums for v in (getattr(row, f"{n}_at"), getattr(row, f"{n}_all"))]
-                last = [-1 if pd.isna(v) else int(v) for v in (row.last_at, row.last_all)]
-                self.panes.updateValue((pane,), ([int(row.n_at), int(row.n_all)], last, sums))
-        if first is not None and self.next.get() is None:
-            self.next.update((first,))
-            self.handle.registerTimer(first + self.step_ms)
+                if pane not in found:
+                    found[pane] = self._held(pane) or ([0, 0], [-NEVER, -NEVER], [Decimal(0)] * (2 * len(self.sums)))
+                n, last, sums = found[pane]
+                for k, (count, at) in enumerate(((row.n_at, row.last_at), (row.n_all, row.last_all))):
+                    n[k] += int(count)
+                    last[k] = last[k] if pd.isna(at) else max(last[k], int(at))
+                    for number, name in enumerate(self.sums):
+                        value = getattr(row, f"{name}_{('at', 'all')[k]}")
+                        sums[2 * number + k] += Decimal(0) if pd.isna(value) else value
+        held = self.next.get()
+        for pane, value in found.items():
+            if held is None or pane >= int(held[0]) - self.span_ms:
+                self.panes.updateValue((pane,), value)
+        if found and held is None:
+            self._start(min(found))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """All instants whose own pane is closed; panes that no later instant reads go."""
+        """All instants that the watermark has passed by the lag; panes that no later instant reads go."""
         closed = timerValues.getCurrentWatermarkInMs()
-        held = {int(k[0]): v for k, v in self.panes.iterator()}
         instant = int(self.next.get()[0])
-        out: dict[str, list] = {n: [] for n in ("as_of_ms", "n", "last_ms", *self.sums)}
-        while instant + self.step_ms <= closed:
-            low = instant - self.span_ms
-            inside = [(p, v) for p, v in held.items() if low <= p < instant]
-            parts = [(v, 1) for _, v in inside] + ([(held[instant], 0)] if instant in held else [])
-            out["as_of_ms"].append(instant)
-            out["n"].append(sum(int(v[0][k]) for v, k in parts))
-            last = max((int(v[1][k]) for v, k in parts), default=-1)
-            out["last_ms"].append(None if last < 0 else last)
-            for number, name in enumerate(self.sums):
-                out[name].append(sum((v[2][2 * number + k] for v, k in parts), Decimal(0)))
-            for pane in [p for p in held if p < low + self.step_ms]:
-                self.panes.removeKey((pane,))
-                del held[pane]
-            instant += self.step_ms
-        self.next.update((instant,))
-        self.handle.registerTimer(instant + self.step_ms)
-        if out["n"]:
+        if instant + self.lag_ms > closed:
+            return
+        held = {int(k[0]): v for k, v in self.panes.iterator()}
+        while instant + self.lag_ms <= closed:
+            out: dict[str, list] = {n: [] for n in ("as_of_ms", "n", "last_ms", *self.sums)}
+            while instant + self.lag_ms <= closed and len(out["n"]) < 10_000:
+                low = instant - self.span_ms
+                parts = [(held[p], 1) for p in range(low, instant, self.step_ms) if p in held] + ([(held[instant], 0)] if instant in held else [])
+                out["as_of_ms"].append(instant)
+                out["n"].append(sum(int(v[0][k]) for v, k in parts))
+                last = max((int(v[1][k]) for v, k in parts), default=-NEVER)
+                out["last_ms"].append(None if last == -NEVER else last)
+                for number, name in enumerate(self.sums):
+                    out[name].append(sum((v[2][2 * number + k] for v, k in parts), Decimal(0)))
+                if low in held:
+                    self.panes.removeKey((low,))
+                    del held[low]
+                instant += self.step_ms
             frame = pd.DataFrame({**{k: [v] * len(out["n"]) for k, v in zip(self.keys, key)}, **out})
             frame["last_ms"] = pd.array(out["last_ms"], dtype="Int64")
             yield frame
+        self._start(instant)
 
     def close(self) -> None:
         pass
@@ -384,28 +405,41 @@ class PaneWindows(StatefulProcessor):
 
 def rolling_panes(
     stream: DataFrame, keys: Sequence[str], at: str, received_ms: str, measures: dict[str, Column], step_ms: int, span_ms: int, delay: str,
+    lag_ms: int | None = None, initial: DataFrame | None = None,
 ) -> DataFrame:
     """``(keys, as_of_ms, n, last_ms, measures)`` over ``[as_of - span, as_of]`` at every instant from a key's first row on.
 
-    Rows are summed to panes of one step first, before they are dealt, so a hot key is one row a pane; panes wait in the
-    state until the last instant that reads them, and instants are told by timers, also where no row comes.  ``span_ms``
-    is a multiple of ``step_ms``; an instant is told when the watermark has passed it by a step.
+    Each batch of rows is summed to panes of one step before it is dealt, so a hot key is a few rows a pane; panes wait in
+    the state until the last instant that reads them, and instants are told by timers, also where no row comes.
+    ``span_ms`` is a multiple of ``step_ms``; an instant is told when the watermark has passed it by ``lag_ms`` (a step,
+    where none is given).  A row that comes later than that counts for the instants still to be told.  ``initial`` has
+    ``(keys, next_ms)``: keys told from that instant of the grid on, whether or not they have rows.
     """
     if span_ms % step_ms:
         raise ValueError("the span must be a multiple of the step")
     with_state_store(stream.sparkSession)
-    pane = F.window(at, f"{step_ms} milliseconds")
-    first = F.col(received_ms) % step_ms == 0
-    sums = [c for n, m in measures.items() for c in (F.sum(F.when(first, m.cast("decimal(38,8)"))).alias(f"{n}_at"), F.sum(m.cast("decimal(38,8)")).alias(f"{n}_all"))]
-    panes = (
-        stream.withWatermark(at, delay).groupBy(*keys, pane.alias("pane"))
-        .agg(F.count(F.when(first, 1)).alias("n_at"), F.count(F.lit(1)).alias("n_all"), F.max(F.when(first, F.col(received_ms))).alias("last_at"), F.max(received_ms).alias("last_all"), *sums)
-        .select(*keys, F.unix_millis("pane.start").alias("pane_ms"), F.window_time("pane").alias("pane_at"), "n_at", "n_all", "last_at", "last_all",
-                *(F.col(f"{n}_{k}").cast("decimal(38,8)").alias(f"{n}_{k}") for n in measures for k in ("at", "all")))
-    )
     kinds = {f.name: f for f in stream.schema.fields}
-    fields = [*(kinds[k] for k in keys), T.StructField("as_of_ms", T.LongType()), T.StructField("n", T.LongType()), T.StructField("last_ms", T.LongType())]
+    first = F.pmod(F.col(received_ms), F.lit(step_ms)) == 0
+    values = [c for n, m in measures.items() for c in (F.when(first, m.cast("decimal(38,8)")).alias(f"{n}_at"), m.cast("decimal(38,8)").alias(f"{n}_all"))]
+    rows = stream.withWatermark(at, delay).filter(F.col(received_ms).isNotNull()).select(
+        *keys, (F.col(received_ms) - F.pmod(F.col(received_ms), F.lit(step_ms))).alias("pane_ms"),
+        F.when(first, F.col(received_ms)).alias("last_at"), F.col(received_ms).alias("last_all"), *values,
+    )
+    names = [f"{n}_{k}" for n in measures for k in ("at", "all")]
+    by, taken = [*keys, "pane_ms"], [("last_at", "count", "n_at"), ("last_all", "count", "n_all"), ("last_at", "max", "last_at"), ("last_all", "max", "last_all"), *((n, "sum", n) for n in names)]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).group_by(by).aggregate([(column, how) for column, how, _ in taken])
+            columns = {k: table[k] for k in by} | {name: table[f"{column}_{how}"] for column, how, name in taken}
+            yield from pa.table(columns).combine_chunks().to_batches()
+
+    long = T.LongType()
+    sums = [T.StructField(n, T.DecimalType(38, 8)) for n in names]
+    panes = rows.mapInArrow(summed, T.StructType([*(kinds[k] for k in keys), *(T.StructField(n, long) for n in ("pane_ms", "n_at", "n_all", "last_at", "last_all")), *sums]))
+    fields = [*(kinds[k] for k in keys), T.StructField("as_of_ms", long), T.StructField("n", long), T.StructField("last_ms", long)]
     fields += [T.StructField(n, T.DecimalType(38, 8)) for n in measures]
     return panes.groupBy(*keys).transformWithStateInPandas(
-        PaneWindows(list(keys), list(measures), step_ms, span_ms), T.StructType(fields), "append", "EventTime"
+        PaneWindows(list(keys), list(measures), step_ms, span_ms, step_ms if lag_ms is None else lag_ms), T.StructType(fields), "append", "EventTime",
+        initialState=None if initial is None else initial.groupBy(*keys),
     )

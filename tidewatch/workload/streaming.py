@@ -11,7 +11,7 @@ from tidewatch.functions.times import to_ms
 from tidewatch.streaming import state, streams
 from tidewatch.workload.arrivals import ARRIVALS_SQL, arrivals
 from tidewatch.workload.registry import number, numbers, query
-from tidewatch.workload.tables import HOUR, table
+from tidewatch.workload.tables import ASSETS, HOUR, table
 
 FLOW = 6 * HOUR
 
@@ -213,22 +213,27 @@ def journal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_features",
     f"""WITH ticks AS (SELECT event_type AS asset, event_id AS id, epoch_us(ts) // 1000 AS received_ms, CAST(value AS DECIMAL(20,8)) AS price, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side FROM events),
-b AS (SELECT asset, min(received_ms) // {HOUR} * {HOUR} AS s FROM ticks GROUP BY asset),
-m AS (SELECT (max(received_ms) - {HOUR}) // {HOUR} * {HOUR} AS e FROM ticks),
-g AS (SELECT asset, unnest(generate_series(s, e, {HOUR})) AS as_of_ms FROM b, m),
+b AS (SELECT min(received_ms) // {HOUR} * {HOUR} AS s, max(received_ms) // {HOUR} * {HOUR} AS e FROM ticks),
+g AS (SELECT asset, unnest(generate_series(s, e, {HOUR})) AS as_of_ms FROM b, (SELECT asset FROM ticks UNION SELECT asset FROM (VALUES {", ".join(f"('{a}')" for a in ASSETS)}) w(asset)) v),
 f AS (SELECT g.asset, g.as_of_ms, count(t.id) AS n, max(t.received_ms) AS last_ms, coalesce(sum(t.price) FILTER (side = 'BUY'), 0) AS buy, coalesce(sum(t.price) FILTER (side = 'SELL'), 0) AS sell
   FROM g LEFT JOIN ticks t ON t.asset = g.asset AND t.received_ms BETWEEN g.as_of_ms - {FLOW} AND g.as_of_ms GROUP BY ALL)
 SELECT asset, as_of_ms, CASE WHEN n = 0 THEN 'NO_TRADES' WHEN as_of_ms - last_ms > {HOUR} THEN 'STALE' ELSE 'KNOWN' END AS flow_state,
   CASE WHEN n > 0 AND as_of_ms - last_ms <= {HOUR} AND sell <> 0 THEN round(CAST(buy AS DOUBLE) / CAST(sell AS DOUBLE), 8) END AS buy_sell_ratio FROM f""",
 )
 def features_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolling flow of every key from panes in the state, at every instant that is closed by a step."""
+    """Rolling flow of every key, and of the assets without rows, at every instant from the first row of all to the last."""
     t = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("asset"), to_ms(F.col("ts")).alias("received_ms"), F.col("value").cast("decimal(20,8)").alias("price"),
         F.when(F.pmod("event_id", F.lit(2)) == 0, "BUY").otherwise("SELL").alias("side"),
     ).withColumn("received_at", F.timestamp_millis("received_ms"))
     sides = {name.lower(): F.when(F.col("side") == name, F.col("price")) for name in ("BUY", "SELL")}
-    found = in_parts(t, "received_ms", lambda s: state.rolling_panes(s, ["asset"], "received_at", "received_ms", sides, HOUR, FLOW, "0 seconds"))
+    low = t.agg(F.min("received_ms")).first()[0]
+    assets = t.select("asset").union(spark.createDataFrame([(a,) for a in ASSETS], "asset string")).distinct()
+    initial = None if low is None else assets.select("asset", F.lit(low // HOUR * HOUR).cast("long").alias("next_ms"))
+    found = in_parts(
+        t, "received_ms",
+        lambda s: state.rolling_panes(s, ["asset"], "received_at", "received_ms", sides, HOUR, FLOW, "0 seconds", lag_ms=0, initial=initial),
+    )
     flow_state = F.when(F.col("n") == 0, "NO_TRADES").when(F.col("as_of_ms") - F.col("last_ms") > HOUR, "STALE").otherwise("KNOWN")
     ratio = F.when((flow_state == "KNOWN") & (F.col("sell") != 0), number(F.col("buy").cast("double") / F.col("sell").cast("double")))
     return found.select("asset", "as_of_ms", flow_state.alias("flow_state"), ratio.alias("buy_sell_ratio"))
