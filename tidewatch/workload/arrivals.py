@@ -202,9 +202,16 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TASK_ROWS = 500_000
+
+
 def listed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Larger tables are dealt by poll to tasks of about ``TASK_ROWS`` items: they are joined, grouped and ranked where they lie."""
     li = table(spark, sf_dir, "lineitem")
     ok = polls(spark, sf_dir).filter("status = 'OK'")
+    tasks = -(-li.count() // TASK_ROWS)
+    if tasks > spark.sparkContext.defaultParallelism:
+        li, ok = li.repartition(tasks, "l_orderkey"), ok.repartition(tasks, "poll_no")
     joined = li.join(ok, li["l_orderkey"] == ok["poll_no"])
     return joined.groupBy("source", "poll_no", "polled_ms", F.col("l_partkey").alias("item_id")).agg(
         F.max("l_suppkey").alias("content"), F.min(to_ms(F.col("l_shipdate"))).alias("occurred_ms")
