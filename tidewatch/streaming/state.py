@@ -81,11 +81,12 @@ class _Accepted:
             self.last.update((int(numbers[accepted].max()),))
         known = np.zeros(len(numbers), bool)
         block = numbers >> BLOCK_BITS
-        for one in np.unique(block).tolist():
+        by_block = np.argsort(block, kind="stable")
+        for own in np.split(by_block, np.flatnonzero(np.diff(block[by_block])) + 1):
+            one = int(block[own[0]])
             found = self.blocks.getValue((one,)) if self.blocks.containsKey((one,)) else None
             members = unpacked(None if found is None else bytes(found[0]))
-            own = block == one
-            new = numbers[own & accepted] & (BLOCK - 1)
+            new = numbers[own[accepted[own]]] & (BLOCK - 1)
             if len(new):
                 members[new] = True
                 self.blocks.updateValue((one,), (packed(np.flatnonzero(members)),))
@@ -154,8 +155,14 @@ def accepted_state(labelled: DataFrame, keys: Sequence[str], sequence: str) -> D
 # --- gaps that expire -------------------------------------------------------------------------
 
 
+OPEN_BITS = 16
+
+
 class GapExpiry(StatefulProcessor):
-    """OPENED when an arrival skips numbers, EXPIRED when the gap's impact has passed."""
+    """OPENED when an arrival skips numbers, EXPIRED when the gap's impact has passed.
+
+    Open gaps wait in the state by block of 65,536 ms of their end, so a trigger reads and writes a block once.
+    """
 
     def __init__(self, keys: list[str], order: list[str], sequence: str, received: str, impact_ms: int):
         self.keys, self.order, self.sequence, self.received, self.impact_ms = keys, order, sequence, received, impact_ms
@@ -163,38 +170,51 @@ class GapExpiry(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.accepted = _Accepted(handle)
-        self.open = handle.getMapState("open", "until_ms long", "ranges array<long>")
+        self.open = handle.getMapState("open", "block long", "until_ms array<long>, gap_from array<long>, gap_to array<long>")
+
+    def rows(self, key, at_ms: np.ndarray, event: str, first: np.ndarray, last: np.ndarray) -> pd.DataFrame:
+        own = {k: [v] * len(at_ms) for k, v in zip(self.keys, key)}
+        return pd.DataFrame({**own, "at_ms": at_ms, "event": [event] * len(at_ms), "gap_from": first, "gap_to": last})
 
-    def rows(self, key, at_ms: int, event: str, ranges: list[int]) -> pd.DataFrame:
-        first, last = ranges[::2], ranges[1::2]
-        n = len(first)
-        own = {k: [v] * n for k, v in zip(self.keys, key)}
-        return pd.DataFrame({**own, "at_ms": [at_ms] * n, "event": [event] * n, "gap_from": first, "gap_to": last})
+    def held(self, block: int) -> np.ndarray:
+        """Open gaps of a block: until, from and to."""
+        found = self.open.getValue((block,)) if self.open.containsKey((block,)) else ((), (), ())
+        return np.array([list(column) for column in found], np.int64).reshape(3, -1)
+
+    def keep(self, block: int, gaps: np.ndarray) -> None:
+        """Store a block and have it looked at when its next gap ends."""
+        self.open.updateValue((block,), tuple(column.tolist() for column in gaps))
+        self.handle.registerTimer(int(gaps[0].min()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        columns = list(dict.fromkeys([*self.order, self.sequence, self.received]))
+        found = pd.concat([part[columns] for part in rows]).sort_values(self.order, kind="stable")
         numbers, received = found[self.sequence].to_numpy("int64"), found[self.received].to_numpy("int64")
+        del found
         accepted, _, before = self.accepted.label(numbers)
         low = before.filled(0) + 1
-        opened, added = [], {}
-        for k in np.flatnonzero(accepted & ~np.ma.getmaskarray(before) & (numbers > low)).tolist():
-            gap = [int(low[k]), int(numbers[k]) - 1]
-            added.setdefault(int(received[k]) + self.impact_ms, []).extend(gap)
-            opened.append(self.rows(key, int(received[k]), "OPENED", gap))
-        for until, ranges in added.items():
-            held = list(self.open.getValue((until,))[0]) if self.open.containsKey((until,)) else []
-            if not held:
-                self.handle.registerTimer(until)
-            self.open.updateValue((until,), ([*held, *ranges],))
-        if opened:
-            yield pd.concat(opened)
+        gap = accepted & ~np.ma.getmaskarray(before) & (numbers > low)
+        if not gap.any():
+            return
+        gaps = np.stack([received[gap] + self.impact_ms, low[gap], numbers[gap] - 1])
+        gaps = gaps[:, np.argsort(gaps[0], kind="stable")]
+        for added in np.split(gaps, np.flatnonzero(np.diff(gaps[0] >> OPEN_BITS)) + 1, axis=1):
+            block = int(added[0, 0]) >> OPEN_BITS
+            self.keep(block, np.concatenate([self.held(block), added], axis=1))
+        yield self.rows(key, received[gap], "OPENED", low[gap], numbers[gap] - 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        if self.open.containsKey((until,)):
-            ranges = [int(x) for x in self.open.getValue((until,))[0]]
-            self.open.removeKey((until,))
-            yield self.rows(key, until, "EXPIRED", ranges)
+        block = expiredTimerInfo.getExpiryTimeInMs() >> OPEN_BITS
+        gaps = self.held(block)
+        ended = gaps[0] <= timerValues.getCurrentWatermarkInMs()
+        if not ended.any():
+            return
+        if ended.all():
+            self.open.removeKey((block,))
+        else:
+            self.keep(block, gaps[:, ~ended])
+        until, first, last = gaps[:, ended]
+        yield self.rows(key, until, "EXPIRED", first, last)
 
     def close(self) -> None:
         pass

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.times import to_ms
 from tidewatch.streaming import state, streams
@@ -14,6 +16,8 @@ from tidewatch.workload.registry import number, numbers, query
 from tidewatch.workload.tables import ASSETS, HOUR, table
 
 FLOW = 6 * HOUR
+# A trigger orders the rows of a key in memory.
+PART_ROWS = 1_000_000
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,16 +26,42 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("event_ms", to_ms(F.col("ts")))
 
 
-def in_parts(df: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], parts: int = 4, folder: str | None = None) -> DataFrame:
+def landed_parts(df: DataFrame, by: str, folder: str, least: int = 4) -> Iterator[DataFrame]:
+    """Land a table part by part in the order of ``by``: at least so many parts, and more where one had over ``PART_ROWS`` rows.
+
+    Yields the stream over what has landed.  The table is read twice and written in parts once, however many there are.
+    Rows of one value of ``by`` stay together.
+    """
+    spark = df.sparkSession
+    parts = max(least, -(-df.count() // PART_ROWS))
+    dealt = df.filter(F.col(by).isNotNull()).repartitionByRange(parts, by).withColumn("__part", F.spark_partition_id())
+    dealt.write.partitionBy("__part").parquet(f"{folder}/parts")
+    stored = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType())])).parquet(f"{folder}/parts")
+    found = sorted(r[0] for r in stored.select("__part").distinct().collect())
+    for part in found or [-1]:
+        stored.filter(F.col("__part") == part).drop("__part").write.mode("append").parquet(f"{folder}/in")
+        yield spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+
+
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """A trigger of bounded rows needs no more partitions of state than there are cores."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), max(8, spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def in_parts(df: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], least: int = 4, folder: str | None = None) -> DataFrame:
     """Land a table part by part in the order of ``by`` and run the stream after each, from its checkpoint."""
-    spark, folder = df.sparkSession, folder or streams.shared_folder(df.sparkSession)
-    cuts = df.agg(F.percentile_approx(by, [k / parts for k in range(1, parts)], 1000)).first()[0] or []
-    stored = None
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = df if low is None else df.filter(F.col(by) >= low)
-        (part if high is None else part.filter(F.col(by) < high)).write.mode("append").parquet(f"{folder}/in")
-        stored = streams.run_to_table(build(spark.readStream.schema(df.schema).parquet(f"{folder}/in")), folder)
-    return stored
+    folder, told = folder or streams.shared_folder(df.sparkSession), None
+    for source in landed_parts(df, by, folder, least):
+        with state_partitions(df.sparkSession):
+            told = streams.run_to_table(build(source), folder)
+    return told
 
 
 def landed_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +103,11 @@ def restart_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = whole.agg(F.percentile_approx("received_ms", 0.5, 1000)).first()[0]
     journal = None
     for part in (whole.filter(F.col("received_ms") < middle), whole.filter(F.col("received_ms") >= middle)):
-        folder = streams.shared_folder(spark)
-        part.write.parquet(f"{folder}/in")
-        source = spark.readStream.schema(whole.schema).parquet(f"{folder}/in")
         start = None if journal is None else state.accepted_state(journal, ["symbol"], "sequence")
-        told = streams.run_to_table(state.arrival_labels(source, ["symbol"], ["received_ms", "id"], "sequence", ("error",), start), folder)
+        told = in_parts(
+            part, "received_ms",
+            lambda s, start=start: state.arrival_labels(s, ["symbol"], ["received_ms", "id"], "sequence", ("error",), start), least=1,
+        )
         journal = told if journal is None else journal.unionByName(told)
     return journal.select("symbol", "id", "sequence", "arrival_state", "missing")
 
@@ -126,8 +156,10 @@ def revisions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, event_ms, CASE WHEN ok THEN (event_ms - min(event_ms) FILTER (ok) OVER (PARTITION BY event_type, island)) // 1000 END AS held_seconds FROM b""",
 )
 def streak_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = event_stream(spark, sf_dir).select("event_type", "event_ms", (F.col("value") >= 15).alias("ok"))
-    return streams.run_to_table(streams.streak_seconds(e, "event_type", "event_ms", "ok"))
+    e = table(spark, sf_dir, "events").select("event_type", to_ms(F.col("ts")).alias("event_ms"), (F.col("value") >= 15).alias("ok"))
+    held = in_parts(e, "event_ms", lambda s: streams.streak_seconds(s, "event_type", "event_ms", "ok"), least=1)
+    untimed = e.filter(F.col("event_ms").isNull()).select("event_type", "event_ms", F.lit(None).cast("long").alias("held_seconds"))
+    return held.unionByName(untimed)
 
 
 @query(
