@@ -36,17 +36,18 @@ def test_features_tell_every_key_at_every_instant(spark, tmp_path, last):
     assert {(key, at) for key, at, *_ in told} == {(key, 1704067200000 + 3_600_000 * h) for key in ("view", "click", "signup", "purchase", "error") for h in range(7)}
 
 
-@pytest.mark.parametrize("name", ["stream_gap_expiry", "stream_restart_from_journal", "stream_streak_seconds", "stream_features"])
+@pytest.mark.parametrize("name", ["stream_gap_expiry", "stream_restart_from_journal", "stream_streak_seconds", "stream_journal_sink", "stream_features"])
 def test_a_trigger_has_a_bounded_number_of_rows(spark, tmp_path, monkeypatch, name):
     """However long the table, no trigger orders more than about PART_ROWS rows; the results are those of the SQL."""
     monkeypatch.setattr(streaming, "PART_ROWS", 40)
+    monkeypatch.setattr(streaming, "RECORD_ROWS", 40)
     rows = [(3 * n - 2 * (n % 5), 700 * n, n % 60, "view" if n % 4 else "error", float(n % 30)) for n in range(300)]
     landed = []
     parts = streaming.landed_parts
 
-    def counted(df, by, folder, least=4):
+    def counted(df, by, folder, least=4, **options):
         before = 0
-        for source in parts(df, by, folder, least):
+        for source in parts(df, by, folder, least, **options):
             now = spark.read.parquet(f"{folder}/in").count()
             landed.append(now - before)
             before = now

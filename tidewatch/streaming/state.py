@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -239,35 +239,48 @@ def gap_events(
 # --- records appended once ----------------------------------------------------------------------
 
 
-class JournalRecord(StatefulProcessor):
-    """The hash under which a record was first appended."""
+RECORD_BUCKETS = 256
 
-    def __init__(self, record_hash: str, order: str, columns: list[str]):
-        self.record_hash, self.order, self.columns = record_hash, order, columns
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "hash string")
+def _plain(value):
+    """No value where a number is none."""
+    return None if value is None or value != value else value
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.held.update((self._plain(initialState["hash"].iloc[0]),))
 
-    @staticmethod
-    def _plain(value) -> str | None:
-        return None if pd.isna(value) else value
+class JournalRecords(StatefulProcessor):
+    """The hash under which each record of a bucket of ids was first appended."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows))
-        ties = [c for c in self.columns if c not in (self.order, self.record_hash)]
-        found = found.sort_values([self.order, self.record_hash, *ties], kind="stable", na_position="first")
-        known = self.held.exists()
-        basis = self._plain(self.held.get()[0]) if known else self._plain(found[self.record_hash].iloc[0])
-        if not known:
-            self.held.update((basis,))
-        same = [self._plain(h) == basis for h in found[self.record_hash]]
-        found["append_state"] = ["NO_OP" if s else "CONFLICT" for s in same]
-        if not known:
-            found.iloc[0, found.columns.get_loc("append_state")] = "APPEND"
-        yield found[[*self.columns, "append_state"]]
+    def __init__(self, record_id: str, record_hash: str, order: str, columns: list[str], id_kind: str):
+        self.record_id, self.record_hash, self.columns, self.id_kind = record_id, record_hash, columns, id_kind
+        self.sorted_by = [order, record_hash, *(c for c in columns if c not in (record_id, order, record_hash))]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("held", f"is_null boolean, id {self.id_kind}", "hash string")
+
+    def _key(self, value) -> tuple:
+        return (value is None, value)
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.held.updateValue(self._key(initialState[self.record_id]), (_plain(initialState["hash"]),))
+
+    def _place(self, row: Row) -> tuple:
+        values = [_plain(row[c]) for c in self.sorted_by]
+        return tuple((v is not None, v) for v in values)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        by_id: dict = {}
+        told = Row(*self.columns, "append_state")
+        for row in rows:
+            by_id.setdefault(row[self.record_id], []).append(row)
+        for record, own in by_id.items():
+            own.sort(key=self._place)
+            known = self.held.containsKey(self._key(record))
+            basis = self.held.getValue(self._key(record))[0] if known else _plain(own[0][self.record_hash])
+            if not known:
+                self.held.updateValue(self._key(record), (basis,))
+            for place, row in enumerate(own):
+                state = "NO_OP" if _plain(row[self.record_hash]) == basis else "CONFLICT"
+                yield told(*(row[c] for c in self.columns), "APPEND" if place == 0 and not known else state)
 
     def close(self) -> None:
         pass
@@ -278,12 +291,15 @@ def journal_labels(stream: DataFrame, record_id: str, record_hash: str, order: s
 
     Of a trigger's rows of a new id the first by ``order``, hash and the other columns is appended.  The state has one
     hash an id, so no trigger reads the journal; ``initial`` (see :func:`journal_state`) starts a new checkpoint from one.
-    A null id is an id, a null hash equals itself only.
+    A null id is an id, a null hash equals itself only.  Ids are dealt to 256 buckets: a call and its rows are a
+    bucket's, the state is an id's.
     """
     with_state_store(stream.sparkSession)
-    return stream.groupBy(record_id).transformWithStateInPandas(
-        JournalRecord(record_hash, order, list(stream.columns)), T.StructType([*stream.schema.fields, T.StructField("append_state", T.StringType())]),
-        "append", "None", initialState=None if initial is None else initial.groupBy(record_id),
+    bucket = F.pmod(F.xxhash64(record_id), F.lit(RECORD_BUCKETS)).alias("__bucket")
+    kind = stream.schema[record_id].dataType.simpleString()
+    return stream.select("*", bucket).groupBy("__bucket").transformWithState(
+        JournalRecords(record_id, record_hash, order, list(stream.columns), kind), T.StructType([*stream.schema.fields, T.StructField("append_state", T.StringType())]),
+        "append", "None", initialState=None if initial is None else initial.select("*", bucket).groupBy("__bucket"),
     )
 
 

@@ -18,6 +18,8 @@ from tidewatch.workload.tables import ASSETS, HOUR, table
 FLOW = 6 * HOUR
 # A trigger orders the rows of a key in memory.
 PART_ROWS = 1_000_000
+# Records are ordered a bucket of ids at a time, so their triggers can be larger.
+RECORD_ROWS = 4_000_000
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,14 +28,14 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("event_ms", to_ms(F.col("ts")))
 
 
-def landed_parts(df: DataFrame, by: str, folder: str, least: int = 4) -> Iterator[DataFrame]:
-    """Land a table part by part in the order of ``by``: at least so many parts, and more where one had over ``PART_ROWS`` rows.
+def landed_parts(df: DataFrame, by: str, folder: str, least: int = 4, rows: int | None = None) -> Iterator[DataFrame]:
+    """Land a table part by part in the order of ``by``: at least so many parts, and more where one had over ``rows`` (``PART_ROWS``) rows.
 
     Yields the stream over what has landed.  The table is read twice and written in parts once, however many there are.
     Rows of one value of ``by`` stay together.
     """
     spark = df.sparkSession
-    parts = max(least, -(-df.count() // PART_ROWS))
+    parts = max(least, -(-df.count() // (rows or PART_ROWS)))
     dealt = df.filter(F.col(by).isNotNull()).repartitionByRange(parts, by).withColumn("__part", F.spark_partition_id())
     dealt.write.partitionBy("__part").parquet(f"{folder}/parts")
     stored = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType())])).parquet(f"{folder}/parts")
@@ -232,13 +234,10 @@ def journal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("record_id"), F.sha2(F.col("user_id").cast("string"), 256).alias("record_hash"), F.col("event_id").alias("ord")
     )
-    cuts = records.agg(F.percentile_approx("ord", [0.25, 0.5, 0.75], 1000)).first()[0] or []
     journal = None
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = records if low is None else records.filter(F.col("ord") >= low)
-        (part if high is None else part.filter(F.col("ord") < high)).write.mode("append").parquet(f"{folder}/in")
-        source = spark.readStream.schema(records.schema).parquet(f"{folder}/in")
-        journal = streams.journal_stream(source, folder, "record_id", "record_hash", "ord")
+    for source in landed_parts(records, "ord", folder, rows=RECORD_ROWS):
+        with state_partitions(spark):
+            journal = streams.journal_stream(source, folder, "record_id", "record_hash", "ord")
     return journal.select("record_id", "ord")
 
 
