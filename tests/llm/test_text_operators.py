@@ -61,6 +61,55 @@ def test_encode_rows(spark, reference):
     assert byte_bpe.encode_digests(docs.limit(0), path, P.PATTERN).count() == 0
 
 
+def test_small_groups_and_caches_give_the_same_ids(reference, monkeypatch):
+    for name, value in {"GROUP_CHARS": 90, "QUEUE_CHARS": 40, "CACHED_PIECES": 30, "CACHED_LENGTH": 5, "SLICE_IDS": 7}.items():
+        monkeypatch.setattr(byte_bpe, name, value)
+    tool = byte_bpe.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = ["", *random_texts(5, 800), "", "word " * 60, "x" * 300, "=" * 200]
+    for text, ids in zip(texts, tool.encode_all(texts), strict=True):
+        wanted = reference.encode_ordinary(text)
+        assert ids.tolist() == wanted
+        assert tool.digests(ids) == tuple(hashlib.sha256(x).hexdigest() for x in (" ".join(map(str, wanted)).encode(), text.encode()))
+        assert max(map(len, tool.older), default=0) <= 5
+    assert not any(tool.words) and not any(tool.buckets)
+
+
+def test_words_that_return_are_merged_once(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHED_PIECES", 20)
+    monkeypatch.setattr(byte_bpe, "CACHED_CHUNKS", 20, raising=False)
+    tool = byte_bpe.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    merge, merged = tool.merge, []
+
+    def counted(pieces):
+        merged.extend([pieces] if isinstance(pieces, bytes) else pieces)
+        return merge(pieces)
+
+    tool.merge = counted
+    for k in range(100):
+        tool.encode(f"a returningly qz{k * 7919:x}qz")
+    assert merged.count(b" returningly") == 1
+    assert len(tool.pieces) + len(tool.older) < 60
+
+
+def test_merges_that_bring_up_a_lower_rank(tmp_path):
+    r = random.Random(6)
+    for case in range(60):
+        tokens = [bytes((b,)) for b in range(256)]
+        while len(tokens) < 300:
+            token = bytes(r.choice(b"abc") for _ in range(r.randint(2, 5)))
+            if token not in tokens:
+                tokens.append(token)
+        if case % 2:  # bytes go last, and some of no use are left out
+            tokens = [t for t in tokens[::-1] if t != b"\xff"]
+        path = tmp_path / f"{case}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(tokens)))
+        tool = byte_bpe.Encoder(str(path), P.PATTERN)
+        library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={})
+        texts = ["".join(r.choice("abc" if k % 2 else "aaab c") for _ in range(r.randint(0, 80))) for k in range(40)]
+        assert [ids.tolist() for ids in tool.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
+        assert not any(tool.words) and not any(tool.buckets)
+
+
 # --- packing ----------------------------------------------------------------------------------
 
 
